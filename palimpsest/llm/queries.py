@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import tokenizer
+from palimpsest.llm import leakage, tokenizer
 from palimpsest.session import table
 
 
@@ -13,5 +13,15 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode_column(table(spark, d, "documents"), f"{tokenizer.VOCABULARIES}/byte_bpe_50k.tiktoken", ["doc_id"])
 
 
-QUERIES = {"p6_ids": p6_ids}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    """Of each leaked item, in how many documents it turns up."""
+    found = p7_found(spark, d)
+    return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
+
+
+QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found, "p7_report": p7_report}
 ORACLES: dict[str, str] = {}
