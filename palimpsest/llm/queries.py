@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import leakage, tokenizer
+from palimpsest.llm import chunking, leakage, neighbours, tokenizer
 from palimpsest.session import table
 
 
@@ -23,5 +23,35 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found, "p7_report": p7_report}
-ORACLES: dict[str, str] = {}
+def _pieces(spark: SparkSession, d: str, pieces: bool) -> DataFrame:
+    parts = [
+        chunking.chunk_texts(chunking.oversized(table(spark, d, name), text), pieces=pieces).withColumn("item_table", F.lit(name))
+        for name, text in (("provisions", "text_md"), ("semantic_chunks", "text"))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _pieces(spark, d, pieces=False).select("item_table", "text_sha", "boundary")
+
+
+def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Every piece of every oversized text, named by the hash of its own text."""
+    return _pieces(spark, d, pieces=True).select("item_table", "text_sha", "piece", "start", "token_count", F.sha2("piece_text", 256).alias("chunk_sha"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.similar_pairs(table(spark, d, "embedding_cache"))
+
+
+QUERIES = {"p4_found": p4_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_ids": p6_ids, "p7_found": p7_found, "p7_report": p7_report}
+_BOUNDARY = """
+SELECT DISTINCT '{table}' AS item_table, sha256({text}) AS text_sha,
+  CASE WHEN list_max(list_transform(regexp_split_to_array({text}, '\\r?\\n[ \\t]*\\r?\\n'), lambda x: len(regexp_extract_all(x, '[^ \\t\\r\\n]+')))) <= 254 THEN 'paragraph'
+       WHEN list_max(list_transform(regexp_split_to_array({text}, '\\r?\\n'), lambda x: len(regexp_extract_all(x, '[^ \\t\\r\\n]+')))) <= 254 THEN 'line'
+       ELSE 'inside' END AS boundary
+FROM {table} WHERE len(regexp_extract_all({text}, '[^ \\t\\r\\n]+')) > 254"""
+
+ORACLES: dict[str, str] = {
+    "p3_found": _BOUNDARY.format(table="provisions", text="text_md") + " UNION ALL " + _BOUNDARY.format(table="semantic_chunks", text="text"),
+}
