@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import chunking, leakage, neighbours, tokenizer
+from palimpsest.llm import chunking, leakage, neighbours, spam, tokenizer
 from palimpsest.session import table
 
 
@@ -44,7 +44,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.similar_pairs(table(spark, d, "embedding_cache"))
 
 
-QUERIES = {"p4_found": p4_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_ids": p6_ids, "p7_found": p7_found, "p7_report": p7_report}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.spam_pages(table(spark, d, "documents"))
+
+
+QUERIES = {"p8_found": p8_found, "p4_found": p4_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_ids": p6_ids, "p7_found": p7_found, "p7_report": p7_report}
 _BOUNDARY = """
 SELECT DISTINCT '{table}' AS item_table, sha256({text}) AS text_sha,
   CASE WHEN list_max(list_transform(regexp_split_to_array({text}, '\\r?\\n[ \\t]*\\r?\\n'), lambda x: len(regexp_extract_all(x, '[^ \\t\\r\\n]+')))) <= 254 THEN 'paragraph'
