@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 VOCABULARIES = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
@@ -256,7 +257,7 @@ def encode_column(df: DataFrame, vocabulary: str, keys: list[str], text: str = "
     with open(vocabulary, "rb") as f:
         shared = df.sparkSession.sparkContext.broadcast(f.read())
     rows = df.select(*[F.col(k) for k in keys], F.col(text).cast("string").alias("__text"))
-    schema = rows.drop("__text").schema.add(ids, "array<int>")
+    schema = rows.drop("__text").schema.add(ids, T.ArrayType(T.IntegerType()))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
