@@ -22,7 +22,7 @@ HOMES, PROBES = 1, 4
 #: candidate may be before it is pruned.
 DEGREE, BEAM, SLACK = 20, 40, 1.2
 #: Neighbours that a shard returns of each vector.
-RETURNED = 8
+RETURNED = 6
 #: Vectors that search in step.
 STEP = 1_024
 
@@ -195,7 +195,10 @@ def valid_vectors(cache: DataFrame) -> DataFrame:
 
 
 def _route(vectors: DataFrame) -> DataFrame:
-    """``profile, vid, record, head, cell, rank``: the nearest cells of each vector, nearest first."""
+    """``vid, record, cell, rank``: the nearest cells of each vector, nearest first.
+
+    Cells are numbered through all profiles, so that a cell belongs to one profile.
+    """
     sizes = {r["profile"]: r["n"] for r in vectors.groupBy("profile").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a profile
     drawn = Window.partitionBy("profile").orderBy(F.xxhash64("vid", F.lit("sample")))
     sample = vectors.select("profile", "vid", "record").withColumn("i", F.row_number().over(drawn)).where(F.col("i") <= SAMPLE)
@@ -209,32 +212,34 @@ def _route(vectors: DataFrame) -> DataFrame:
     centres: dict[str, list] = {}
     for r in fitted.orderBy("profile", "cell").collect():  # at most CELLS rows a profile
         centres.setdefault(r["profile"], []).append(r["centre"])
-    shared = vectors.sparkSession.sparkContext.broadcast({p: np.array(c, np.float32) for p, c in centres.items()})
+    first, known = 0, {}
+    for profile, rows in centres.items():
+        known[profile] = first, np.array(rows, np.float32)
+        first += len(rows)
+    shared = vectors.sparkSession.sparkContext.broadcast(known)
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for profile, part in rows.groupby("profile", sort=False):
-                centre = shared.value[profile]
+                base, centre = shared.value[profile]
                 probes = min(PROBES, len(centre))
                 near = _unit(decode(part.record)) @ centre.T
-                cells = np.argsort(-near, axis=1, kind="stable")[:, :probes]
-                out = part.loc[part.index.repeat(probes)].reset_index(drop=True)
+                cells = base + np.argsort(-near, axis=1, kind="stable")[:, :probes]
+                out = part.loc[part.index.repeat(probes), ["vid", "record"]].reset_index(drop=True)
                 yield out.assign(cell=cells.ravel().astype(np.int32), rank=np.tile(np.arange(probes, dtype=np.int32), len(part)))
 
-    return vectors.mapInPandas(route, "profile string, vid long, record binary, head string, cell int, rank int")
+    return vectors.mapInPandas(route, "vid long, record binary, cell int, rank int")
 
 
 def _search_shard(rows: pd.DataFrame) -> pd.DataFrame:
     """The nearest members of one shard for each vector that asks there."""
-    rows = rows.sort_values(["vid", "asks"], kind="stable")
+    rows = rows.sort_values("vid", kind="stable")
     home = rows[rows["home"]]
-    asks = rows[rows["asks"]]
-    empty = pd.DataFrame({"vid": pd.Series(dtype="int64"), "other": pd.Series(dtype="int64"), "dot": pd.Series(dtype="int32"), "head": pd.Series(dtype="str")})
-    if not len(home) or not len(asks):
-        return empty
-    members, sought = decode(home.record), decode(asks.record)
+    if not len(home):
+        return pd.DataFrame({"vid": np.zeros(0, np.int64), "other": np.zeros(0, np.int64), "dot": np.zeros(0, np.int32)})
+    members, sought = decode(home.record), decode(rows.record)
     graph = Graph(_unit(members))
-    vids, heads, asking = home.vid.to_numpy(), home["head"].to_numpy(), asks.vid.to_numpy()
+    vids, asking = home.vid.to_numpy(), rows.vid.to_numpy()
     exact, unit = members.astype(np.float32), _unit(sought)
     parts = []
     for at in range(0, len(asking), STEP):
@@ -246,29 +251,26 @@ def _search_shard(rows: pd.DataFrame) -> pd.DataFrame:
         best = np.take_along_axis(dot, top, axis=1)
         r, c = np.nonzero(np.isfinite(best))
         to = np.take_along_axis(ids, top, axis=1)[r, c]
-        parts.append(pd.DataFrame({"vid": asking[at + r], "other": vids[to], "dot": best[r, c].astype(np.int32), "head": heads[to]}))
+        parts.append(pd.DataFrame({"vid": asking[at + r], "other": vids[to], "dot": best[r, c].astype(np.int32)}))
     return pd.concat(parts)
 
 
 def nearest_classes(vectors: DataFrame, k: int) -> DataFrame:
-    """``vid, near``: of each vector the ``k`` most similar others as (dot, head, vid), best first."""
+    """``vid, other, dot``: of each vector the ``k`` most similar others, and those as similar as the last."""
     routed = _route(vectors)
-    counts = routed.where(F.col("rank") < HOMES).groupBy("profile", "cell").agg(F.count(F.lit(1)).alias("n"))
+    counts = routed.where(F.col("rank") < HOMES).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
     # a cell that outgrew a shard is split by hash, and searched in all its parts
-    parts = {(r["profile"], r["cell"]): -(-r["n"] // SHARD_MOST) for r in counts.where(F.col("n") > SHARD_MOST).collect()}  # at most CELLS a profile
-    part = F.lit(0)
-    asked = F.array(F.lit(0))
-    for (profile, cell), n in parts.items():
-        here = (F.col("profile") == profile) & (F.col("cell") == cell)
-        part = F.when(here, F.pmod(F.xxhash64("vid"), F.lit(n)).cast("int")).otherwise(part)
-        asked = F.when(here, F.sequence(F.lit(0), F.lit(n - 1))).otherwise(asked)
-    tagged = routed.withColumns({"own": part, "part": F.explode(asked)})
-    tagged = tagged.withColumns({"home": (F.col("rank") < HOMES) & (F.col("part") == F.col("own")), "asks": F.lit(True)}).drop("rank", "own")
+    split = {r["cell"]: -(-r["n"] // SHARD_MOST) for r in counts.where(F.col("n") > SHARD_MOST).collect()}  # at most CELLS a profile
+    own, asked = F.lit(0), F.array(F.lit(0))
+    for cell, n in split.items():
+        own = F.when(F.col("cell") == cell, F.pmod(F.xxhash64("vid"), F.lit(n)).cast("int")).otherwise(own)
+        asked = F.when(F.col("cell") == cell, F.sequence(F.lit(0), F.lit(n - 1))).otherwise(asked)
+    tagged = routed.withColumns({"own": own, "part": F.explode(asked)})
+    tagged = tagged.select("vid", "record", "cell", "part", ((F.col("rank") < HOMES) & (F.col("part") == F.col("own"))).alias("home"))
     # one shard a group: bounded by SHARD_MOST members and their share of the probes
-    hits = tagged.groupBy("profile", "cell", "part").applyInPandas(_search_shard, "vid long, other long, dot int, head string")
-    ranked = Window.partitionBy("vid").orderBy(F.col("dot").desc(), "head", "other")
-    best = hits.distinct().withColumn("i", F.row_number().over(ranked)).where(F.col("i") <= k)
-    return best.groupBy("vid").agg(F.array_sort(F.collect_list(F.struct((-F.col("dot")).alias("minus"), "head", "other"))).alias("near"))
+    hits = tagged.groupBy("cell", "part").applyInPandas(_search_shard, "vid long, other long, dot int")
+    ranked = Window.partitionBy("vid").orderBy(F.col("dot").desc())
+    return hits.withColumn("i", F.rank().over(ranked)).where(F.col("i") <= k).select("vid", "other", "dot")
 
 
 def similar_pairs(cache: DataFrame, k: int = 5, least: float = 0.9) -> DataFrame:
@@ -292,13 +294,12 @@ def similar_pairs(cache: DataFrame, k: int = 5, least: float = 0.9) -> DataFrame
     # ranks are cut off on the map side already, so that a class of many copies stays small
     named = rows.withColumn("i", F.row_number().over(first)).where(F.col("i") <= k + 1)
     classes = named.groupBy("profile", "vid").agg(F.min(F.struct("chunk_sha", "record")).alias("m"), F.array_sort(F.collect_set("chunk_sha")).alias("names"))
-    vectors = classes.select("profile", "vid", F.col("m.record").alias("record"), F.col("m.chunk_sha").alias("head"))
-    near = nearest_classes(vectors, k)
+    at_least = int(np.ceil(round(least * 127 * 127, 6)))
+    vectors = classes.select("profile", "vid", F.col("m.record").alias("record"))
     names = classes.select(F.col("vid").alias("other"), "names")
-    found = near.select("vid", F.explode("near").alias("e")).select("vid", F.col("e.other").alias("other"), (-F.col("e.minus")).alias("dot"))
     norms = classes.select("vid", F.col("vid").alias("other"), _square("m.record").alias("dot"))
-    listed = found.unionByName(norms).join(names, "other").select("vid", "dot", F.explode("names").alias("name"))
-    at_least = int(np.ceil(round(least * 127 * 127, 6)))
+    near = nearest_classes(vectors, k).where(F.col("dot") >= at_least)
+    listed = near.unionByName(norms).join(names, "other").select("vid", "dot", F.explode("names").alias("name"))
     pooled = Window.partitionBy("vid").orderBy(F.col("dot").desc(), "name")
     pool = listed.withColumn("i", F.row_number().over(pooled)).where(F.col("i") <= k + 1)
     pool = pool.groupBy("vid").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "name", "dot"))), lambda x: F.struct(x["name"], x["dot"])).alias("pool"))
