@@ -74,7 +74,7 @@ def follows_amending_clause(prefix: Column) -> Column:
 
 def short_titles(text: Column) -> Column:
     """Comma-separated segments, at most 16 of at most 256 characters, distinct and sorted; else none."""
-    parts = F.filter(F.transform(F.split(text, ","), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(text, ","), lambda s: F.trim(s)), lambda s: s != "")
     ok = (F.size(parts) <= 16) & F.forall(parts, lambda s: F.length(s) <= 256)
     return F.when(ok, F.array_sort(F.array_distinct(parts))).otherwise(F.array().cast("array<string>"))
 

@@ -105,7 +105,8 @@ def contained_names(texts: DataFrame, names: DataFrame, key: str, text: str, mos
     its first words (two, or one for names of a single word) and is then compared with the
     whole name: no substring test of each text with each name.
     """
-    words = texts.select(key, F.split(tx.normalize(F.col(text)), " ").alias("words"))
+    # through a generator, whose output no optimizer rule copies into the windows' lambda
+    words = texts.select(key, F.explode_outer(F.array(F.split(tx.normalize(F.col(text)), " "))).alias("words"))
     windows = F.explode_outer(F.transform(F.sequence(F.lit(1), F.size("words")), lambda i: F.slice("words", i, most_words)))
     rows = words.where("words is not null").select(key, windows.alias("w"))
     heads = F.explode(F.array(F.get("w", F.lit(0)), F.concat_ws(" ", F.get("w", F.lit(0)), F.get("w", F.lit(1)))))

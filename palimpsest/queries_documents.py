@@ -1,0 +1,88 @@
+"""Registered queries: extraction, comparison of wordings and incremental forms."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from palimpsest.model import Corpus
+from palimpsest.operators import diff, extraction, history
+from palimpsest.queries_temporal import DOCS, PROVISIONS
+from palimpsest.sources import files
+from palimpsest.streaming import incremental
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = lambda spark, d: f(Corpus(spark, d))
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+@query("""WITH s AS (SELECT doc_id, string_split(regexp_replace(text, '(?m)^((?:Article|Artikel) \\d+)', chr(1) || '\\1', 'g'), chr(1)) AS parts FROM documents WHERE text IS NOT NULL),
+e AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS seq FROM s)
+SELECT doc_id, seq, regexp_extract(part, '^(?:Article|Artikel) (\\d+)', 1) AS num, length(part) AS chars FROM e WHERE seq > 0""")
+def article_segments(c: Corpus) -> DataFrame:
+    return extraction.article_segments(c.raw("documents"), "doc_id", "text")
+
+
+@query("""WITH n AS (SELECT group_key, count(DISTINCT doc_id) AS pages FROM documents WHERE group_key IS NOT NULL GROUP BY 1 HAVING count(DISTINCT doc_id) >= 4),
+l AS (SELECT group_key, doc_id, trim(regexp_replace(regexp_replace(line, '[0-9]', '#', 'g'), '\\s+', ' ', 'g')) AS line FROM (SELECT group_key, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents))
+SELECT l.group_key, line, count(DISTINCT doc_id) AS on_pages, max(pages) AS pages FROM l JOIN n USING (group_key) WHERE length(line) > 8 GROUP BY 1, 2 HAVING count(DISTINCT doc_id) * 2 > max(pages)""")
+def page_furniture(c: Corpus) -> DataFrame:
+    return extraction.page_furniture(c.raw("documents"), "group_key", "doc_id", "text")
+
+
+@query(f"""WITH {PROVISIONS}, r AS (SELECT rid, count(*) AS total, count(*) FILTER (text_sha = sha256('')) AS empty FROM p GROUP BY 1) SELECT rid, total, empty FROM r WHERE empty * 100 >= total * 50""")
+def mostly_empty_versions(c: Corpus) -> DataFrame:
+    return extraction.mostly_empty(c.provisions(), F.col("text_sha") == F.sha2(F.lit(""), 256))
+
+
+@query(f"""WITH {DOCS}, k AS (SELECT group_key, key, valid_from, rid, language, CASE language WHEN 'fr' THEN 0 WHEN 'en' THEN 1 ELSE 3 END AS r FROM d)
+SELECT key, rid AS name, language FROM k QUALIFY row_number() OVER (PARTITION BY key ORDER BY r, rid) = 1""")
+def manifestation_precedence(c: Corpus) -> DataFrame:
+    """Of each version's expressions the one first in an order of precedence."""
+    rows = c.docs.select("key", "language", F.lit(0).alias("size"), F.col("rid").alias("name"))
+    return extraction.preferred_manifestation(rows, ["key"], {"fr": 0, "en": 1}, "language")
+
+
+@query()
+def extracted_provisions(c: Corpus) -> DataFrame:
+    rows = extraction.extract_provisions(c.raw("documents"), "doc_id", "text")
+    return rows.select("doc_key", "seq", "anchor", "ptype", "num", "heading", "profile", F.length("text").cast("long").alias("chars"))
+
+
+@query()
+def word_diff(c: Corpus) -> DataFrame:
+    provisions = c.provisions()
+    return diff.wording_changes(history.version_diff(history.consecutive(c.docs, provisions), provisions), c.texts)
+
+
+@query("""SELECT DISTINCT rid, anchor, concat_ws(', ', work_title, 'art. ' || num, 'version ' || string_split(rid, '|')[3]) AS citation FROM provisions WHERE rid IS NOT NULL""")
+def evidence_lines(c: Corpus) -> DataFrame:
+    return files.evidence(c.raw("provisions").where("rid is not null")).distinct()
+
+
+_WINDOWS = """SELECT strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2"""
+
+
+@query(_WINDOWS)
+def event_windows(c: Corpus) -> DataFrame:
+    return _text(incremental.windowed_counts(c.raw("events")))
+
+
+@query(_WINDOWS)
+def stream_event_windows(c: Corpus) -> DataFrame:
+    """The same windows from a stream of the table's file, with a watermark."""
+    counts = incremental.windowed_counts(incremental.read_stream(c.spark, c.directory, "events"))
+    return _text(incremental.run_available(counts, c.spark))
+
+
+def _text(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
