@@ -89,6 +89,9 @@ def cut_points(gap: np.ndarray, rolled: np.ndarray, limit: int = LIMIT, overlap:
     """
     cuts, at, n = [], 0, len(gap)
     room = limit - SPECIAL
+    if overlap >= room:
+        raise ValueError("the overlap leaves no room for new tokens")
+    least = max(least, overlap + 1)
     while n - at > room - (overlap if cuts else 0):
         most = room - (overlap if cuts else 0)
         low, high = at + min(least, most), at + most

@@ -158,7 +158,7 @@ def _prints(df: DataFrame, key: str, text: str, span: int, gram: int, lengths: l
 
     For items ``lengths`` is null; for texts it has the lengths of the short items.
     """
-    schema = df.select(key).schema.add("kind", "int").add("fp", "long")
+    schema = df.select(key).schema.add("kind", "integer").add("fp", "long")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
