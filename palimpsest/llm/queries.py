@@ -56,6 +56,30 @@ SELECT DISTINCT '{table}' AS item_table, sha256({text}) AS text_sha,
        ELSE 'inside' END AS boundary
 FROM {table} WHERE len(regexp_extract_all({text}, '[^ \\t\\r\\n]+')) > 254"""
 
+#: Exact neighbours by definition; the registered query finds them by graph search.
+_PAIRS = """WITH v AS (SELECT DISTINCT profile, chunk_sha, record FROM embedding_cache WHERE octet_length(record) = 72 AND lower(record_sha) = sha256(record) AND profile IS NOT NULL AND chunk_sha IS NOT NULL),
+b AS (SELECT profile, chunk_sha, list_transform(range(8, 72), lambda i: CAST('0x' || hex(record)[2*i+1:2*i+2] AS INT)) AS u FROM v),
+s AS (SELECT profile, chunk_sha, CAST(list_transform(u, lambda x: CASE WHEN x > 127 THEN x - 256 ELSE x END) AS DOUBLE[64]) AS a FROM b),
+d AS (SELECT x.profile, x.chunk_sha AS p, y.chunk_sha AS q, array_inner_product(x.a, y.a) AS dot FROM s x JOIN s y ON x.profile = y.profile AND x.chunk_sha <> y.chunk_sha),
+t AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY profile, p ORDER BY dot DESC, q) <= 5)
+SELECT DISTINCT profile, least(p, q) AS chunk_sha_a, greatest(p, q) AS chunk_sha_b FROM t WHERE dot >= 0.9 * 16129"""
+
+_WORDS = "regexp_extract_all(lower(strip_accents(regexp_replace({x}, '[\u00AD\u200B-\u200F\u2060-\u2064\uFEFF]', '', 'g'))), '[\\p{{L}}\\p{{N}}]+')"
+_GRAMS = """SELECT DISTINCT {key}, n, gram FROM (SELECT {key}, n, string_agg(t, ' ') OVER f AS gram, count(*) OVER f AS c FROM {words}
+  WINDOW f AS (PARTITION BY {key}, n ORDER BY k ROWS BETWEEN CURRENT ROW AND n - 1 FOLLOWING)) WHERE c = n"""
+_LEAKS = f"""WITH i AS (SELECT item_id, {_WORDS.format(x='passage')} AS w FROM eval_items WHERE passage IS NOT NULL),
+iw AS (SELECT item_id, least(13, len(w)) AS n, unnest(w) AS t, generate_subscripts(w, 1) AS k FROM i WHERE len(w) > 0),
+g AS ({_GRAMS.format(key='item_id', words='iw')}),
+d AS (SELECT doc_id, {_WORDS.format(x='text')} AS w FROM documents WHERE text IS NOT NULL),
+dt AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS k FROM d),
+dw AS (SELECT * FROM dt, (SELECT DISTINCT n FROM g)),
+h AS ({_GRAMS.format(key='doc_id', words='dw')}),
+found AS (SELECT DISTINCT doc_id, item_id FROM h JOIN g USING (n, gram))
+"""
+
 ORACLES: dict[str, str] = {
+    "p4_found": _PAIRS,
+    "p7_found": _LEAKS + "SELECT doc_id, item_id FROM found",
+    "p7_report": _LEAKS + "SELECT item_id, count(*) AS documents FROM found GROUP BY 1",
     "p3_found": _BOUNDARY.format(table="provisions", text="text_md") + " UNION ALL " + _BOUNDARY.format(table="semantic_chunks", text="text"),
 }
