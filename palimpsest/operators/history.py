@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.operators.snapshots import snapshot_order
+
 WORK = ["group_key", "language"]
 
 
 def version_sequence(docs: DataFrame, provisions: DataFrame) -> DataFrame:
-    """``group_key, language, rid, key, valid_from, valid_to, ordinal`` of versions that have provisions.
+    """``group_key, language, rid, key, valid_from, valid_to, ordinal, next_rid`` of versions that have provisions.
 
-    Versions of one day are steps of their own, in order of key.  Numbered per work over
-    its versions only, before the provisions are joined.
+    Versions of one day are steps of their own, in order of key.  Numbered over versions
+    only, before any provision is joined, and by day within a work, so that a work with a
+    third of all versions is not one task.
     """
     held = provisions.select("rid").distinct()
-    order = Window.partitionBy(*WORK).orderBy("key", "rid")
     rows = docs.join(held, "rid", "left_semi").select(*WORK, "rid", "key", "valid_from", "valid_to")
-    return rows.withColumn("ordinal", F.row_number().over(order))
+    order = snapshot_order(rows.select("rid", "key", F.struct(*WORK).alias("chain"), F.substring_index("key", "--", 1).alias("day")))
+    return rows.join(order.select("rid", (F.col("k") + 1).alias("ordinal"), "next_rid"), "rid")
 
 
 def wording_runs(docs: DataFrame, provisions: DataFrame) -> DataFrame:
@@ -73,9 +76,8 @@ def anchor_events(docs: DataFrame, provisions: DataFrame) -> DataFrame:
 
 def consecutive(docs: DataFrame, provisions: DataFrame) -> DataFrame:
     """Pairs ``from_rid, to_rid`` of consecutive versions that have provisions."""
-    steps = version_sequence(docs, provisions)
-    order = Window.partitionBy(*WORK).orderBy("ordinal")
-    return steps.select(*WORK, F.lag("rid").over(order).alias("from_rid"), F.col("rid").alias("to_rid")).where("from_rid is not null")
+    steps = version_sequence(docs, provisions).where("next_rid is not null")
+    return steps.select(*WORK, F.col("rid").alias("from_rid"), F.col("next_rid").alias("to_rid"))
 
 
 def version_diff(pairs: DataFrame, provisions: DataFrame) -> DataFrame:

@@ -9,15 +9,23 @@ from palimpsest.model import FilterSet, apply_filters
 from palimpsest.operators.temporal import as_of_join
 
 
-def _text(column: str):
-    return F.col(column).cast("string").alias(column)
+#: Provisions whose hashes are put in order in one go.
+DIGEST_BLOCK = 1024
 
 
 def wording_digests(docs: DataFrame, provisions: DataFrame) -> DataFrame:
-    """``rid, wording``: one hash per expression over its provisions' hashes in order of seq."""
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "text_sha")))
-    joined = F.array_join(F.transform(ordered, lambda x: x["text_sha"]), "")
-    return docs.select("rid").join(provisions, "rid").groupBy("rid").agg(F.sha2(joined, 256).alias("wording"))
+    """``rid, wording``: one hash per expression over its provisions' hashes in order of seq.
+
+    Blocks of ``DIGEST_BLOCK`` places are hashed first and the blocks' hashes then, so that
+    an expression of any length is never gathered in one row.
+    """
+
+    def digest(rows: DataFrame, by: list[str], order: str, value: str, name: str) -> DataFrame:
+        ordered = F.array_sort(F.collect_list(F.struct(order, value)))
+        return rows.groupBy(*by).agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x[value]), ""), 256).alias(name))
+
+    rows = docs.select("rid").join(provisions, "rid").withColumn("block", F.floor(F.col("seq") / DIGEST_BLOCK))
+    return digest(digest(rows, ["rid", "block"], "seq", "text_sha", "part"), ["rid"], "block", "part", "wording")
 
 
 def changes_in_period(docs: DataFrame, first: str, last: str, filters: FilterSet = FilterSet()) -> DataFrame:

@@ -89,7 +89,7 @@ def content_digest(c: Corpus) -> DataFrame:
     return history.table_digest(c.provisions(), ["rid", "seq", "anchor", "text_sha"])
 
 
-@query(f"""WITH {PROVISIONS} SELECT rid, sha256(string_agg(text_sha, '' ORDER BY seq, text_sha)) AS wording FROM p WHERE rid IN (SELECT rid FROM docs) GROUP BY 1""")
+@query(f"""WITH {PROVISIONS} SELECT rid, sha256(string_agg(w, '' ORDER BY b)) AS wording FROM (SELECT rid, seq // 1024 AS b, sha256(string_agg(text_sha, '' ORDER BY seq, text_sha)) AS w FROM p WHERE rid IN (SELECT rid FROM docs) GROUP BY 1, 2) GROUP BY 1""")
 def wording_digests(c: Corpus) -> DataFrame:
     from palimpsest.operators.rollups import wording_digests as digests
 

@@ -119,7 +119,7 @@ def overlap_window(c: Corpus) -> DataFrame:
 @query(_CHANGES + """, ends AS (SELECT group_key, 'a' AS side, coalesce(b, f) AS on_date FROM base UNION ALL SELECT group_key, 'b', l FROM base),
 state AS (SELECT e.group_key, e.side, (SELECT min(x.rid) FROM d x WHERE NOT x.withdrawn AND x.group_key = e.group_key AND x.valid_from = max(d.valid_from)) AS rid FROM ends e
           JOIN d ON d.group_key = e.group_key AND NOT d.withdrawn AND d.valid_from <= e.on_date AND (d.valid_to IS NULL OR d.valid_to >= e.on_date) GROUP BY 1, 2),
-digest AS (SELECT rid, sha256(string_agg(text_sha, '' ORDER BY seq)) AS w FROM p GROUP BY 1),
+digest AS (SELECT rid, sha256(string_agg(w, '' ORDER BY b)) AS w FROM (SELECT rid, seq // 1024 AS b, sha256(string_agg(text_sha, '' ORDER BY seq)) AS w FROM p GROUP BY 1, 2) GROUP BY 1),
 sides AS (SELECT group_key, max(CASE WHEN side = 'a' THEN w END) AS wa, max(CASE WHEN side = 'b' THEN w END) AS wb FROM state LEFT JOIN digest USING (rid) GROUP BY 1)
 SELECT group_key, versions, strftime(f, '%Y-%m-%d') AS first_change, strftime(l, '%Y-%m-%d') AS last_change, strftime(b, '%Y-%m-%d') AS baseline, kind, versions_total, title,
   CASE WHEN wa IS NULL AND wb IS NULL THEN 0 WHEN wa IS NULL OR wb IS NULL THEN 2 WHEN wa = wb THEN 1 ELSE 2 END AS distinct_texts, wa IS NOT NULL AND wb IS NOT NULL AS text_comparable
