@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -170,6 +171,42 @@ def plain(source: str) -> list[dict]:
     return unique_anchors(rows)
 
 
+# Names of months, French.
+MONTHS = ("janvier", "fevrier", "mars", "avril", "mai", "juin", "juillet", "aout", "septembre", "octobre", "novembre", "decembre")
+
+
+def squeeze(text: str) -> tuple[str, list[int]]:
+    """A text in lower case without accents and white space, and where each character was."""
+    out, at = [], []
+    for i, c in enumerate(text):
+        for d in unicodedata.normalize("NFD", c.lower()):
+            if not d.isspace() and not unicodedata.combining(d):
+                out.append(d)
+                at.append(i)
+    return "".join(out), at
+
+
+def gazette_window(issue: str, kind: str, date: str) -> str | None:
+    """The part of a gazette issue that is one act, found by its form and date.
+
+    The first day of a month is spelled ``1er``.  A place counts only if the first article
+    after it is Article 1; the window ends where another act's heading begins.
+    """
+    year, month, day = date.split("-")
+    spelled = f"{'1er' if int(day) == 1 else int(day)} {MONTHS[int(month) - 1]} {year}"
+    text, at = squeeze(issue)
+    for needle in (squeeze(f"{kind} du {spelled}")[0], squeeze(spelled)[0]):
+        place = text.find(needle)
+        while place >= 0:
+            start = at[place]
+            head = re.search(r"(?im)^[ \t]*art(?:icle|\.)\s*(\d+)", issue[start:])
+            if head and head[1] == "1":
+                other = re.search(r"(?im)^[ \t]*(?:loi|r[eè]glement(?: grand-ducal)?|arr[eê]t[eé]) du \d", issue[start + head.end() :])
+                return issue[start : start + head.end() + other.start()] if other else issue[start:]
+            place = text.find(needle, place + 1)
+    return None
+
+
 def whole(source: str) -> list[dict]:
     """The fallback: one provision of all the text, or none if there is no text."""
     reader = _Flat()

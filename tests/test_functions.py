@@ -185,6 +185,20 @@ def test_stream_equals_batch_and_replay(spark, tmp_path):
     assert log.count() == rows.select("rid").distinct().count()
 
 
+def test_rules():
+    from palimpsest.operators.extraction import gazette_window
+    from palimpsest.plans import rules
+
+    assert rules.greedy_budget([5, 9, 4, 1], 10) == [True, False, True, True]
+    assert all(rules.gates({"exact": 1, "no_hit": 1, "resolution": 1, "role": 1, "leaks": 0, "ndcg": 0.6}, 0.6, (0.5, 0.4), 200, 0.5).values())
+    assert not rules.gates({}, 0.6, (0.4, 0.4), 300, 0.8)["latency"]
+    assert rules.stamp_text({"b": "2", "a": "1"}) == "a=1\nb=2" and len(rules.stamp_hash({})) == 64
+    assert rules.equivalent_fraction({"a", "b"}, {"b"}) == 1.0 and rules.equivalent_fraction(set(), {"b"}) == 0.0
+    issue = "Sommaire: Loi du 1er août 2001\nArt. 7 x\nLOI  du 1er AOUT 2001 portant\nArticle 1 A\nArt. 2 B\nRèglement du 3 mai 2002\nArt. 1 C"
+    assert gazette_window(issue, "Loi", "2001-08-01") == "LOI  du 1er AOUT 2001 portant\nArticle 1 A\nArt. 2 B\n"
+    assert gazette_window(issue, "Loi", "1999-01-02") is None
+
+
 def test_whole_library_without_llm():
     """Nothing outside the subpackage imports it."""
     import pathlib
