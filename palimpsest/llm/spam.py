@@ -15,6 +15,8 @@ from palimpsest.llm.words import fold
 
 #: Share of a page's words that must be spam, and how often a substring must occur to count.
 SHARE, TIMES = 0.5, 3
+#: Words between repeated ones that belong to the same list at most.
+VARYING = 3
 #: Words of a clause at least, and words for each determiner or pronoun at most.
 CLAUSE_WORDS, PER_DETERMINER = 4, 12
 
@@ -113,8 +115,8 @@ def spam_share(text: str | None, times: int = TIMES) -> float:
     are rows of tables, entries of contents, headings and listed acts, unless they hold
     links.  If these make up half of the words, the page is no case whatever the rest is.
     Otherwise the automaton of the other words tells which of them belong to repeated
-    maximal substrings; links with their labels, tags and single words between repeated
-    ones belong to the list that they stand in.
+    maximal substrings; links with their labels, tags and up to ``VARYING`` words between
+    repeated ones belong to the list that they stand in.
     """
     if not text:
         return 0.0
@@ -129,11 +131,12 @@ def spam_share(text: str | None, times: int = TIMES) -> float:
     loose: list[list[str]] = []
     linked: list[bool] = []
     for segment in _BREAK.split(text):
-        found = _TOKEN.findall(fold(segment))
+        folded = fold(segment)
+        found = _TOKEN.findall(folded)
         if not found:
             continue
         total += len(found)
-        link = "http" in segment or "www." in segment
+        link = "http" in folded or "www." in folded
         plain = [t for t in found if t[0] != "#" and "/" not in t] if link or "#" in segment else found
         if _is_clause(plain):
             continue
@@ -158,8 +161,11 @@ def spam_share(text: str | None, times: int = TIMES) -> float:
         if link and "://" in map(_shape, found):
             spam += n
             continue
-        # a single word between repeated ones is the varying part of the phrase
-        spam += sum(c or ((i == 0 or own[i - 1]) and (i == n - 1 or own[i + 1]) and any(own)) for i, c in enumerate(own))
+        # a few words between repeated ones are the varying part of the list
+        hits = [i for i, c in enumerate(own) if c]
+        spam += len(hits)
+        if hits:
+            spam += sum(gap - 1 for gap in map(int.__sub__, [*hits, n], [-1, *hits]) if gap - 1 <= VARYING)
     return spam / total
 
 
