@@ -11,14 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.words import WordHashes, grams, winnow, words
-from palimpsest.session import is_small
 
 #: Consecutive words that make a leak.
 SPAN = 13
 #: Words of a fingerprinted gram; windows of SPAN - GRAM + 1 grams guarantee every span.
 GRAM = 7
-#: Items up to which their fingerprints are broadcast (200 here; a few hundred bytes each).
-BROADCAST_ITEMS = 50_000
+#: Items, and bytes of their passages, up to which they are broadcast (200 items here).
+BROADCAST_ITEMS, BROADCAST_BYTES = 50_000, 64_000_000
 
 
 def has_span(doc: list[str], item: list[str], span: int = SPAN) -> bool:
@@ -119,13 +118,14 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item
     repeated with the same id give one row; ids may be of any type, null ids are kept.
 
     Winnowed fingerprints of the passages meet those of the texts, and each pair that
-    shares one is confirmed on the words.  Up to ``BROADCAST_ITEMS`` items (counted) the
+    shares one is confirmed on the words.  Up to ``BROADCAST_ITEMS`` items of ``BROADCAST_BYTES`` (measured) the
     fingerprints go to every task and the corpus is read once, without a shuffle; beyond
     that both sides' fingerprints are joined by hash, and hits are confirmed after a join.
     """
     wanted = items.select(F.col(item_id).alias("__item"), F.col(passage).cast("string").alias("__passage")).where("__passage is not null and __passage <> ''").distinct()
     texts = docs.select(F.col(doc_id).alias("__doc"), F.col(text).cast("string").alias("__text")).where("__text is not null and __text <> ''")
-    if is_small(wanted, BROADCAST_ITEMS):
+    size = wanted.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("__passage")), F.lit(0)).alias("bytes")).first()
+    if size["n"] <= BROADCAST_ITEMS and size["bytes"] <= BROADCAST_BYTES:
         return _broadcast(texts, wanted, span, gram).toDF(doc_id, item_id).distinct()
     return _joined(texts, wanted, span, gram).toDF(doc_id, item_id).distinct()
 
