@@ -34,8 +34,9 @@ def eli_target(path: Column) -> Column:
 
 def citation_targets(citations: DataFrame, collections: DataFrame) -> DataFrame:
     """``parent, ref_table, ref_id, ref_at`` of every href that is a reference."""
-    tidy = _tidy(F.col("href"))
-    rows = citations.select(F.col("citation_id").alias("ref_id"), F.col("observed_from").alias("ref_at"), tidy.alias("r")).where("r <> ''")
+    # through a generator, so that no filter evaluates the tidying once more for itself
+    tidy = F.explode_outer(F.array(_tidy(F.col("href"))))
+    rows = citations.where("href is not null").select(F.col("citation_id").alias("ref_id"), F.col("observed_from").alias("ref_at"), tidy.alias("r")).where("r <> ''")
     eli = F.instr("r", "/eli/")
     parts = F.split("r", ":")
     named = F.when(F.size(parts) > 2, F.concat(F.lit("version|"), F.array_join(F.slice(parts, 1, 3), ":"))).otherwise(F.concat(F.lit("named|"), F.col("r")))
@@ -47,14 +48,15 @@ def citation_targets(citations: DataFrame, collections: DataFrame) -> DataFrame:
         own = rows.where(F.col("c").isNotNull() & F.contains("r", F.lit(":"))).join(collections.withColumnRenamed("collection", "c"), "c", "left_semi")
         held = rows.where("c is null").unionByName(own)
     target = F.when(eli > 0, eli_target(F.expr("substring(r, instr(r, '/eli/') + 5)"))).otherwise(named)
-    return held.select(target.alias("parent"), F.lit("citations").alias("ref_table"), "ref_id", "ref_at")
+    # never null: a join would otherwise test for that by parsing twice
+    return held.select(F.coalesce(target, F.lit("")).alias("parent"), F.lit("citations").alias("ref_table"), "ref_id", "ref_at")
 
 
 def observation_targets(observations: DataFrame) -> DataFrame:
     """``parent, ref_table, ref_id, ref_at`` of every observation; its key names a version."""
     key = F.concat(F.lit("version|"), _tidy(F.col("key")))
     return observations.where(F.col("key").isNotNull()).select(
-        key.alias("parent"), F.lit("obs_history").alias("ref_table"), F.col("obs_id").alias("ref_id"), F.col("observed_from").alias("ref_at")
+        F.coalesce(key, F.lit("")).alias("parent"), F.lit("obs_history").alias("ref_table"), F.col("obs_id").alias("ref_id"), F.col("observed_from").alias("ref_at")
     )
 
 
