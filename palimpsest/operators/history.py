@@ -57,12 +57,11 @@ def anchor_events(docs: DataFrame, provisions: DataFrame) -> DataFrame:
     steps = version_sequence(docs, provisions)
     rows = steps.join(provisions, "rid").groupBy(*WORK, "ordinal", "anchor").agg(F.min("text_sha").alias("text_sha"))
     later = steps.where("ordinal > 1").select(*WORK, "ordinal", F.col("key").alias("at_version"))
-    now = rows.join(later, [*WORK, "ordinal"])
-    before = rows.withColumn("ordinal", F.col("ordinal") + 1).join(later, [*WORK, "ordinal"])
-    on = [*WORK, "ordinal", "at_version", "anchor"]
-    inserted = now.join(before, on, "left_anti").select(*on, "text_sha", F.lit("inserted").alias("etype"))
-    removed = before.join(now, on, "left_anti").select(*on, "text_sha", F.lit("removed").alias("etype"))
-    changed = inserted.unionByName(removed)
+    # each anchor of a version speaks for that version and, as its past, for the next one
+    sides = F.explode(F.array(F.struct(F.lit("inserted").alias("etype"), F.col("ordinal").alias("ordinal")), F.struct(F.lit("removed").alias("etype"), (F.col("ordinal") + 1).alias("ordinal"))))
+    spoken = rows.select(*WORK, "anchor", "text_sha", sides.alias("s")).select(*WORK, "s.ordinal", "anchor", "text_sha", "s.etype")
+    single = spoken.groupBy(*WORK, "ordinal", "anchor").agg(F.count(F.lit(1)).alias("n"), F.min("etype").alias("etype"), F.min("text_sha").alias("text_sha")).where("n = 1")
+    changed = single.drop("n").join(later, [*WORK, "ordinal"])
     by_text = changed.groupBy(*WORK, "ordinal", "at_version", "text_sha").agg(
         F.sum((F.col("etype") == "inserted").cast("int")).alias("ins"), F.sum((F.col("etype") == "removed").cast("int")).alias("rem"),
         F.min(F.when(F.col("etype") == "inserted", F.col("anchor"))).alias("to_anchor"), F.min(F.when(F.col("etype") == "removed", F.col("anchor"))).alias("from_anchor"),
