@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.session import broadcast_if_small
+
 
 def href_slug(href):
     """The slug of an ELI href: what follows ``/eli/`` and two segments, joined by hyphens.
@@ -19,6 +21,21 @@ def href_slug(href):
     return F.nullif(F.array_join(F.filter(head, lambda s: s != "jo"), "-"), F.lit(""))
 
 
+def resolved(citations: DataFrame, docs: DataFrame) -> DataFrame:
+    """The citations with the work that each means as ``cited_slug``; null if it means none.
+
+    The href decides: an ELI path, or a collection of docs, a colon and the work.  Only where
+    it names no work does the slug that an earlier build stored stand in for it.
+    """
+    tidy = F.lower(F.trim(F.regexp_replace("href", "(?s)[?#].*$", "")))
+    parts = F.split(tidy, ":")
+    collections = docs.select(F.lower(F.trim("collection")).alias("_collection")).where("_collection <> ''").distinct().withColumn("_known", F.lit(True))
+    rows = citations.withColumns({"_collection": F.when(F.size(parts) > 1, parts[0]), "_named": F.nullif(F.trim(F.get(parts, F.lit(1))), F.lit(""))})
+    rows = rows.join(broadcast_if_small(collections), "_collection", "left")
+    slug = F.coalesce(href_slug(F.col("href")), F.when(F.col("_known"), F.col("_named")), F.lower("cited_slug"))
+    return rows.withColumn("cited_slug", slug).select(*citations.columns)
+
+
 def citation_targets(citations: DataFrame, works: DataFrame) -> DataFrame:
     """``citation_id, slug, target, matched``: the held work that a citation means.
 
@@ -45,9 +62,10 @@ def citations_of(citations: DataFrame) -> DataFrame:
 def cited_by(citations: DataFrame, docs: DataFrame, provisions: DataFrame) -> DataFrame:
     """Distinct citing places of every cited work: version, day, anchor and its number.
 
-    Live citing versions only; the number is null where the anchor is not held.
+    Live citing versions only; the number is null where the anchor is not held.  The cited
+    work is what the href means (see ``resolved``).
     """
-    edges = citations.where("cited_slug is not null").select("rid", "anchor", "cited_slug").distinct()
+    edges = resolved(citations, docs).where("cited_slug is not null").select("rid", "anchor", "cited_slug").distinct()
     citing = docs.where("not withdrawn").select("rid", "group_key", "key", "valid_from")
     nums = provisions.select("rid", "anchor", "num").distinct()
     return edges.join(citing, "rid").join(nums, ["rid", "anchor"], "left").select("cited_slug", "group_key", "key", "valid_from", "anchor", "num").distinct()
@@ -55,7 +73,7 @@ def cited_by(citations: DataFrame, docs: DataFrame, provisions: DataFrame) -> Da
 
 def most_cited(citations: DataFrame, docs: DataFrame, limit: int) -> DataFrame:
     """The works cited by most distinct live works."""
-    edges = citations.where("cited_slug is not null").select("rid", "cited_slug").distinct()
+    edges = resolved(citations, docs).where("cited_slug is not null").select("rid", "cited_slug").distinct()
     rows = edges.join(docs.where("not withdrawn").select("rid", "group_key"), "rid")
     return rows.groupBy("cited_slug").agg(F.countDistinct("group_key").alias("works")).orderBy(F.col("works").desc(), "cited_slug").limit(limit)
 

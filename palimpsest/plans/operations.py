@@ -204,7 +204,9 @@ class Operations:
 
     def _cited_by(self, a: dict) -> Envelope:
         slug = a["work"].split(":")[-1] if "/" not in a["work"] else a["work"]
-        edges = self.corpus.citations.where((F.col("cited_slug") == slug) | (citations.href_slug(F.col("href")) == slug)).withColumn("cited_slug", F.lit(slug))
+        edges = self.corpus.citations.where((F.col("cited_slug") == slug) | (citations.href_slug(F.col("href")) == slug))
+        # either of them names the work here, so that nothing is left to be resolved
+        edges = edges.withColumns({"cited_slug": F.lit(slug), "href": F.lit(None).cast("string")})
         rows = citations.cited_by(edges, self.corpus.docs, self.corpus.provisions("num"))
         page = rollups.page(rows, [F.col("valid_from").desc(), F.col("group_key"), F.col("anchor")], a["limit"])
         return Envelope("ok" if page.take(1) else "no_result", page)

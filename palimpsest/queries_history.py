@@ -139,7 +139,7 @@ def citation_alias(c: Corpus) -> DataFrame:
 @query(f"""WITH {_CITES}, {DOCS}, e AS (SELECT DISTINCT d.group_key AS source, cited_slug AS target FROM c JOIN d USING (rid)), s AS (SELECT DISTINCT group_key AS node FROM d WHERE kind = 'LOI')
 SELECT node FROM (SELECT target AS node FROM e WHERE source IN (SELECT node FROM s) UNION SELECT source FROM e WHERE target IN (SELECT node FROM s)) WHERE node IS NOT NULL AND node NOT IN (SELECT node FROM s)""")
 def citation_closure(c: Corpus) -> DataFrame:
-    edges = c.citations.join(c.docs.select("rid", F.col("group_key").alias("source")), "rid").select("source", F.col("cited_slug").alias("target")).distinct()
+    edges = cite.resolved(c.citations, c.docs).join(c.docs.select("rid", F.col("group_key").alias("source")), "rid").select("source", F.col("cited_slug").alias("target")).distinct()
     return cite.closure(edges, c.docs.where("kind = 'LOI'").select("group_key"))
 
 
