@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
+from palimpsest import queries_temporal
 from palimpsest.operators import citations
-from tests.test_core import D, T, doc, docs, got  # noqa: F401
+from tests.test_core import doc, docs, got
 
 
 def test_edges_follow_the_href(spark):
@@ -23,3 +26,9 @@ def test_edges_follow_the_href(spark):
     want = [("loi-1", "loi-2", "h", None), ("loi-2", "loi-1", "a", "1"), ("loi-2", "loi-1", "b", None), ("loi-2", "loi-1", "c", None), ("loi-2", "loi-2", "i", None), ("loi-5", "loi-1", "d", None)]
     assert got(out, "cited_slug", "group_key", "anchor", "num") == want
     assert [tuple(r) for r in citations.most_cited(cites, held, 2).collect()] == [("loi-2", 2), ("loi-1", 1)]
+
+
+def test_as_of_work_answers_for_every_work(spark):
+    held = docs(spark, doc("w1", "2016-01-01"), doc("w2", "2010-01-01"), doc("w2", "2011-01-01", n=1), doc("w2", "2011-01-01", language="fr", n=1), doc("w3", "2012-01-01"), doc("w4", "2012-01-01", withdrawn=True))
+    out = queries_temporal.as_of_work(SimpleNamespace(docs=held, live=held.where("not withdrawn")))
+    assert got(out, "group_key", "valid_from", "containing") == [("w2", "2011-01-01", 2), ("w3", "2012-01-01", 1)]
