@@ -21,10 +21,8 @@ HOMES, PROBES = 1, 4
 #: Out-degree and beam of a graph, and how much farther than by way of a neighbour a
 #: candidate may be before it is pruned.
 DEGREE, BEAM, SLACK = 20, 40, 1.2
-#: Neighbours that a shard returns of each vector.
-RETURNED = 6
-#: Vectors that search in step.
-STEP = 1_024
+#: Vectors that search in step, and products of an exact search that are held at a time.
+STEP, PRODUCTS = 1_024, 4_000_000
 
 
 def decode(records: pd.Series) -> np.ndarray:
@@ -195,7 +193,7 @@ def valid_vectors(cache: DataFrame) -> DataFrame:
 
 
 def _route(vectors: DataFrame) -> DataFrame:
-    """``vid, record, cell, rank``: the nearest cells of each vector, nearest first.
+    """``vid, place, record, cell, rank``: the nearest cells of each vector, nearest first.
 
     Cells are numbered through all profiles, so that a cell belongs to one profile.
     """
@@ -225,38 +223,85 @@ def _route(vectors: DataFrame) -> DataFrame:
                 probes = min(PROBES, len(centre))
                 near = _unit(decode(part.record)) @ centre.T
                 cells = base + np.argsort(-near, axis=1, kind="stable")[:, :probes]
-                out = part.loc[part.index.repeat(probes), ["vid", "record"]].reset_index(drop=True)
+                out = part.loc[part.index.repeat(probes), ["vid", "place", "record"]].reset_index(drop=True)
                 yield out.assign(cell=cells.ravel().astype(np.int32), rank=np.tile(np.arange(probes, dtype=np.int32), len(part)))
 
-    return vectors.mapInPandas(route, "vid long, record binary, cell int, rank int")
+    return vectors.mapInPandas(route, "vid long, place long, record binary, cell int, rank int")
 
 
-def _search_shard(rows: pd.DataFrame) -> pd.DataFrame:
-    """The nearest members of one shard for each vector that asks there."""
+def _best(dot: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of each row's ``k`` largest products; of equal ones those of smaller place.
+
+    Those that are equal in both to the last are in as well.
+    """
+    k = min(k, dot.shape[1])
+    kth = -np.partition(-dot, k - 1, axis=1)[:, k - 1 : k]
+    r, c = np.nonzero((dot >= kth) & np.isfinite(dot))
+    d, p = dot[r, c], place[r, c]
+    order = np.lexsort((p, -d, r))
+    r, c, d, p = r[order], c[order], d[order], p[order]
+    first = np.searchsorted(r, r)
+    last = np.minimum(first + k, np.searchsorted(r, r, side="right")) - 1
+    ok = (d > d[last]) | ((d == d[last]) & (p <= p[last]))
+    return r[ok], c[ok]
+
+
+def _search_shard(rows: pd.DataFrame, k: int, least: float = -np.inf) -> pd.DataFrame:
+    """The ``k`` best members of one shard, of products of ``least`` on, for each vector that asks there.
+
+    A beam is enough where its farthest vector shows that no vector beyond it can reach the
+    last of the ``k``; where it does not, as among many near copies, all members are compared.
+    """
     rows = rows.sort_values("vid", kind="stable")
     home = rows[rows["home"]]
     if not len(home):
         return pd.DataFrame({"vid": np.zeros(0, np.int64), "other": np.zeros(0, np.int64), "dot": np.zeros(0, np.int32)})
     members, sought = decode(home.record), decode(rows.record)
     graph = Graph(_unit(members))
-    vids, asking = home.vid.to_numpy(), rows.vid.to_numpy()
+    vids, asking, places = home.vid.to_numpy(), rows.vid.to_numpy(), home.place.to_numpy()
     exact, unit = members.astype(np.float32), _unit(sought)
+    longest = float(np.linalg.norm(exact, axis=1).max())
+    step = max(1, PRODUCTS // len(home))
     parts = []
-    for at in range(0, len(asking), STEP):
-        ids, _ = graph.search(unit[at : at + STEP], keep=BEAM)
+
+    def keep(at: np.ndarray, dot: np.ndarray, ids: np.ndarray) -> None:
+        r, c = _best(dot, places[ids], k)
+        parts.append(pd.DataFrame({"vid": asking[at[r]], "other": vids[ids[r, c]], "dot": dot[r, c].astype(np.int32)}))
+
+    for first in range(0, len(asking), STEP):
+        at = np.arange(first, min(first + STEP, len(asking)))
+        ids, far = graph.search(unit[at], keep=BEAM)
+        own = sought[at].astype(np.float32)
         # products of signed bytes are exact in single precision
-        dot = np.einsum("qd,qkd->qk", sought[at : at + STEP].astype(np.float32), exact[ids])
-        dot = np.where((ids < 0) | (vids[ids] == asking[at : at + STEP, None]), -np.inf, dot)
-        top = np.argsort(-dot, axis=1, kind="stable")[:, :RETURNED]
-        best = np.take_along_axis(dot, top, axis=1)
-        r, c = np.nonzero(np.isfinite(best))
-        to = np.take_along_axis(ids, top, axis=1)[r, c]
-        parts.append(pd.DataFrame({"vid": asking[at + r], "other": vids[to], "dot": best[r, c].astype(np.int32)}))
+        dot = np.einsum("qd,qkd->qk", own, exact[ids])
+        dot = np.where((ids < 0) | (vids[ids] == asking[at, None]) | (dot < least), -np.inf, dot)
+        kth = -np.sort(-dot, axis=1)[:, min(k, dot.shape[1]) - 1]
+        # no vector beyond a full beam has a greater product than this, but for rounding;
+        # a beam that is not full met all members or those that the graph leads to
+        met = (ids >= 0).sum(axis=1)
+        beyond = np.where(met == ids.shape[1], (1 - far[:, -1] + 1e-5) * np.linalg.norm(own, axis=1) * longest, np.inf)
+        short = (met < len(home)) & (beyond >= np.maximum(kth, least))
+        keep(at[~short], dot[~short], ids[~short])
+        again = at[short]
+        for x in range(0, len(again), step):
+            part = again[x : x + step]
+            dot = sought[part].astype(np.float32) @ exact.T
+            dot = np.where((vids[None, :] == asking[part, None]) | (dot < least), -np.inf, dot)
+            keep(part, dot, np.broadcast_to(np.arange(len(vids)), dot.shape))
     return pd.concat(parts)
 
 
-def nearest_classes(vectors: DataFrame, k: int) -> DataFrame:
-    """``vid, other, dot``: of each vector the ``k`` most similar others, and those as similar as the last."""
+def _place(name: str):
+    """A number that orders names as they do, by their first seven bytes."""
+    return F.conv(F.rpad(F.substring(F.hex(F.col(name)), 1, 14), 14, "0"), 16, 10).cast("long")
+
+
+def nearest_classes(vectors: DataFrame, k: int, least: float = -np.inf) -> DataFrame:
+    """``vid, other, dot``: of each vector the ``k`` most similar others, of products of ``least`` on.
+
+    ``vectors`` has ``profile, vid, place, record``; of those as similar as the last the ones
+    of smaller place are among the result, however many they are.
+    """
     routed = _route(vectors)
     counts = routed.where(F.col("rank") < HOMES).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
     # a cell that outgrew a shard is split by hash, and searched in all its parts
@@ -266,9 +311,9 @@ def nearest_classes(vectors: DataFrame, k: int) -> DataFrame:
         own = F.when(F.col("cell") == cell, F.pmod(F.xxhash64("vid"), F.lit(n)).cast("int")).otherwise(own)
         asked = F.when(F.col("cell") == cell, F.sequence(F.lit(0), F.lit(n - 1))).otherwise(asked)
     tagged = routed.withColumns({"own": own, "part": F.explode(asked)})
-    tagged = tagged.select("vid", "record", "cell", "part", ((F.col("rank") < HOMES) & (F.col("part") == F.col("own"))).alias("home"))
+    tagged = tagged.select("vid", "place", "record", "cell", "part", ((F.col("rank") < HOMES) & (F.col("part") == F.col("own"))).alias("home"))
     # one shard a group: bounded by SHARD_MOST members and their share of the probes
-    hits = tagged.groupBy("cell", "part").applyInPandas(_search_shard, "vid long, other long, dot int")
+    hits = tagged.groupBy("cell", "part").applyInPandas(lambda rows: _search_shard(rows, k, least), "vid long, other long, dot int")
     ranked = Window.partitionBy("vid").orderBy(F.col("dot").desc())
     return hits.withColumn("i", F.rank().over(ranked)).where(F.col("i") <= k).select("vid", "other", "dot")
 
@@ -295,10 +340,11 @@ def similar_pairs(cache: DataFrame, k: int = 5, least: float = 0.9) -> DataFrame
     named = rows.withColumn("i", F.row_number().over(first)).where(F.col("i") <= k + 1)
     classes = named.groupBy("profile", "vid").agg(F.min(F.struct("chunk_sha", "record")).alias("m"), F.array_sort(F.collect_set("chunk_sha")).alias("names"))
     at_least = int(np.ceil(round(least * 127 * 127, 6)))
-    vectors = classes.select("profile", "vid", F.col("m.record").alias("record"))
+    # of a class only its smallest name can decide a tie for a place among the k best classes
+    vectors = classes.select("profile", "vid", _place("m.chunk_sha").alias("place"), F.col("m.record").alias("record"))
     names = classes.select(F.col("vid").alias("other"), "names")
     norms = classes.select("vid", F.col("vid").alias("other"), _square("m.record").alias("dot"))
-    near = nearest_classes(vectors, k).where(F.col("dot") >= at_least)
+    near = nearest_classes(vectors, k, at_least)
     listed = near.unionByName(norms).join(names, "other").select("vid", "dot", F.explode("names").alias("name"))
     pooled = Window.partitionBy("vid").orderBy(F.col("dot").desc(), "name")
     pool = listed.withColumn("i", F.row_number().over(pooled)).where(F.col("i") <= k + 1)

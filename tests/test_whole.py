@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from types import SimpleNamespace
 
+import numpy as np
+
 from palimpsest import queries_temporal
+from palimpsest.llm import neighbours
 from palimpsest.operators import citations
+from tests.llm.test_llm import brute, cache_row
 from tests.test_core import doc, docs, got
 
 
@@ -32,3 +36,23 @@ def test_as_of_work_answers_for_every_work(spark):
     held = docs(spark, doc("w1", "2016-01-01"), doc("w2", "2010-01-01"), doc("w2", "2011-01-01", n=1), doc("w2", "2011-01-01", language="fr", n=1), doc("w3", "2012-01-01"), doc("w4", "2012-01-01", withdrawn=True))
     out = queries_temporal.as_of_work(SimpleNamespace(docs=held, live=held.where("not withdrawn")))
     assert got(out, "group_key", "valid_from", "containing") == [("w2", "2011-01-01", 2), ("w3", "2012-01-01", 1)]
+
+
+def test_ties_go_to_the_smaller_name_however_many(spark):
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(2, 64))
+    base = np.round(90 * base / np.linalg.norm(base, axis=1, keepdims=True)).astype(np.int8)
+    base[:, :60] = np.where(base[:, :60] == 0, 1, base[:, :60])
+    base[1] = -base[0]
+    # members differ in one byte that is alike in all: equal products with the base and each other
+    v = np.concatenate([np.repeat(base[:1], 61, axis=0), np.repeat(base[1:], 9, axis=0)])
+    v[:, :60] = np.sign(v[:, :60]) * 16
+    for i in range(60):
+        v[1 + i, i] += np.sign(v[1 + i, i])
+    for i in range(8):
+        v[62 + i, i] += np.sign(v[62 + i, i])
+    names = [f"n{i:04d}" for i in rng.permutation(len(v))]
+    df = spark.createDataFrame([cache_row("p", n, x) for n, x in zip(names, v)], "profile string, chunk_sha string, record binary, record_sha string")
+    for k in (5, 10):
+        want = sorted(("p", *x) for x in brute(v, names, k))
+        assert len(want) > 100 and got(neighbours.similar_pairs(df, k=k)) == want
