@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Cells of a comparison at most; larger ones are made by paragraphs first.
+#: Cells of a table that is held at most; larger comparisons are halved until they fit.
 CELLS = 4_000_000
 # Typographic variants that count as the same character.
 _SAME = str.maketrans({"’": "'", "‘": "'", "“": '"', "”": '"', "«": '"', "»": '"', "–": "-", "—": "-", " ": " ", " ": " ", "œ": "oe", "æ": "ae"})
@@ -23,7 +23,7 @@ def same_word(word: str) -> str:
 def common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """Index pairs of a longest common subsequence.
 
-    Equal ends are taken off first; the rest is a table filled row by row in numpy.
+    Equal ends are taken off first; the rest is compared in numpy, whatever its size.
     """
     head = 0
     while head < min(len(a), len(b)) and a[head] == b[head]:
@@ -37,33 +37,53 @@ def common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
         ids: dict[str, int] = {}
         p = np.array([ids.setdefault(w, len(ids)) for w in x])
         q = np.array([ids.setdefault(w, len(ids)) for w in y])
-        table = np.zeros((len(p) + 1, len(q) + 1), np.int32)
-        for i in range(len(p)):
-            # from above, diagonally where equal, then the running maximum from the left
-            row = np.maximum(table[i, 1:], np.where(q == p[i], table[i, :-1] + 1, 0))
-            table[i + 1, 1:] = np.maximum.accumulate(row)
-        i, j, found = len(p), len(q), []
-        while i and j:
-            if p[i - 1] == q[j - 1]:
-                found.append((head + i - 1, head + j - 1))
-                i, j = i - 1, j - 1
-            elif table[i - 1, j] >= table[i, j - 1]:
-                i -= 1
-            else:
-                j -= 1
-        pairs += found[::-1]
+        pairs += _matched(p, q, head, head)
     return pairs + [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
 
 
-def word_diff(old: str, new: str) -> list[tuple[str, str]]:
-    """``(kind, word)`` in order: ``=`` kept, ``-`` removed, ``+`` added.
+def _next_row(row: np.ndarray, word: int, q: np.ndarray) -> np.ndarray:
+    """From above, diagonally where equal, then the running maximum from the left."""
+    return np.maximum.accumulate(np.maximum(row[1:], np.where(q == word, row[:-1] + 1, 0)))
+
+
+def _lengths(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of ``p`` and each beginning of ``q``."""
+    row = np.zeros(len(q) + 1, np.int32)
+    for word in p:
+        row[1:] = _next_row(row, word, q)
+    return row
+
+
+def _matched(p: np.ndarray, q: np.ndarray, i0: int, j0: int) -> list[tuple[int, int]]:
+    """Index pairs of a longest common subsequence, from ``i0`` and ``j0`` on.
 
-    Texts too long for one table are compared by paragraphs, and only paragraphs that
-    differ word by word where they fit.
+    Where the table would be too large, ``p`` is halved and ``q`` cut where the halves have
+    most in common, which loses nothing and holds a row at a time.
     """
+    if not len(p) or not len(q):
+        return []
+    if len(p) > 1 and len(p) * len(q) > CELLS:
+        half = len(p) // 2
+        cut = int(np.argmax(_lengths(p[:half], q) + _lengths(p[half:][::-1], q[::-1])[::-1]))
+        return _matched(p[:half], q[:cut], i0, j0) + _matched(p[half:], q[cut:], i0 + half, j0 + cut)
+    table = np.zeros((len(p) + 1, len(q) + 1), np.int32)
+    for i in range(len(p)):
+        table[i + 1, 1:] = _next_row(table[i], p[i], q)
+    i, j, found = len(p), len(q), []
+    while i and j:
+        if p[i - 1] == q[j - 1]:
+            found.append((i0 + i - 1, j0 + j - 1))
+            i, j = i - 1, j - 1
+        elif table[i - 1, j] >= table[i, j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return found[::-1]
+
+
+def word_diff(old: str, new: str) -> list[tuple[str, str]]:
+    """``(kind, word)`` in order: ``=`` kept, ``-`` removed, ``+`` added; by the same rule at any size."""
     a, b = re.findall(r"\S+", old), re.findall(r"\S+", new)
-    if len(a) * len(b) > CELLS:
-        return _by_paragraph(old, new)
     out, i, j = [], 0, 0
     for x, y in [*common([same_word(w) for w in a], [same_word(w) for w in b]), (len(a), len(b))]:
         out += [("-", w) for w in a[i:x]] + [("+", w) for w in b[j:y]]
@@ -73,21 +93,6 @@ def word_diff(old: str, new: str) -> list[tuple[str, str]]:
     return out
 
 
-def _by_paragraph(old: str, new: str) -> list[tuple[str, str]]:
-    a, b = (re.split(r"\n\s*\n", t) for t in (old, new))
-    out, i, j = [], 0, 0
-    for x, y in [*common(a, b), (len(a), len(b))]:
-        before, after = "\n\n".join(a[i:x]), "\n\n".join(b[j:y])
-        if len(before.split()) * len(after.split()) <= CELLS:
-            out += word_diff(before, after)
-        else:
-            out += [("-", w) for w in before.split()] + [("+", w) for w in after.split()]
-        if x < len(a) and y < len(b):
-            out += [("=", w) for w in b[y].split()]
-        i, j = x + 1, y + 1
-    return out
-
-
 def line_diff(old: str, new: str) -> list[tuple[str, str]]:
     a, b = old.splitlines(), new.splitlines()
     out, i, j = [], 0, 0

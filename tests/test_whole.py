@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import random
 from types import SimpleNamespace
 
 import numpy as np
 
 from palimpsest import queries_temporal
 from palimpsest.llm import neighbours
-from palimpsest.operators import citations
+from palimpsest.operators import citations, diff
 from tests.llm.test_llm import brute, cache_row
 from tests.test_core import doc, docs, got
 
@@ -56,3 +57,17 @@ def test_ties_go_to_the_smaller_name_however_many(spark):
     for k in (5, 10):
         want = sorted(("p", *x) for x in brute(v, names, k))
         assert len(want) > 100 and got(neighbours.similar_pairs(df, k=k)) == want
+
+
+def test_long_diffs_are_as_exact_as_short_ones(monkeypatch):
+    words = [f"w{i}" for i in range(3100)]
+    kinds = [k for k, _ in diff.word_diff(" ".join(["a", *words, "z"]), " ".join(["b", *words[:1500], "new", *words[1501:], "y"]))]
+    assert (kinds.count("="), kinds.count("-"), kinds.count("+")) == (3099, 3, 3)
+    assert {k for k, _ in diff.word_diff("x " + "L’A " * 2500 + "x", "y " + "l'a " * 2500 + "y")} == {"=", "-", "+"}
+    rng = random.Random(12)
+    pairs = [[[rng.choice("abcd") for _ in range(rng.randrange(25))] for _ in range(2)] for _ in range(200)]
+    exact = [len(diff.common(a, b)) for a, b in pairs]
+    monkeypatch.setattr(diff, "CELLS", 9)
+    for (a, b), n in zip(pairs, exact):
+        found = diff.common(a, b)
+        assert len(found) == n and all(a[i] == b[j] for i, j in found) and all(x < y and u < w for (x, u), (y, w) in zip(found, found[1:]))
