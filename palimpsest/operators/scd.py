@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.session import broadcast_if_small
+
 
 def observation_chain(observations: DataFrame) -> DataFrame:
     """Observations of an expression in order, each ended by the next one.
@@ -113,7 +115,9 @@ def unmatched_states(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
     return rows.select("rid", F.coalesce("candidates", F.lit(0)).alias("candidates")).where("candidates <> 1")
 
 
-def cache_misses(wanted: DataFrame, cache: DataFrame, profile: str) -> DataFrame:
-    """Distinct chunk hashes that have no record under a profile: what is still to be encoded."""
-    held = cache.where((F.col("profile") == profile) & F.col("record").isNotNull()).select("chunk_sha")
-    return wanted.where("chunk_sha is not null").select("chunk_sha").distinct().join(held, "chunk_sha", "left_anti")
+def cache_misses(wanted: DataFrame, cache: DataFrame) -> DataFrame:
+    """``profile, chunk_sha``: distinct chunk hashes that have no record under each profile: what is still to be encoded."""
+    profiles = cache.where("profile is not null").select("profile").distinct()
+    held = cache.where(F.col("record").isNotNull()).select("profile", "chunk_sha")
+    chunks = wanted.where("chunk_sha is not null").select("chunk_sha").distinct()
+    return chunks.crossJoin(broadcast_if_small(profiles)).select("profile", "chunk_sha").join(held, ["profile", "chunk_sha"], "left_anti")

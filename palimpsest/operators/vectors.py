@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Queries and rows of a block, and products of a block that are held at a time.
+QUERIES, ROWS, PRODUCTS = 500, 100_000, 4_000_000
+#: Rows that the ladder compares by their exact products.
+NARROW = 500
+_HITS = "profile string, asked string, chunk_sha string, distance int, dot int"
+
 
 def sign_words(record: str) -> list[Column]:
     """The 64 sign bits of a record as two numbers of 32 bits."""
@@ -63,6 +69,79 @@ def ladder(vectors: DataFrame, query: bytes, limit: int, keep: Column | None = N
     return reranked(held.orderBy("distance", "chunk_sha").limit(500), query, limit)
 
 
+def askers(vectors: DataFrame) -> DataFrame:
+    """The vectors that ask: those whose chunk_sha (its first 15 hex digits) is divisible by 20."""
+    return vectors.where(F.conv(F.substring("chunk_sha", 1, 15), 16, 10).cast("long") % 20 == 0)
+
+
+def _blocks(vectors: DataFrame, choose) -> tuple[DataFrame, bool]:
+    """Every asker against all vectors of its profile; whether a block held all of these.
+
+    Blocks of queries meet blocks of rows, each pair in a task.  ``choose`` gets distances and
+    products of some queries and tells which columns to return; rows are in order of chunk_sha.
+    """
+    own = vectors.where("profile is not null and chunk_sha is not null")
+    asking = askers(own).select("profile", F.col("chunk_sha").alias("asked"), F.col("record").alias("query"))
+    most = lambda df: df.groupBy("profile").count().agg(F.max("count")).first()[0] or 1
+    parts, blocks = -(-most(own) // ROWS), -(-most(asking) // QUERIES)
+    part, block = (F.pmod(F.xxhash64(x), F.lit(n)).cast("int") for x, n in (("chunk_sha", parts), ("asked", blocks)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asking.select("*", block.alias("block"), every(parts).alias("part")).groupBy("profile", "block", "part")
+    right = own.select("profile", "chunk_sha", "record", part.alias("part"), every(blocks).alias("block")).groupBy("profile", "block", "part")
+
+    def meet(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.int32), np.zeros(0, np.int32))]
+        rows = rows.sort_values("chunk_sha")
+        if len(queries) and len(rows):
+            signs, values = _arrays(rows.record)
+            own_signs, own_values = _arrays(queries["query"])
+            step = max(1, PRODUCTS // len(rows))
+            for at in range(0, len(queries), step):
+                # sums of 64 products of bytes are exact in single precision
+                distance = ((64 - own_signs[at : at + step] @ signs.T) / 2).astype(np.int32)
+                dot = (own_values[at : at + step] @ values.T).astype(np.int32)
+                r, c = choose(distance, dot)
+                found.append((at + r, c, distance[r, c], dot[r, c]))
+        r, c, distance, dot = (np.concatenate(x) for x in zip(*found))
+        names = [x.to_numpy(object)[i] for x, i in ((queries["profile"], r), (queries["asked"], r), (rows["chunk_sha"], c))]
+        return pd.DataFrame(dict(zip(("profile", "asked", "chunk_sha"), names)) | {"distance": distance, "dot": dot})
+
+    return left.cogroup(right).applyInPandas(meet, _HITS), parts == 1
+
+
+def _arrays(records: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Sign bits as -1 and 1, and signed bytes, a row each."""
+    raw = np.frombuffer(b"".join(records), np.uint8).reshape(len(records), -1)
+    return np.unpackbits(raw[:, :8], axis=1).astype(np.float32) * 2 - 1, raw[:, 8:].view(np.int8).astype(np.float32)
+
+
+def _first(hits: DataFrame, n: int, *order) -> DataFrame:
+    ranked = Window.partitionBy("profile", "asked").orderBy(*order, "chunk_sha")
+    return hits.withColumn("_i", F.row_number().over(ranked)).where(F.col("_i") <= n).drop("_i")
+
+
+def nearest(vectors: DataFrame, near: int, limit: int | None = None) -> DataFrame:
+    """``profile, asked, chunk_sha, distance, dot``: the ``near`` rows of fewest differing bits of every asker.
+
+    With ``limit`` those of them with the greatest products, as in ``ladder``.
+    """
+
+    def choose(distance: np.ndarray, dot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key = distance.astype(np.int64) * distance.shape[1] + np.arange(distance.shape[1])
+        n = min(near, distance.shape[1])
+        c = np.argpartition(key, n - 1, axis=1)[:, :n]
+        return np.repeat(np.arange(len(c)), n), c.ravel()
+
+    hits, whole = _blocks(vectors, choose)
+    hits = hits if whole else _first(hits, near, "distance")
+    return hits if limit is None else _first(hits, limit, F.col("dot").desc())
+
+
+def within(vectors: DataFrame, least: int) -> DataFrame:
+    """``profile, asked, chunk_sha, distance, dot``: all rows of products of ``least`` on of every asker."""
+    return _blocks(vectors, lambda distance, dot: np.nonzero(dot >= least))[0]
+
+
 def quantised(embeddings: DataFrame) -> DataFrame:
     """``vec_id, bits, bytes``: unit vectors as sign bits and as signed bytes.
 

@@ -229,6 +229,4 @@ def migration_unmatched(c: Corpus) -> DataFrame:
 @query("""WITH p AS (SELECT min(profile) AS p FROM embedding_cache)
 SELECT DISTINCT chunk_sha FROM semantic_chunks WHERE chunk_sha IS NOT NULL AND chunk_sha NOT IN (SELECT chunk_sha FROM embedding_cache WHERE profile = (SELECT p FROM p) AND record IS NOT NULL AND chunk_sha IS NOT NULL)""")
 def embedding_cache_misses(c: Corpus) -> DataFrame:
-    cache = c.raw("embedding_cache")
-    profile = cache.agg(F.min("profile")).first()[0]
-    return scd.cache_misses(c.raw("semantic_chunks"), cache, profile)
+    return scd.cache_misses(c.raw("semantic_chunks"), c.raw("embedding_cache"))

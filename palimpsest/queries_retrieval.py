@@ -210,18 +210,14 @@ _BYTES = "list_transform(range(8, 72), lambda i: CAST('0x' || {h}[2*i+1:2*i+2] A
 _DOT = f"CAST(list_dot_product(CAST({_BYTES.format(h='x.h')} AS DOUBLE[]), CAST({_BYTES.format(h='q.h')} AS DOUBLE[])) AS INT)"
 
 
-def _profile(c: Corpus) -> tuple[DataFrame, bytes]:
-    """The vectors of one profile and the record that is asked with: that of the smallest chunk_sha."""
-    rows = vectors.well_formed(c.raw("embedding_cache"))
-    profile = rows.agg(F.min("profile")).first()[0]
-    own = rows.where(F.col("profile") == profile)
-    return own, bytes(own.agg(F.min_by("record", "chunk_sha")).first()[0])
+def _own(c: Corpus) -> DataFrame:
+    """The vectors of all profiles; of each those of ``vectors.askers`` ask all of it."""
+    return vectors.well_formed(c.raw("embedding_cache"))
 
 
 @query(f"WITH {_VECTORS} SELECT chunk_sha, distance FROM ham ORDER BY distance, chunk_sha LIMIT 100")
 def hamming_topk(c: Corpus) -> DataFrame:
-    own, record = _profile(c)
-    return vectors.hamming_topk(own, record, 100).select("chunk_sha", "distance")
+    return vectors.nearest(_own(c), 100).select("profile", "asked", "chunk_sha", "distance")
 
 
 _LADDER = f"""WITH {_VECTORS}, wide AS (SELECT * FROM ham ORDER BY distance, chunk_sha LIMIT 2000), near AS (SELECT * FROM wide ORDER BY distance, chunk_sha LIMIT 500),
@@ -230,15 +226,13 @@ dots AS (SELECT chunk_sha, distance, {_DOT} AS dot FROM near x, q)"""
 
 @query(_LADDER + " SELECT chunk_sha, distance, dot, round(dot / 16129.0, 6) AS similarity FROM dots ORDER BY dot DESC, chunk_sha LIMIT 50")
 def int8_rerank(c: Corpus) -> DataFrame:
-    own, record = _profile(c)
-    return vectors.ladder(own, record, 50).select("chunk_sha", "distance", "dot", F.round(F.col("dot") / 16129.0, 6).alias("similarity"))
+    return vectors.nearest(_own(c), vectors.NARROW, 50).select("profile", "asked", "chunk_sha", "distance", "dot", F.round(F.col("dot") / 16129.0, 6).alias("similarity"))
 
 
 @query(f"""WITH {_VECTORS}, x AS (SELECT chunk_sha, {_DOT.replace('x.h', 'one.h')} AS dot FROM one, q) SELECT chunk_sha, dot FROM x WHERE dot >= 8000""")
 def similarity_scan(c: Corpus) -> DataFrame:
-    """Every vector within a similarity of the one asked with; a threshold, not a top-k."""
-    own, record = _profile(c)
-    return own.select("chunk_sha", vectors.dot_with(record)("record").alias("dot")).where("dot >= 8000")
+    """Every vector within a similarity of each one asked with; a threshold, not a top-k."""
+    return vectors.within(_own(c), 8000).select("profile", "asked", "chunk_sha", "dot")
 
 
 @query("""WITH n AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS v FROM embeddings), u AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM n)
@@ -254,10 +248,16 @@ u AS (SELECT chunk_sha, 1.0 / (60 + rank) AS part FROM sem UNION ALL SELECT chun
 SELECT chunk_sha, round(sum(part), 9) AS score, count(*) AS lists FROM u GROUP BY 1""")
 def rrf_hybrid(c: Corpus) -> DataFrame:
     """A semantic list fused with a list of another kind, here the longest chunks, of less weight."""
-    own, record = _profile(c)
-    near = vectors.ladder(own, record, 50)
+    from pyspark.sql import Window
+
+    own, asked = _own(c), ["profile", "asked"]
+    order = Window.partitionBy(*asked).orderBy(F.col("dot").desc(), "chunk_sha")
+    near = vectors.nearest(own, vectors.NARROW, 50).withColumn("rank", F.row_number().over(order))
     chunks = c.raw("semantic_chunks").where("chunk_sha is not null and token_count is not null").groupBy("chunk_sha").agg(F.max("token_count").alias("n")).orderBy(F.col("n").desc(), "chunk_sha").limit(50)
-    return retrieval.fuse([(_ranked(near, F.col("dot").desc()), 1.0), (_ranked(chunks, F.col("n").desc()), 0.65)], ["chunk_sha"])
+    # the list of the limit is the same for every query
+    asking = vectors.askers(own.where("profile is not null")).select("profile", F.col("chunk_sha").alias("asked")).distinct()
+    listed = asking.crossJoin(F.broadcast(_ranked(chunks, F.col("n").desc())))
+    return retrieval.fuse([(near, 1.0), (listed, 0.65)], [*asked, "chunk_sha"])
 
 
 def _ranked(top: DataFrame, order) -> DataFrame:

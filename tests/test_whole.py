@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 from types import SimpleNamespace
 
 import numpy as np
 
-from palimpsest import queries_temporal
+from palimpsest import queries_history, queries_retrieval, queries_temporal
 from palimpsest.llm import neighbours
-from palimpsest.operators import citations, diff
+from palimpsest.operators import citations, diff, vectors
 from tests.llm.test_llm import brute, cache_row
 from tests.test_core import doc, docs, got
 
@@ -71,3 +72,34 @@ def test_long_diffs_are_as_exact_as_short_ones(monkeypatch):
     for (a, b), n in zip(pairs, exact):
         found = diff.common(a, b)
         assert len(found) == n and all(a[i] == b[j] for i, j in found) and all(x < y and u < w for (x, u), (y, w) in zip(found, found[1:]))
+
+
+def test_vector_queries_ask_all_profiles_with_every_twentieth(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    held = {}
+    for profile, n in (("p", 250), ("q", 120)):
+        base = rng.normal(size=64)
+        v = base + 0.8 * rng.normal(size=(n, 64))
+        held[profile] = {hashlib.sha256(f"{i}".encode()).hexdigest(): x for i, x in enumerate(np.round(127 * v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.int8))}
+    cache = spark.createDataFrame([cache_row(p, n, x) for p, own in held.items() for n, x in own.items()], "profile string, chunk_sha string, record binary, record_sha string")
+    chunks = spark.createDataFrame([(n, 5) for n in list(held["p"])[100:140]] + [("none", 7)], "chunk_sha string, token_count int")
+    corpus = SimpleNamespace(raw=lambda name: {"embedding_cache": cache, "semantic_chunks": chunks}[name])
+    top, near, scan = [], [], []
+    for p, own in held.items():
+        for a in (x for x in own if int(x[:15], 16) % 20 == 0):
+            far = {n: int(((own[a] >= 0) != (x >= 0)).sum()) for n, x in own.items()}
+            dot = {n: int(own[a].astype(int) @ x.astype(int)) for n, x in own.items()}
+            order = sorted(own, key=lambda n: (far[n], n))
+            top += [(p, a, n, far[n]) for n in order[:100]]
+            near += [(p, a, n, far[n], dot[n]) for n in sorted(order[:500], key=lambda n: (-dot[n], n))[:50]]
+            scan += [(p, a, n, dot[n]) for n in own if dot[n] >= 8000]
+    for rows, queries in ((100_000, 500), (60, 3)):  # in one block, and in several
+        monkeypatch.setattr(vectors, "ROWS", rows)
+        monkeypatch.setattr(vectors, "QUERIES", queries)
+        assert got(queries_retrieval.hamming_topk(corpus)) == sorted(top)
+        assert got(queries_retrieval.int8_rerank(corpus), "profile", "asked", "chunk_sha", "distance", "dot") == sorted(near)
+        assert got(queries_retrieval.similarity_scan(corpus)) == sorted(scan)
+    fused = got(queries_retrieval.rrf_hybrid(corpus), "profile", "asked", "chunk_sha")
+    assert {x[:2] for x in fused} == {x[:2] for x in top} and {x[:3] for x in near} <= set(fused) and all((p, a, "none") in fused for p, a in {x[:2] for x in top})
+    misses = got(queries_history.embedding_cache_misses(corpus))
+    assert misses == sorted([("p", "none"), ("q", "none"), *(("q", n) for n in list(held["p"])[120:140])])
