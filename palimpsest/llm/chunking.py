@@ -83,7 +83,9 @@ def cut_points(gap: np.ndarray, rolled: np.ndarray, limit: int = LIMIT, overlap:
 
     From the last cut on, the landmark is the gap of the least rolling hash among those
     that leave a piece of the minimum and maximum size; it snaps to the nearest gap of the
-    coarsest kind in that range (blank line, else line break, else the landmark itself).
+    coarsest kind in that range (blank line, else line break).  If it holds neither, the last
+    gap of the coarsest kind before it that still leaves a new token is taken, and only if
+    there is none the landmark itself.
     A cut depends on the text since the last cut only, and landmarks on a few tokens each,
     so that after an edit the cuts fall into step again within a few pieces.
     """
@@ -101,6 +103,12 @@ def cut_points(gap: np.ndarray, rolled: np.ndarray, limit: int = LIMIT, overlap:
         if best:
             natural = low + np.flatnonzero(kind == best)
             landmark = int(natural[np.argmin(np.abs(natural - landmark))])
+        else:
+            # every piece needs a new token, and the overlap must lie in what came before
+            early = max(at, overlap) + 1
+            kind = gap[early:low]
+            if len(kind) and kind.max():
+                landmark = early + int(np.flatnonzero(kind == kind.max())[-1])
         cuts.append(landmark)
         at = landmark
     return cuts

@@ -9,7 +9,7 @@ from types import SimpleNamespace
 import numpy as np
 
 from palimpsest import queries_history, queries_retrieval, queries_temporal
-from palimpsest.llm import neighbours
+from palimpsest.llm import chunking, neighbours
 from palimpsest.operators import citations, diff, vectors
 from tests.llm.test_llm import brute, cache_row
 from tests.test_core import doc, docs, got
@@ -103,3 +103,16 @@ def test_vector_queries_ask_all_profiles_with_every_twentieth(spark, monkeypatch
     assert {x[:2] for x in fused} == {x[:2] for x in top} and {x[:3] for x in near} <= set(fused) and all((p, a, "none") in fused for p, a in {x[:2] for x in top})
     misses = got(queries_history.embedding_cache_misses(corpus))
     assert misses == sorted([("p", "none"), ("q", "none"), *(("q", n) for n in list(held["p"])[120:140])])
+
+
+def test_early_natural_gaps_are_cut_at():
+    words = lambda x, n: " ".join(f"{x}{i}" for i in range(n))
+    for gap in ("\n", "\n\n"):
+        parts, _, _ = chunking.chunk_text(words("a", 50) + gap + words("b", 250))
+        assert parts[0][0] == words("a", 50) and parts[1][0].split("\n")[-1].startswith("b0 ")
+        # after the first cut too, though not within the overlap's own tokens
+        parts, _, _ = chunking.chunk_text(words("a", 200) + gap + words("b", 40) + gap + words("c", 253))
+        assert [p for p, _, _ in parts][0] == words("a", 200) and parts[1][0].endswith("b39")
+        assert all(size <= 256 for _, size, _ in parts)
+    parts, _, _ = chunking.chunk_text(words("a", 20) + "\n" + words("b", 300))
+    assert all(b > a for a, b in zip([s for _, _, s in parts], [s for _, _, s in parts][1:])) and len(parts) == 2
