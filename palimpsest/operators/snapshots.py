@@ -9,10 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.session import durable
+
 #: Snapshots of one chain that are compared in one block; the last of a block is also in the next.
 BLOCK = 256
 _KINDS = np.array(["added", "changed", "removed"])
-_DIFF = "r1 long, r2 long, i1 long, i2 long, change_kind string"
+_DIFF = "ch1 long, ch2 long, i1 long, i2 long, k long, change_kind string"
+#: Rows that are compared in one task.
+ROWS = 500_000
 
 
 def _hash(salt: str, *columns: Column) -> Column:
@@ -52,6 +56,11 @@ def diff_arrays(c1, c2, k, digest, last, own, block: int = BLOCK):
     return np.r_[np.zeros(added.sum(), int), np.ones(changed.sum(), int), np.full(removed.sum(), 2)], np.r_[rows[added], rows[changed], rows[removed]]
 
 
+def _item_keys(ch1, ch2, i1, i2):
+    """128 bits for an item within its chain, of the hashes of both."""
+    return ch1 * np.int64(-7046029254386353131) + i1, ch2 * np.int64(-4658895280553007687) + i2
+
+
 def _diff_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tables = [b for b in batches if b.num_rows]
     if not tables:
@@ -59,17 +68,18 @@ def _diff_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     t = pa.Table.from_batches(tables)
     a = {n: t.column(n).combine_chunks().to_numpy(zero_copy_only=False) for n in t.column_names}
     with np.errstate(over="ignore"):
-        kind, row = diff_arrays(a["c1"], a["c2"], a["k"], a["digest"], a["last"], a["own"])
+        c1, c2 = _item_keys(a["ch1"], a["ch2"], a["i1"], a["i2"])
+        kind, row = diff_arrays(c1, c2, a["place"] >> 2, a["digest"], (a["place"] & 2) > 0, (a["place"] & 1) > 0)
     for at in range(0, len(row), 100_000):
         r = row[at : at + 100_000]
         yield pa.RecordBatch.from_arrays(
-            [*(pa.array(a[n][r]) for n in ("r1", "r2", "i1", "i2")), pa.array(_KINDS[kind[at : at + 100_000]], pa.string())],
-            names=["r1", "r2", "i1", "i2", "change_kind"],
+            [*(pa.array(a[n][r]) for n in ("ch1", "ch2", "i1", "i2")), pa.array(a["place"][r] >> 2), pa.array(_KINDS[kind[at : at + 100_000]], pa.string())],
+            names=["ch1", "ch2", "i1", "i2", "k", "change_kind"],
         )
 
 
 def snapshot_order(snapshots: DataFrame) -> DataFrame:
-    """``chain, day, key, rid`` rows with ``k`` (ordinal in the chain), ``last`` and ``next_rid``.
+    """``chain, rid`` of ``chain, day, key, rid`` rows with ``k`` (ordinal in the chain), ``last`` and ``next_rid``.
 
     Ordinals come from two windows, neither of which grows with a chain's rows: the
     snapshots of one chain and day are numbered, and the days of a chain (bounded by the
@@ -82,42 +92,49 @@ def snapshot_order(snapshots: DataFrame) -> DataFrame:
     in_day = Window.partitionBy("chain", "day").orderBy("key", "rid")
     numbered = snapshots.withColumns({"in_day": F.row_number().over(in_day) - 1, "next_in_day": F.lead("rid").over(in_day)}).join(days, ["chain", "day"])
     following = F.coalesce("next_in_day", "next_first")
-    return numbered.select("rid", (F.col("before") + F.col("in_day")).alias("k"), following.isNull().alias("last"), following.alias("next_rid"))
+    return numbered.select("chain", "rid", (F.col("before") + F.col("in_day")).alias("k"), following.isNull().alias("last"), following.alias("next_rid"))
 
 
 def snapshot_changes(df: DataFrame, chain: list[Column], day: Column, key: Column, rid: str = "rid", item: str = "anchor", digest: Column | str = "text_sha") -> DataFrame:
     """``rid, anchor, change_kind``: items added, removed or changed from one snapshot to the next.
 
-    ``rid`` names a snapshot, ``chain`` the columns it is compared within and ``day`` and
-    ``key`` its order there (``day`` must be a prefix of the order; equal keys are ordered by
-    rid).  The first snapshot of a chain gives nothing; rid is the later of the two.
-
-    Only hashes move: 128 bits of item and of snapshot and 64 of the digest are hashed to
-    buckets of at most ``BLOCK`` snapshots of an item, so that no chain, however long, meets
-    in one task; each bucket is sorted in numpy and compared by ``searchsorted``, and the
-    values are looked up for the differing keys alone.  Repeated rows count once; a null
-    item is an item of its own and a null digest a text of its own; rows with a null rid
-    belong to no snapshot; an empty table gives an empty result; other columns are ignored.
+    ``rid`` names a snapshot; ``chain``, the columns it is compared within, and ``day`` and
+    ``key``, its order there, are expressions of the rid alone (``day`` must be a prefix of
+    the order; equal keys are ordered by rid).  The first snapshot of a chain gives nothing;
+    rid is the later of the two.
+
+    The table is read twice.  A narrow pass takes the distinct names of snapshots and items,
+    from which the snapshots are numbered once.  The other moves hashes only: 128 bits of
+    item and of chain and 64 of the digest go to buckets of at most ``BLOCK`` snapshots of an
+    item, as many tasks as the counted rows need, so that no chain, however long, meets in
+    one task; each bucket is sorted in numpy and compared by ``searchsorted``, and the values
+    are looked up for the differing keys alone.  Repeated rows count once and are removed on
+    the map side; a null item is an item of its own and a null digest a text of its own;
+    rows with a null rid belong to no snapshot; an empty table gives an empty result; other
+    columns are ignored.
     """
     digest = F.col(digest) if isinstance(digest, str) else digest
-    src = df.where(F.col(rid).isNotNull()).select(F.col(rid).alias("rid"), F.col(item).alias("anchor"), F.struct(*chain).alias("chain"), day.alias("day"), key.alias("key"), digest.alias("d"))
-    hashed = src.select(
-        "rid", "anchor", "d", "chain", "day", "key",
-        _hash("r", F.col("rid")).alias("r1"), _hash("s", F.col("rid")).alias("r2"),
-        _hash("i", F.col("anchor")).alias("i1"), _hash("j", F.col("anchor")).alias("i2"),
-    )
-    rows = hashed.select(
-        "r1", "r2", "i1", "i2", _hash("c", F.col("chain"), F.col("anchor")).alias("c1"), _hash("e", F.col("chain"), F.col("anchor")).alias("c2"), _hash("d", F.col("d")).alias("digest")
-    ).distinct()
-    order = snapshot_order(src.select("rid", "chain", "day", "key").distinct())
-    places = order.select(_hash("r", F.col("rid")).alias("r1"), _hash("s", F.col("rid")).alias("r2"), F.col("k").cast("long").alias("k"), "last")
-    placed = rows.join(places, ["r1", "r2"])
-    halo = F.when((F.col("k") % BLOCK == BLOCK - 1) & ~F.col("last"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
-    blocks = placed.withColumn("own", F.explode(halo)).withColumn("block", F.floor(F.col("k") / BLOCK) + F.when(F.col("own"), 0).otherwise(1))
-    differing = blocks.repartition("c1", "block").drop("block").mapInArrow(_diff_partition, _DIFF)
-    values = hashed.select("r1", "r2", "i1", "i2", "rid", "anchor").join(differing, ["r1", "r2", "i1", "i2"]).select("rid", "anchor", "change_kind").distinct()
-    later = values.where("change_kind = 'removed'").join(order.select("rid", "next_rid"), "rid").select(F.col("next_rid").alias("rid"), "anchor", "change_kind")
-    return values.where("change_kind <> 'removed'").unionByName(later)
+    src = df.where(F.col(rid).isNotNull())
+    kinds = F.array(F.struct(F.lit(True).alias("snapshot"), F.col(rid).cast("string").alias("value")), F.struct(F.lit(False).alias("snapshot"), F.col(item).cast("string").alias("value")))
+    held = durable(src.select(F.explode(kinds).alias("x")).select("x.*").groupBy("snapshot", "value").agg(F.count(F.lit(1)).alias("rows")))
+    total = held.where("snapshot").agg(F.sum("rows")).first()[0] or 0
+    snapshots = held.where("snapshot").select(F.col("value").alias(rid))
+    order = durable(snapshot_order(snapshots.select(F.struct(*chain).alias("chain"), day.alias("day"), key.alias("key"), F.col(rid).alias("rid"))))
+    of_chain = [_hash("c", F.col("chain")).alias("ch1"), _hash("e", F.col("chain")).alias("ch2")]
+    of_item = lambda c: [_hash("i", c).alias("i1"), _hash("j", c).alias("i2")]
+    of_rid = lambda c: [_hash("r", c).alias("r1"), _hash("s", c).alias("r2")]
+    rows = src.select(*of_rid(F.col(rid).cast("string")), *of_item(F.col(item).cast("string")), _hash("d", digest).alias("digest")).distinct()
+    place = (F.col("k") * 4 + F.when(F.col("last"), 2).otherwise(0)).alias("place")
+    placed = rows.join(order.select(*of_rid(F.col("rid")), *of_chain, place), ["r1", "r2"]).drop("r1", "r2")
+    ordinal = F.shiftright("place", 2)
+    halo = F.when((ordinal % BLOCK == BLOCK - 1) & (F.col("place").bitwiseAND(F.lit(2)) == 0), F.array(F.lit(1), F.lit(0))).otherwise(F.array(F.lit(1)))
+    blocks = placed.withColumn("own", F.explode(halo)).withColumn("block", F.floor(ordinal / BLOCK) + 1 - F.col("own")).withColumn("place", F.col("place") + F.col("own"))
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // ROWS))
+    differing = blocks.repartition(tasks, "ch1", "i1", "block").select("ch1", "ch2", "i1", "i2", "digest", "place").mapInArrow(_diff_partition, _DIFF)
+    named = differing.join(order.select(*of_chain, "k", "rid", "next_rid"), ["ch1", "ch2", "k"])
+    items = held.where("not snapshot").select(*of_item(F.col("value")), F.col("value").alias("anchor"))
+    later = F.when(F.col("change_kind") == "removed", F.col("next_rid")).otherwise(F.col("rid"))
+    return named.join(items, ["i1", "i2"]).select(later.alias("rid"), "anchor", "change_kind")
 
 
 def provision_changes(provisions: DataFrame) -> DataFrame:

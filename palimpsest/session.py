@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,14 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a folder under the warehouse directory is used.
+    A cluster names it in ``spark.checkpoint.dir``; where that is unset, as in tests, a folder
+    under the warehouse directory is used if all of Spark is on this machine, and nothing on
+    a cluster, whose executors may share no other folder.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not configured and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     path = configured or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_checkpoints")
     sc.setCheckpointDir(path)
     return path
