@@ -9,12 +9,15 @@ from types import SimpleNamespace
 import numpy as np
 
 from palimpsest import queries_history, queries_retrieval, queries_temporal
-from palimpsest.llm import chunking, neighbours
 from palimpsest.operators import citations, diff, vectors
-from tests.llm.test_llm import brute, cache_row
 from tests.test_core import doc, docs, got
 
 
+def cache_row(profile, name, v):
+    record = np.packbits(v >= 0, bitorder="little").tobytes() + v.astype(np.int8).tobytes()
+    return profile, name, record, hashlib.sha256(record).hexdigest()
+
+
 def test_edges_follow_the_href(spark):
     held = docs(spark, doc("loi-1", "2020-01-01"), doc("loi-2", "2020-01-01"), doc("loi-3", "2020-01-01", withdrawn=True))
     one, two, gone = (r["rid"] for r in held.orderBy("group_key").collect())
@@ -40,25 +43,6 @@ def test_as_of_work_answers_for_every_work(spark):
     assert got(out, "group_key", "valid_from", "containing") == [("w2", "2011-01-01", 2), ("w3", "2012-01-01", 1)]
 
 
-def test_ties_go_to_the_smaller_name_however_many(spark):
-    rng = np.random.default_rng(11)
-    base = rng.normal(size=(2, 64))
-    base = np.round(90 * base / np.linalg.norm(base, axis=1, keepdims=True)).astype(np.int8)
-    base[:, :60] = np.where(base[:, :60] == 0, 1, base[:, :60])
-    base[1] = -base[0]
-    # members differ in one byte that is alike in all: equal products with the base and each other
-    v = np.concatenate([np.repeat(base[:1], 61, axis=0), np.repeat(base[1:], 9, axis=0)])
-    v[:, :60] = np.sign(v[:, :60]) * 16
-    for i in range(60):
-        v[1 + i, i] += np.sign(v[1 + i, i])
-    for i in range(8):
-        v[62 + i, i] += np.sign(v[62 + i, i])
-    names = [f"n{i:04d}" for i in rng.permutation(len(v))]
-    df = spark.createDataFrame([cache_row("p", n, x) for n, x in zip(names, v)], "profile string, chunk_sha string, record binary, record_sha string")
-    for k in (5, 10):
-        want = sorted(("p", *x) for x in brute(v, names, k))
-        assert len(want) > 100 and got(neighbours.similar_pairs(df, k=k)) == want
-
 
 def test_long_diffs_are_as_exact_as_short_ones(monkeypatch):
     words = [f"w{i}" for i in range(3100)]
@@ -103,16 +87,3 @@ def test_vector_queries_ask_all_profiles_with_every_twentieth(spark, monkeypatch
     assert {x[:2] for x in fused} == {x[:2] for x in top} and {x[:3] for x in near} <= set(fused) and all((p, a, "none") in fused for p, a in {x[:2] for x in top})
     misses = got(queries_history.embedding_cache_misses(corpus))
     assert misses == sorted([("p", "none"), ("q", "none"), *(("q", n) for n in list(held["p"])[120:140])])
-
-
-def test_early_natural_gaps_are_cut_at():
-    words = lambda x, n: " ".join(f"{x}{i}" for i in range(n))
-    for gap in ("\n", "\n\n"):
-        parts, _, _ = chunking.chunk_text(words("a", 50) + gap + words("b", 250))
-        assert parts[0][0] == words("a", 50) and parts[1][0].split("\n")[-1].startswith("b0 ")
-        # after the first cut too, though not within the overlap's own tokens
-        parts, _, _ = chunking.chunk_text(words("a", 200) + gap + words("b", 40) + gap + words("c", 253))
-        assert [p for p, _, _ in parts][0] == words("a", 200) and parts[1][0].endswith("b39")
-        assert all(size <= 256 for _, size, _ in parts)
-    parts, _, _ = chunking.chunk_text(words("a", 20) + "\n" + words("b", 300))
-    assert all(b > a for a, b in zip([s for _, _, s in parts], [s for _, _, s in parts][1:])) and len(parts) == 2
