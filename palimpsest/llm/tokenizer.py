@@ -161,37 +161,69 @@ def split_starts(points: np.ndarray) -> np.ndarray:
     return start
 
 
-_MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+#: Bytes of a word that are hashed by their place; longer words are told apart by themselves.
+HASHED = 64
+#: Bytes of text that are encoded in one go.
+BLOCK = 2_000_000
 
 
 class BlockEncoder:
-    """Encodes blocks of texts; words already seen by this task are looked up."""
+    """Encodes blocks of texts; words already seen by this task are looked up.
+
+    Words meet by a hash, the sum of a random number for each byte at each place, and are
+    then compared byte by byte, so that no two words are ever taken for one: where a hash
+    joins different words, the block's words are told apart by their bytes instead.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.replay = MergeReplay(ranks)
-        self.powers: list[tuple[np.ndarray, np.ndarray]] = []
+        self.key = np.random.default_rng().integers(0, 2**64, (HASHED, 256), np.uint64)
         self.forget()
 
     def forget(self) -> None:
         self.number: dict[int, int] = {}
-        self.checks = np.zeros(0, np.uint64)
+        self.spelled, self.spelled_at = np.zeros(0, np.uint8), np.zeros(1, np.int64)
         self.ids, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
-    def _hashes(self, data: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
-        """Two 64-bit polynomial hashes of each word data[a:b], with its length."""
-        out = []
-        for i, m in enumerate(_MULTIPLIERS):
-            if len(self.powers) <= i:
-                self.powers.append((np.zeros(0, np.uint64), np.zeros(0, np.uint64)))
-            if len(self.powers[i][0]) <= len(data):
-                inverse = pow(m, -1, 2**64)
-                self.powers[i] = tuple(np.cumprod(np.r_[np.uint64(1), np.full(len(data), x, np.uint64)]) for x in (m, inverse))
-            up, down = self.powers[i]
-            sums = np.r_[np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])]
-            h = (sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-            h ^= h >> np.uint64(29)
-            out.append(h * np.uint64(0xBF58476D1CE4E5B9))
-        return out
+    def _hashes(self, data: np.ndarray, a: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """A hash of each of the words of ``size`` bytes from ``a`` on; words are on end."""
+        begin = np.cumsum(size) - size
+        place = np.arange(int(size.sum()), dtype=np.int32) - np.repeat(begin, size).astype(np.int32)
+        word = data[np.repeat((a - begin).astype(np.int32), size) + np.arange(len(place), dtype=np.int32)]
+        h = np.add.reduceat(self.key[np.minimum(place, HASHED - 1), word], begin) if len(size) else np.zeros(0, np.uint64)
+        for i in np.flatnonzero(size >= HASHED).tolist():
+            h[i] = hash(data[a[i] : a[i] + size[i]].tobytes()) & 0xFFFFFFFFFFFFFFFF
+        return h
+
+    @staticmethod
+    def _equal(x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.ndarray, size: np.ndarray) -> bool:
+        """Whether the words of ``size`` bytes from ``a`` on in x and from ``b`` on in y are pairwise equal."""
+        begin = np.cumsum(size) - size
+        at = np.arange(int(size.sum()), dtype=np.int32)
+        return np.array_equal(x[np.repeat((a - begin).astype(np.int32), size) + at], y[np.repeat((b - begin).astype(np.int32), size) + at])
+
+    def _distinct(self, data: np.ndarray, a: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes, first places and members of the distinct words of a block."""
+        h = self._hashes(data, a, size)
+        distinct, first, which = np.unique(h, return_index=True, return_inverse=True)
+        same = first[which]
+        if (size[same] == size).all() and self._equal(data, a, data, a[same], size):
+            return distinct, first, which
+        seen: dict[bytes, int] = {}
+        which = np.fromiter((seen.setdefault(data[x : x + n].tobytes(), len(seen)) for x, n in zip(a.tolist(), size.tolist())), np.int64, len(a))
+        _, first = np.unique(which, return_index=True)
+        self.forget()
+        return h[first], first, which
+
+    def _known(self, distinct: np.ndarray, data: np.ndarray, a: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The number of each word among those remembered, -1 for new ones."""
+        known = np.fromiter((self.number.get(x, -1) for x in distinct.tolist()), np.int64, len(distinct))
+        old = np.flatnonzero(known >= 0)
+        at = self.spelled_at[known[old]]
+        if (self.spelled_at[known[old] + 1] - at == size[old]).all() and self._equal(data, a[old], self.spelled, at, size[old]):
+            return known
+        self.forget()
+        return np.full(len(distinct), -1, np.int64)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts on end and the offsets of each text; null and empty texts have none."""
@@ -211,27 +243,22 @@ class BlockEncoder:
         word = inside[starts]
         a, b = place[starts][word], place[np.r_[starts[1:], len(points)]][word]
         data = np.frombuffer(joined.encode(), np.uint8)
-        h, check = self._hashes(data, a, b)
-        distinct, first, which = np.unique(h, return_index=True, return_inverse=True)
-        if (check[first][which] != check).any():
-            raise RuntimeError("two words of one block share a hash; change _MULTIPLIERS")
+        size = b - a
+        distinct, first, which = self._distinct(data, a, size)
         if len(self.number) > REMEMBERED:
             self.forget()
-        number = self.number
-        known = np.fromiter((number.get(x, -1) for x in distinct.tolist()), np.int64, len(distinct))
+        known = self._known(distinct, data, a[first], size[first])
         new = np.flatnonzero(known < 0)
-        old = known >= 0
-        if (self.checks[known[old]] != check[first[old]]).any():
-            raise RuntimeError("two words share a hash; change _MULTIPLIERS")
         if len(new):
-            wa, wb = a[first[new]], b[first[new]]
-            size = wb - wa
-            ends = np.cumsum(size)
-            spelled = data[np.repeat(wa - (ends - size), size) + np.arange(ends[-1])]
+            wa, n = a[first[new]], size[first[new]]
+            ends = np.cumsum(n)
+            spelled = data[np.repeat(wa - (ends - n), n) + np.arange(ends[-1])]
             ids, id_ends = self.replay.encode(spelled, ends)
-            known[new] = len(number) + np.arange(len(new))
-            number.update(zip(distinct[new].tolist(), known[new].tolist()))
-            self.checks = np.r_[self.checks, check[first[new]]]
+            at = len(self.starts) - 1
+            known[new] = at + np.arange(len(new))
+            self.number.update(zip(distinct[new].tolist(), known[new].tolist()))
+            self.spelled_at = np.r_[self.spelled_at, len(self.spelled) + ends]
+            self.spelled = np.r_[self.spelled, spelled]
             self.starts = np.r_[self.starts, len(self.ids) + id_ends]
             self.ids = np.r_[self.ids, ids]
         which = known[which]
@@ -265,8 +292,8 @@ def encode_column(df: DataFrame, vocabulary: str, keys: list[str], text: str = "
             encoder = encoder or BlockEncoder(load_ranks(shared.value))
             texts = batch.column(batch.num_columns - 1)
             size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
-            # blocks of about 4 MB of text, so that a block's words stay small in memory
-            cuts = [0, *np.flatnonzero(np.diff(size // 4_000_000)) + 1, len(texts)] if len(texts) else []
+            # in blocks, so that what is held about their words stays small in memory
+            cuts = [0, *np.flatnonzero(np.diff(size // BLOCK)) + 1, len(texts)] if len(texts) else []
             for a, b in zip(cuts, cuts[1:]):
                 flat, offsets = encoder.encode(texts.slice(a, b - a).to_pylist())
                 column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
