@@ -21,7 +21,7 @@ BROADCAST_ITEMS, BROADCAST_BYTES = 50_000, 64_000_000
 
 
 def has_span(doc: list[str], item: list[str], span: int = SPAN) -> bool:
-    """The definition itself on words, used to confirm hits and in tests."""
+    """The definition itself on words, used in tests."""
     need = min(span, len(item))
     if not need:
         return False
@@ -29,44 +29,56 @@ def has_span(doc: list[str], item: list[str], span: int = SPAN) -> bool:
     return any(tuple(doc[i : i + need]) in held for i in range(len(doc) - need + 1))
 
 
+#: Hits that are extended in one go.
+HITS = 200_000
+
+
 @dataclass
 class Fingerprints:
-    """Fingerprints of items, sorted by hash, by the kind of gram.
+    """Fingerprints of items with their places, sorted by hash, by the kind of gram.
 
     Items of at least ``span`` words are winnowed: of each window of grams the least hash.
     A shorter item has one fingerprint, the gram of all its words, kept by its length.
     """
 
-    span: int = SPAN
-    gram: int = GRAM
-    items: list[np.ndarray] = field(default_factory=list)
+    span: int
+    gram: int
+    #: Hashes of the words of all items on end, and where each item starts.
+    flat: np.ndarray
+    starts: np.ndarray
+    #: Length of a short item, 0 for winnowed ones, to hashes and their places in ``flat``.
     by_length: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
 
     @classmethod
     def of(cls, items: list[np.ndarray], span: int = SPAN, gram: int = GRAM) -> Fingerprints:
+        starts = np.r_[0, np.cumsum([len(h) for h in items])].astype(np.int64)
         out: dict[int, tuple[list, list]] = {}
-        for i, h in enumerate(items):
+        for h, start in zip(items, starts):
             if not len(h):
                 continue
-            k = gram if len(h) >= span else len(h)
-            g = grams(h, k)
-            picked = np.unique(g[winnow(g, span - gram + 1)]) if len(h) >= span else g
             # short items of as many words as a gram are apart from winnowed ones
-            key = k if len(h) < span else 0
-            hashes, owners = out.setdefault(key, ([], []))
-            hashes.append(picked)
-            owners.append(np.full(len(picked), i))
+            key = len(h) if len(h) < span else 0
+            g = grams(h, key or gram)
+            at = np.arange(len(g)) if key else winnow(g, span - gram + 1)
+            hashes, places = out.setdefault(key, ([], []))
+            hashes.append(g[at])
+            places.append(start + at)
         by_length = {}
-        for k, (hashes, owners) in out.items():
-            h, o = np.concatenate(hashes), np.concatenate(owners)
+        for k, (hashes, places) in out.items():
+            h, p = np.concatenate(hashes), np.concatenate(places)
             order = np.argsort(h, kind="stable")
-            by_length[k] = (h[order], o[order])
-        return cls(span, gram, items, by_length)
-
-    def candidates(self, flat: np.ndarray, ends: np.ndarray) -> set[tuple[int, int]]:
-        """(text, item) pairs that share a fingerprint; texts are words on end with their ends."""
-        pairs: set[tuple[int, int]] = set()
-        for key, (hashes, owners) in self.by_length.items():
+            by_length[k] = (h[order], p[order])
+        return cls(span, gram, np.concatenate([np.zeros(0, np.uint64), *items]), starts, by_length)
+
+    def leaks(self, flat: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Text, item, and first word in either, of hits that extend to the span.
+
+        Texts are hashes of words on end with their ends.  A fingerprint that both share is
+        a hit; it is extended word by word to either side, within text and item, and kept if
+        it reaches the span (or all of a shorter item).  Pairs may come out several times.
+        """
+        begin = np.r_[0, ends[:-1]]
+        for key, (hashes, places) in self.by_length.items():
             k = key or self.gram
             g = grams(flat, k)
             if not len(g):
@@ -79,13 +91,41 @@ class Fingerprints:
             at = np.flatnonzero((hashes[low] == g) & inside)
             if not key and len(at):
                 at = at[self._selected(g, text, inside, at)]
-            if not len(at):
-                continue
-            a, b = np.searchsorted(hashes, g[at], side="left"), np.searchsorted(hashes, g[at], side="right")
-            size = b - a
-            where = np.repeat(a - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
-            pairs.update(zip(np.repeat(text[at], size).tolist(), owners[where].tolist()))
-        return pairs
+            low = low[at]
+            size = np.searchsorted(hashes, g[at], side="right") - low
+            total = np.cumsum(size)
+            known = np.zeros(0, np.int64)
+            for cut in range(0, int(total[-1]) if len(total) else 0, HITS):
+                here = np.arange(cut, min(cut + HITS, int(total[-1])))
+                owner = np.searchsorted(total, here, side="right")
+                there = places[low[owner] + here - (total[owner] - size[owner])]
+                here = at[owner]
+                item = np.searchsorted(self.starts, there, side="right") - 1
+                pair = text[here] * len(self.starts) + item
+                fresh = ~np.isin(pair, known)
+                hit = self._extended(flat, begin[text[here[fresh]]], ends[text[here[fresh]]], here[fresh], there[fresh], item[fresh], k)
+                d, i, x, y = text[here[fresh]][hit[0]], item[fresh][hit[0]], hit[1], hit[2]
+                known = np.unique(np.r_[known, d * len(self.starts) + i])
+                if len(d):
+                    yield d, i, x, y
+
+    def _extended(self, flat, first, end, here, there, item, k) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which hits reach their span, and where it starts in text and item."""
+        start, stop = self.starts[item], self.starts[item + 1]
+        need = np.minimum(self.span, stop - start)
+        left, right = np.zeros(len(here), np.int64), np.full(len(here), k, np.int64)
+        going = np.ones(len(here), bool)
+        for i in range(1, self.span - k + 1):
+            going = going & (here - i >= first) & (there - i >= start)
+            going[going] = flat[here[going] - i] == self.flat[there[going] - i]
+            left += going
+        going = right + left < need
+        for i in range(k, self.span):
+            going = going & (here + i < end) & (there + i < stop)
+            going[going] = flat[here[going] + i] == self.flat[there[going] + i]
+            right += going
+        hit = np.flatnonzero(left + right >= need)
+        return hit, here[hit] - left[hit], there[hit] - left[hit]
 
     def _selected(self, g, text, inside, at) -> np.ndarray:
         """Which of the grams ``at`` are least in some window of their text."""
@@ -109,6 +149,19 @@ class Fingerprints:
         return keep | (short & (left + right + 1 >= grams_of[text[at]]))
 
 
+def _leaked(index: Fingerprints, spelled: list[list[str]], found: list[list[str]], hashes: WordHashes) -> list[tuple[int, int]]:
+    """(text, item) pairs of texts given as words; the words of each span are compared as well."""
+    ends = np.cumsum([len(x) for x in found])
+    begin = np.r_[0, ends[:-1]] if len(ends) else ends
+    pairs: set[tuple[int, int]] = set()
+    for d, i, x, y in index.leaks(hashes([w for words_ in found for w in words_]), ends):
+        for d, i, x, y in zip(d.tolist(), i.tolist(), (x - begin[d]).tolist(), (y - index.starts[i]).tolist()):
+            need = min(index.span, len(spelled[i]))
+            if (d, i) not in pairs and found[d][x : x + need] == spelled[i][y : y + need]:
+                pairs.add((d, i))
+    return sorted(pairs)
+
+
 def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", passage: str = "passage", span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """``doc_id, item_id`` of every text that holds ``span`` consecutive words of a passage.
 
@@ -117,8 +170,8 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item
     invisible characters; a null, empty or wordless text or passage leaks nothing.  Rows
     repeated with the same id give one row; ids may be of any type, null ids are kept.
 
-    Winnowed fingerprints of the passages meet those of the texts, and each pair that
-    shares one is confirmed on the words.  Up to ``BROADCAST_ITEMS`` items of ``BROADCAST_BYTES`` (measured) the
+    Winnowed fingerprints of the passages meet those of the texts, and each hit is extended
+    word by word to the span.  Up to ``BROADCAST_ITEMS`` items of ``BROADCAST_BYTES`` (measured) the
     fingerprints go to every task and the corpus is read once, without a shuffle; beyond
     that both sides' fingerprints are joined by hash, and hits are confirmed after a join.
     """
@@ -131,21 +184,20 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item
 
 
 def _broadcast(texts: DataFrame, wanted: DataFrame, span: int, gram: int) -> DataFrame:
-    rows = wanted.toArrow()
-    shared = texts.sparkSession.sparkContext.broadcast((rows.column(0), rows.column(1).to_pylist()))
+    rows = wanted.toArrow().combine_chunks()
+    spelled = [words(p) for p in rows.column(1).to_pylist()]
+    hashes = WordHashes()
+    # built once; bounded by the items' own bounds
+    index = Fingerprints.of([hashes(w) for w in spelled], span, gram)
+    shared = texts.sparkSession.sparkContext.broadcast((rows.column(0), spelled, index))
     schema = texts.select("__doc").schema.add(wanted.schema["__item"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, passages = shared.value
+        keys, spelled, index = shared.value
         keys = keys.combine_chunks() if isinstance(keys, pa.ChunkedArray) else keys
         hashes = WordHashes()
-        spelled = [words(p) for p in passages]
-        index = Fingerprints.of([hashes(w) for w in spelled], span, gram)
         for batch in batches:
-            found = [words(t) for t in batch.column(1).to_pylist()]
-            flat = hashes([w for x in found for w in x])
-            pairs = sorted(index.candidates(flat, np.cumsum([len(x) for x in found])))
-            pairs = [(d, i) for d, i in pairs if has_span(found[d], spelled[i], span)]
+            pairs = _leaked(index, spelled, [words(t) for t in batch.column(1).to_pylist()], hashes)
             if pairs:
                 d, i = (pa.array(x, pa.int64()) for x in zip(*pairs))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(d), keys.take(i)], names=["__doc", "__item"])
@@ -191,8 +243,12 @@ def _joined(texts: DataFrame, wanted: DataFrame, span: int, gram: int) -> DataFr
     both = held.join(wanted, held["__item"].eqNullSafe(wanted["__item"])).select("__doc", held["__item"], "__text", "__passage")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for batch in batches:
-            ok = [has_span(words(t), words(p), span) for t, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            ok = []
+            for t, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                item = words(p)
+                ok.append(bool(_leaked(Fingerprints.of([hashes(item)], span, gram), [item], [words(t)], hashes)))
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(ok, pa.bool_())) for i in (0, 1)], names=["__doc", "__item"])
 
     return both.mapInArrow(confirm, both.select("__doc", "__item").schema)
