@@ -53,15 +53,6 @@ def gaps(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-def boundary_kind(gap: np.ndarray, limit: int = LIMIT) -> str:
-    """The coarsest cut that leaves every block within the limit: paragraph, line or inside."""
-    for kind, least in (("paragraph", 2), ("line", 1)):
-        at = np.flatnonzero(gap >= least)
-        if len(at) and np.diff(np.r_[at, len(gap)]).max() + SPECIAL <= limit:
-            return kind
-    return "inside"
-
-
 def _token_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit rolling hash of the ``ROLL`` tokens before each gap."""
     m = 0x9E3779B97F4A7C15
@@ -78,14 +69,15 @@ def _token_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return rolled * np.uint64(0x94D049BB133111EB)
 
 
-def cut_points(gap: np.ndarray, rolled: np.ndarray, limit: int = LIMIT, overlap: int = OVERLAP, least: int = LEAST) -> list[int]:
+def cut_points(gap: np.ndarray, rolled: np.ndarray, limit: int = LIMIT, overlap: int = OVERLAP, least: int = LEAST, level: int = 0) -> list[int] | None:
     """First tokens of the pieces after the first, leaving the overlap aside.
 
     From the last cut on, the landmark is the gap of the least rolling hash among those
     that leave a piece of the minimum and maximum size; it snaps to the nearest gap of the
     coarsest kind in that range (blank line, else line break).  If it holds neither, the last
     gap of the coarsest kind before it that still leaves a new token is taken, and only if
-    there is none the landmark itself.
+    there is none the landmark itself.  With a ``level`` only gaps of at least that kind are
+    cut at, and None says that they do not suffice.
     A cut depends on the text since the last cut only, and landmarks on a few tokens each,
     so that after an edit the cuts fall into step again within a few pieces.
     """
@@ -100,20 +92,30 @@ def cut_points(gap: np.ndarray, rolled: np.ndarray, limit: int = LIMIT, overlap:
         landmark = low + int(np.argmin(rolled[low : high + 1]))
         kind = gap[low : high + 1]
         best = kind.max()
-        if best:
+        if best and best >= level:
             natural = low + np.flatnonzero(kind == best)
             landmark = int(natural[np.argmin(np.abs(natural - landmark))])
         else:
             # every piece needs a new token, and the overlap must lie in what came before
             early = max(at, overlap) + 1
             kind = gap[early:low]
-            if len(kind) and kind.max():
+            if len(kind) and kind.max() and kind.max() >= level:
                 landmark = early + int(np.flatnonzero(kind == kind.max())[-1])
+            elif level:
+                return None
         cuts.append(landmark)
         at = landmark
     return cuts
 
 
+def boundary_kind(gap: np.ndarray, rolled: np.ndarray, limit: int = LIMIT) -> str:
+    """The coarsest cut that suffices: pieces without overlap, cut at blank lines (or at line breaks) alone, keep the limit."""
+    for kind, level in (("paragraph", 2), ("line", 1)):
+        if cut_points(gap, rolled, limit, 0, 1, level) is not None:
+            return kind
+    return "inside"
+
+
 def chunk_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP, least: int = LEAST) -> tuple[list[tuple[str, int, int]], int, str]:
     """Pieces ``(text, token_count, first token)``, the token count and the boundary of a text.
 
@@ -126,10 +128,11 @@ def chunk_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP, least: int
     starts, ends = _runs(data)
     n = len(starts)
     gap = gaps(data, starts, ends)
-    kind = boundary_kind(gap, limit) if n else "paragraph"
     if n + SPECIAL <= limit:
-        return [(text, n + SPECIAL, 0)], n + SPECIAL, kind
-    cuts = cut_points(gap, _token_hashes(data, starts, ends), limit, overlap, least)
+        return [(text, n + SPECIAL, 0)], n + SPECIAL, "paragraph"
+    rolled = _token_hashes(data, starts, ends)
+    kind = boundary_kind(gap, rolled, limit)
+    cuts = cut_points(gap, rolled, limit, overlap, least)
     firsts = [0, *(c - overlap for c in cuts)]
     lasts = [*cuts, n]
     return [(raw[starts[a] : ends[b - 1]].decode(), b - a + SPECIAL, a) for a, b in zip(firsts, lasts)], n + SPECIAL, kind

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm import chunking, leakage, neighbours, spam, tokenizer
@@ -40,6 +40,19 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d, pieces=True).select("item_table", "text_sha", "piece", "start", "token_count", F.sha2("piece_text", 256).alias("chunk_sha"))
 
 
+def p3_cover(spark: SparkSession, d: str) -> DataFrame:
+    """Of every oversized text: its tokens, those of its pieces without the overlaps, and whether all pieces keep the limit and the overlap."""
+    rows = _pieces(spark, d, pieces=True)
+    own = F.count_if(F.col("token_count") > chunking.LIMIT) == 0
+    after = F.lead("start").over(Window.partitionBy("item_table", "text_sha").orderBy("piece"))
+    shared = F.col("start") + F.col("token_count") - chunking.SPECIAL - F.col("after")
+    rows = rows.withColumn("after", after).withColumn("shared", F.when(F.col("after").isNotNull(), shared).otherwise(0))
+    return rows.groupBy("item_table", "text_sha").agg(
+        F.max("n_tokens").alias("n_tokens"), (F.sum(F.col("token_count") - chunking.SPECIAL - F.col("shared")) + chunking.SPECIAL).alias("covered"),
+        own.alias("within_limit"), (F.count_if(F.col("after").isNotNull() & (F.col("shared") != chunking.OVERLAP)) == 0).alias("overlapping"),
+    )
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.similar_pairs(table(spark, d, "embedding_cache"))
 
@@ -48,7 +61,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return spam.spam_pages(table(spark, d, "documents"))
 
 
-QUERIES = {"p8_found": p8_found, "p4_found": p4_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_ids": p6_ids, "p7_found": p7_found, "p7_report": p7_report}
+QUERIES = {"p8_found": p8_found, "p4_found": p4_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p3_cover": p3_cover, "p6_ids": p6_ids, "p7_found": p7_found, "p7_report": p7_report}
 _BOUNDARY = """
 SELECT DISTINCT '{table}' AS item_table, sha256({text}) AS text_sha,
   CASE WHEN list_max(list_transform(regexp_split_to_array({text}, '\\r?\\n[ \\t]*\\r?\\n'), lambda x: len(regexp_extract_all(x, '[^ \\t\\r\\n]+')))) <= 254 THEN 'paragraph'
@@ -56,6 +69,10 @@ SELECT DISTINCT '{table}' AS item_table, sha256({text}) AS text_sha,
        ELSE 'inside' END AS boundary
 FROM {table} WHERE len(regexp_extract_all({text}, '[^ \\t\\r\\n]+')) > 254"""
 
+_COVER = """
+SELECT DISTINCT '{table}' AS item_table, sha256({text}) AS text_sha, n AS n_tokens, n AS covered, true AS within_limit, true AS overlapping
+FROM (SELECT {text}, len(regexp_extract_all({text}, '[^ \\t\\r\\n]+')) + 2 AS n FROM {table}) WHERE n > 256"""
+
 #: Exact neighbours by definition; the registered query finds them by graph search.
 _PAIRS = """WITH v AS (SELECT DISTINCT profile, chunk_sha, record FROM embedding_cache WHERE octet_length(record) = 72 AND lower(record_sha) = sha256(record) AND profile IS NOT NULL AND chunk_sha IS NOT NULL),
 b AS (SELECT profile, chunk_sha, list_transform(range(8, 72), lambda i: CAST('0x' || hex(record)[2*i+1:2*i+2] AS INT)) AS u FROM v),
@@ -81,5 +98,6 @@ ORACLES: dict[str, str] = {
     "p4_found": _PAIRS,
     "p7_found": _LEAKS + "SELECT doc_id, item_id FROM found",
     "p7_report": _LEAKS + "SELECT item_id, count(*) AS documents FROM found GROUP BY 1",
+    "p3_cover": _COVER.format(table="provisions", text="text_md") + " UNION ALL " + _COVER.format(table="semantic_chunks", text="text"),
     "p3_found": _BOUNDARY.format(table="provisions", text="text_md") + " UNION ALL " + _BOUNDARY.format(table="semantic_chunks", text="text"),
 }
