@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,28 +18,30 @@ from palimpsest.llm.words import fold
 SHARE, TIMES = 0.5, 3
 #: Words between repeated ones that belong to the same list at most.
 VARYING = 3
-#: Words of a clause at least, and words for each determiner or pronoun at most.
-CLAUSE_WORDS, PER_DETERMINER = 4, 12
-
-#: Words that open noun groups or stand for them, which running text cannot do without and
-#: lists of keywords do without (folded: no accents, lower case).
-DETERMINERS = frozenset(
-    """the a an this that these those each every any no all its their his her it they he she we you i who which
-    le la les l un une ce cet cette ces chaque tout toute tous toutes aucun aucune son sa ses leur leurs il elle ils elles qui que on nous vous je
-    der die das den dem des ein eine einen einem einer eines jede jeder jedes jeden jedem alle allen kein keine keinen diese dieser dieses sein seine ihr ihre er sie es wir""".split()
-)
-
-_INVISIBLE = re.compile("[­​-‏⁠-⁤﻿]+")
+#: Words of a clause at least, and for each link that stands in it.
+CLAUSE_WORDS, LINK_WORDS = 5, 8
+#: Letters of a short word, words of a clause for each of its short words at most, and words
+#: from which on a clause has short words of two kinds.
+SHORT, PER_SHORT, TWO_KINDS = 3, 8, 16
+#: Share of a clause's words that differ from each other at least, and of those with digits at most.
+DIFFERENT, DIGITS = 0.55, 0.25
+#: Words between two separators of a segment of so many words on average at least.
+UNIT, LONG = 5, 40
+#: Words of a text without breaks up to which its different words grow.
+GROWS = 150
+
+_INVISIBLE = re.compile("[\x02\x03­​-‏⁠-⁤﻿]+")
 _ANCHOR = re.compile(r"<a\b[^>]*?href\s*=\s*[\"']?([^\"'>\s]*)[^>]*>(.*?)</a\s*>", re.I | re.S)
 _MARKED = re.compile(r"!?\[([^\]\n]*)\]\(([^)\s]*)\)")
-_MARKUP = re.compile(r"<[^>\n]{1,300}>")
+_MARKUP = re.compile(r"<[/!a-zA-Z][^<>\n]*>")
 _URL = re.compile(r"(?:https?://|www\.)\S+", re.I)
-_BREAK = re.compile(r"[\r\n]+|(?<=[.!?;])[ \t]+")
+_BREAK = re.compile(r"[\r\n]+|(?<=[.!?;])(?<!\.\.)[ \t]+")
 _TOKEN = re.compile(r"(?:https?://|www\.)\S+|#\w[\w'’]*|[^\W_]+", re.I)
-_WORD = re.compile(r"[^\W_]+")
-#: Rows of tables, entries of contents and items of definitions or of lists of acts.
+_SEPARATOR = re.compile(r"[,;:/|·•=>()]|\s[-–—*]\s")
+#: A link with its label, as ``spam_share`` marks it; sentences of a label may part it.
+_LINKED = re.compile("\x02[^\x02\x03]*\x03?|[^\x02\x03]*\x03")
+#: Rows of tables, and dates as lists of acts have them.
 _TABLE = re.compile(r"\s*\|.*\|\s*\Z")
-_HEADING = re.compile(r"\s*(?:[#*\-–•]+\s*)?(?:article|artikel|art\.|annexe?|anhang|chapter|chapitre|kapitel|section|abschnitt|titre|title|titel|teil|part|partie|§)\s*[\dIVXLC]", re.I)
 _ACT = re.compile(r"\b\d{4}-\d\d-\d\d\b|\b\d{1,2}\.? \w+ \d{4}\b")
 
 
@@ -48,40 +51,63 @@ def suffix_coverage(symbols: list[int], times: int = TIMES) -> list[bool]:
     The suffix automaton of the sequence is built online; the number of occurrences of each
     state's substrings comes up along the suffix links.  At each position the longest
     suffix that is repeated often enough is the repeated substring that is maximal there.
+    States lie in arrays; only those with several edges have a table of them.
     """
-    length, link, edges, count = [0], [-1], [{}], [0]
-    at, last = [], 0
-    for s in symbols:
-        new = len(length)
-        length.append(length[last] + 1)
-        link.append(0)
-        edges.append({})
-        count.append(1)
-        p = last
-        while p >= 0 and s not in edges[p]:
-            edges[p][s] = new
+    most = 2 * len(symbols) + 2
+    length, link, count, to = (array("i", bytes(4 * most)) for _ in range(4))
+    symbol = array("q", bytes(8 * most))
+    many: dict[int, dict[int, int]] = {0: {}}
+    link[0], size, last = -1, 1, 0
+    at = array("i", bytes(4 * len(symbols)))
+    for i, s in enumerate(symbols):
+        new, size = size, size + 1
+        length[new], count[new] = length[last] + 1, 1
+        p, q = last, 0
+        # an edge leads to a state other than the first, so that 0 is none
+        while p >= 0:
+            own = many.get(p)
+            if own is None:
+                q = to[p] if symbol[p] == s else 0
+                if q:
+                    break
+                if to[p]:
+                    many[p] = {symbol[p]: to[p], s: new}
+                else:
+                    symbol[p], to[p] = s, new
+            else:
+                q = own.get(s, 0)
+                if q:
+                    break
+                own[s] = new
             p = link[p]
         if p >= 0:
-            q = edges[p][s]
             if length[q] == length[p] + 1:
                 link[new] = q
             else:
-                copy = len(length)
-                length.append(length[p] + 1)
-                link.append(link[q])
-                edges.append(dict(edges[q]))
-                count.append(0)
-                while p >= 0 and edges[p].get(s) == q:
-                    edges[p][s] = copy
+                copy, size = size, size + 1
+                length[copy], link[copy], symbol[copy], to[copy] = length[p] + 1, link[q], symbol[q], to[q]
+                if q in many:
+                    many[copy] = dict(many[q])
+                while p >= 0:
+                    own = many.get(p)
+                    if own is None:
+                        if symbol[p] != s or to[p] != q:
+                            break
+                        to[p] = copy
+                    elif own.get(s) == q:
+                        own[s] = copy
+                    else:
+                        break
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-        at.append(new)
-    order = sorted(range(1, len(length)), key=length.__getitem__, reverse=True)
+        at[i] = new
+    order = np.argsort(-np.frombuffer(length, np.int32)[:size], kind="stable")[: size - 1].tolist()
     for v in order:
         if link[v] >= 0:
             count[link[v]] += count[v]
-    repeated = [0] * len(length)
+    repeated = to
+    repeated[0] = 0
     for v in reversed(order):
         repeated[v] = length[v] if count[v] >= times else repeated[link[v]]
     covered, reach = [False] * len(symbols), 0
@@ -92,17 +118,65 @@ def suffix_coverage(symbols: list[int], times: int = TIMES) -> list[bool]:
     return covered
 
 
-def _is_clause(words: list[str]) -> bool:
-    """Whether the words of a segment are running text: enough of them open or replace nouns."""
+def _is_clause(words: list[str], segment: str, links: int = 0) -> bool:
+    """Whether the words of a segment are running text, in whatever language.
+
+    Running text says few words twice and joins its nouns by short words of several kinds;
+    lists of phrases, tags and products repeat their words, lack short ones or are full of
+    numbers.
+    """
     n = len(words)
-    return n >= CLAUSE_WORDS and sum(map(DETERMINERS.__contains__, words)) * PER_DETERMINER >= n
+    if n < max(CLAUSE_WORDS, LINK_WORDS * links):
+        return False
+    # what stands between separators in a long list are names and phrases of a few words
+    if n >= LONG and n < UNIT * (1 + len(_SEPARATOR.findall(segment))):
+        return False
+    kinds = set(words)
+    if len(kinds) < DIFFERENT * min(n, GROWS):
+        return False
+    short = {w for w in kinds if len(w) <= SHORT and w.isalpha()}
+    if len(short) < 1 + (n >= TWO_KINDS) or sum(map(short.__contains__, words)) * PER_SHORT < n:
+        return False
+    return sum(not w.isalpha() for w in words) <= DIGITS * n
+
+
+def _numbered(heads: list[int | None]) -> list[bool]:
+    """Which of the leading numbers of segments count on from the one before or to the one after."""
+    out = [False] * len(heads)
+    before = None
+    for i, n in enumerate(heads):
+        if n is None:
+            continue
+        if before is not None and heads[before] <= n <= heads[before] + 1:
+            out[before] = out[i] = True
+        before = i
+    return out
+
+
+_ROMAN = re.compile(r"(?=[ivxlc])(c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})\Z")
+_VALUES = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
+
+
+def _head(found: list[str]) -> int | None:
+    """The number among the first two words of a segment, Arabic or Roman."""
+    for w in found[:2]:
+        if w.isdecimal() and len(w) < 6:
+            return int(w)
+        if _ROMAN.match(w):
+            values = [_VALUES[c] for c in w]
+            return sum(-a if a < b else a for a, b in zip(values, [*values[1:], 0]))
+    return None
+
+
+def _is_url(token: str) -> bool:
+    return token.startswith(("http://", "https://", "www."))
 
 
 def _shape(token: str) -> str:
     """A token as a symbol: links, tags, amounts and codes are each one symbol."""
     if token[0] == "#":
         return "#"
-    if token.startswith(("http://", "https://", "www.")):
+    if _is_url(token):
         return "://"
     digits = sum(map(str.isdigit, token))
     return token if not digits else "0" if digits == len(token) else "a0"
@@ -112,11 +186,12 @@ def spam_share(text: str | None, times: int = TIMES) -> float:
     """The share of a page's words that are spam; 0 for null, empty and wordless texts.
 
     Segments (lines, and sentences of a line) that are running text are set aside, and so
-    are rows of tables, entries of contents, headings and listed acts, unless they hold
-    links.  If these make up half of the words, the page is no case whatever the rest is.
-    Otherwise the automaton of the other words tells which of them belong to repeated
-    maximal substrings; links with their labels, tags and up to ``VARYING`` words between
-    repeated ones belong to the list that they stand in.
+    are rows of tables, dated acts and entries whose numbers count on (contents, articles),
+    unless they hold links; of running text with links only the links with their labels are
+    not set aside.  If these make up half of the words, the page is no case whatever the
+    rest is.  Otherwise the automaton of the other words tells which of them belong to
+    repeated maximal substrings; links with their labels, tags and up to ``VARYING`` words
+    between repeated ones belong to the list that they stand in.
     """
     if not text:
         return 0.0
@@ -126,24 +201,40 @@ def spam_share(text: str | None, times: int = TIMES) -> float:
     if "<" in text:
         text = _MARKUP.sub(" ", _ANCHOR.sub(r" [\2](\1) ", text))
     if "](" in text:
-        text = _MARKED.sub(r" \1 https://\2 ", text)
-    total = 0
-    loose: list[list[str]] = []
-    linked: list[bool] = []
+        text = _MARKED.sub(" \x02\\1 https://\\2 \x03 ", text)
+    total, lone = 0, []
+    segments: list[tuple[str, list[str], bool]] = []
     for segment in _BREAK.split(text):
         folded = fold(segment)
         found = _TOKEN.findall(folded)
         if not found:
             continue
         total += len(found)
-        link = "http" in folded or "www." in folded
-        plain = [t for t in found if t[0] != "#" and "/" not in t] if link or "#" in segment else found
-        if _is_clause(plain):
+        if len(found) == 1 and _head(found) is not None:
+            lone += found  # the number of the entry that follows
             continue
-        if not link and (_TABLE.match(segment) or _HEADING.match(segment) or _ACT.search(segment)):
+        if lone:
+            found, lone = lone + found, []
+        link = "http" in folded or "www." in folded
+        if link:
+            plain = [t for t in _TOKEN.findall(_LINKED.sub(" ", folded)) if t[0] != "#" and not _is_url(t)]
+            urls = sum(map(_is_url, found))
+            if _is_clause(plain, "", urls):
+                # of running text with links the links alone are judged
+                left = [t for x in _LINKED.findall(folded) for t in _TOKEN.findall(x)] + [t for t in _TOKEN.findall(_LINKED.sub(" ", folded)) if _is_url(t)]
+                segments.append((segment, left, True))
+                continue
+        elif _is_clause([t for t in found if t[0] != "#"] if "#" in segment else found, segment):
             continue
-        loose.append(found)
-        linked.append(link)
+        segments.append((segment, found, link))
+    if lone:
+        segments.append(("", lone, False))
+    counted = _numbered([None if link else _head(found) for _, found, link in segments])
+    loose, linked = [], []
+    for (segment, found, link), goes_on in zip(segments, counted):
+        if link or not (goes_on or _TABLE.match(segment) or _ACT.search(segment)):
+            loose.append(found)
+            linked.append(link)
     rest = sum(map(len, loose))
     if rest <= total * SHARE:
         return 0.0
