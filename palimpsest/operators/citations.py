@@ -15,7 +15,8 @@ def href_slug(href):
     """
     tidy = F.lower(F.trim(F.regexp_replace(href, "(?s)[?#].*$", "")))
     after = F.when(F.instr(tidy, "/eli/") > 0, F.substring_index(F.concat(F.lit(" "), tidy), "/eli/", -1))
-    rest = F.slice(F.filter(F.split(after, "/"), lambda s: s != ""), 3, 1000)
+    segments = F.filter(F.split(after, "/"), lambda s: s != "")
+    rest = F.slice(segments, F.lit(3), F.greatest(F.size(segments), F.lit(0)))
     at = F.array_position(rest, "consolide").cast("int")
     head = F.when(at > 0, F.slice(rest, 1, F.greatest(at - 1, F.lit(0)))).otherwise(rest)
     return F.nullif(F.array_join(F.filter(head, lambda s: s != "jo"), "-"), F.lit(""))

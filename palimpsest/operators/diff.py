@@ -9,15 +9,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.functions.text import SAME
+
 #: Cells of a table that is held at most; larger comparisons are halved until they fit.
 CELLS = 4_000_000
-# Typographic variants that count as the same character.
-_SAME = str.maketrans({"’": "'", "‘": "'", "“": '"', "”": '"', "«": '"', "»": '"', "–": "-", "—": "-", " ": " ", " ": " ", "œ": "oe", "æ": "ae"})
+_SAME = str.maketrans(dict(zip(*SAME)) | {"œ": "oe"})
 
 
 def same_word(word: str) -> str:
     """A word without typographic differences."""
-    return word.lower().translate(_SAME)
+    return word.translate(_SAME).lower()
 
 
 def common(a: list[str], b: list[str]) -> list[tuple[int, int]]:

@@ -280,10 +280,22 @@ def page_furniture(pages: DataFrame, issue: str, page_id: str, text: str, least_
     return on.join(count, issue).where(F.col("on_pages") * 2 > F.col("pages"))
 
 
+def emptiness(provisions: DataFrame, empty: Column) -> DataFrame:
+    """``rid, total, empty, mostly``: of each version its provisions, the empty ones, and whether these are half or more."""
+    rows = provisions.groupBy("rid").agg(F.count(F.lit(1)).alias("total"), F.sum(empty.cast("long")).alias("empty"))
+    return rows.withColumn("mostly", F.col("empty") * 100 >= F.col("total") * 50)
+
+
 def mostly_empty(provisions: DataFrame, empty: Column) -> DataFrame:
     """Versions of whose provisions at least half are empty."""
-    rows = provisions.groupBy("rid").agg(F.count(F.lit(1)).alias("total"), F.sum(empty.cast("long")).alias("empty"))
-    return rows.where(F.col("empty") * 100 >= F.col("total") * 50)
+    return emptiness(provisions, empty).where("mostly").drop("mostly")
+
+
+def more_empty_than_before(now: DataFrame, before: DataFrame, signature: list[str]) -> DataFrame:
+    """``signature, now, before``: empty provisions of which there are more than in the baseline, counted by signature."""
+    counts = [df.groupBy(*signature).agg(F.count(F.lit(1)).alias(n)) for df, n in ((now, "now"), (before, "before"))]
+    rows = counts[0].join(counts[1], signature, "left").withColumn("before", F.coalesce("before", F.lit(0)))
+    return rows.where("now > before")
 
 
 def preferred_manifestation(rows: DataFrame, by: list[str], priority: dict[str, int], kind: str = "format") -> DataFrame:

@@ -24,7 +24,7 @@ def eli_target(path: Column) -> Column:
     work to the versions of that day, and the other segments joined by ``-`` are the work.
     """
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    rest = F.slice(segments, 3, 1000)
+    rest = F.slice(segments, F.lit(3), F.size(segments))
     at = F.array_position(rest, "consolide").cast("int")
     head = F.when(at > 0, F.slice(rest, 1, F.greatest(at - 1, F.lit(0)))).otherwise(rest)
     work = F.array_join(F.filter(head, lambda s: s != "jo"), "-")
@@ -104,5 +104,3 @@ def orphan_references(docs: DataFrame, citations: DataFrame, observations: DataF
 def orphan_report(orphans: DataFrame) -> DataFrame:
     """``ref_table, ref_period, orphans``: how many references of each table and month are orphans."""
     return orphans.groupBy("ref_table", "ref_period").agg(F.count(F.lit(1)).alias("orphans"))
-
-

@@ -45,28 +45,40 @@ def postings(states: DataFrame, key: list[str], fields: dict[str, float]) -> Dat
     return terms.groupBy(*key, "length", F.col("t").alias("term")).agg(F.sum("w").alias("tf"))
 
 
-def bm25(states: DataFrame, queries: DataFrame, key: list[str], fields: dict[str, float], query_id: str, query: str, every_term: bool, limit: int) -> DataFrame:
-    """``query_id, key, score, rank``: the best states for each query.
+def scored(states: DataFrame, queries: DataFrame, key: list[str], fields: dict[str, float], query_id: str, query: str) -> DataFrame:
+    """``query_id, key, score, matched, needed``: BM25 of every state that holds a term of a query.
 
-    ``every_term`` asks for all terms of the query; statistics are of all states, whatever
-    the filters were.  The query side is joined by term: only postings of terms that are
-    asked for are shuffled further.  Ranks are cut within each query before ranking is
-    final (window group limit); equal scores are in order of the key.
+    Statistics are of all states, whatever the filters were.  The query side is joined by
+    term: only postings of terms that are asked for are shuffled at all.  ``matched`` counts
+    the terms that a state holds, of ``needed`` ones.
     """
-    sizes = states.select(*key, reduce(lambda a, b: a + b, [F.size(tx.tokens(F.coalesce(F.col(f), F.lit("")))) for f in fields]).alias("n"))
-    totals = sizes.agg(F.count(F.lit(1)).alias("states"), F.avg("n").alias("mean"))
-    asked = queries.select(query_id, F.explode(F.array_distinct(tx.tokens(F.col(query)))).alias("term"))
-    needed = asked.groupBy(query_id).agg(F.count(F.lit(1)).alias("needed"))
+    words = [F.regexp_count(tx.fold(F.coalesce(F.col(f), F.lit(""))), F.lit(r"[\p{L}\p{N}]+")) for f in fields]
+    totals = states.select(reduce(lambda a, b: a + b, words).alias("n")).agg(F.count(F.lit(1)).alias("states"), F.avg("n").alias("mean"))
+    asked = queries.select(query_id, F.array_distinct(tx.tokens(F.col(query))).alias("terms")).select(query_id, F.explode("terms").alias("term"), F.size("terms").cast("long").alias("needed"))
     hits = postings(states, key, fields).join(asked.select("term").distinct(), "term", "left_semi")
     held = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # one row: its broadcast is bounded
     idf = held.join(F.broadcast(totals)).select("term", "mean", F.greatest(F.ln((F.col("states") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6)).alias("idf"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    rows = hits.join(idf, "term").join(asked, "term").groupBy(query_id, *key).agg(F.round(F.sum(part), 6).alias("score"), F.count(F.lit(1)).alias("matched"))
+    rows = hits.join(idf, "term").select(*key, "term", part.alias("part")).join(asked, "term")
+    return rows.groupBy(query_id, "needed", *key).agg(F.round(F.sum("part"), 6).alias("score"), F.count(F.lit(1)).alias("matched"))
+
+
+def bm25(states: DataFrame, queries: DataFrame, key: list[str], fields: dict[str, float], query_id: str, query: str, every_term: bool, limit: int) -> DataFrame:
+    """``query_id, key, score, rank``: the best states for each query.
+
+    ``every_term`` asks for all terms of the query.  Ranks are cut within each query before
+    ranking is final (window group limit); equal scores are in order of the key.
+    """
+    return best(scored(states, queries, key, fields, query_id, query), key, query_id, every_term, limit)
+
+
+def best(rows: DataFrame, key: list[str], query_id: str, every_term: bool, limit: int) -> DataFrame:
+    """The best of ``scored`` rows of each query, with their ranks."""
     if every_term:
-        rows = rows.join(needed, query_id).where("matched = needed").drop("needed")
+        rows = rows.where("matched = needed")
     order = Window.partitionBy(query_id).orderBy(F.col("score").desc(), *key)
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).drop("matched")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).drop("matched", "needed")
 
 
 def capped(hits: DataFrame, query_id: str, work: str, per_work: int, limit: int) -> DataFrame:
@@ -98,22 +110,27 @@ def fuzzy_terms(queries: DataFrame, vocabulary: DataFrame, query_id: str, query:
     return kept.select(query_id, "word", "term", F.col("distance").cast("long").alias("distance"))
 
 
-def contained_names(texts: DataFrame, names: DataFrame, key: str, text: str, most_words: int) -> DataFrame:
-    """``key, work``: works whose normalised name stands in a text, word for word.
+def contained_names(texts: DataFrame, names: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, work, name``: works whose normalised name stands in a text, word for word.
 
-    The window of words from each position of the text meets the names by an equi-join on
-    its first words (two, or one for names of a single word) and is then compared with the
-    whole name: no substring test of each text with each name.
+    Each place of a text gives the hashes of the one and the two words there; only places
+    where a name can begin go on to be compared with it word for word, so that what is
+    shuffled is a hash a word and no text is paired with all names.
     """
-    # through a generator, whose output no optimizer rule copies into the windows' lambda
-    words = texts.select(key, F.explode_outer(F.array(F.split(tx.normalize(F.col(text)), " "))).alias("words"))
-    windows = F.explode_outer(F.transform(F.sequence(F.lit(1), F.size("words")), lambda i: F.slice("words", i, most_words)))
-    rows = words.where("words is not null").select(key, windows.alias("w"))
-    heads = F.explode(F.array(F.get("w", F.lit(0)), F.concat_ws(" ", F.get("w", F.lit(0)), F.get("w", F.lit(1)))))
-    tried = rows.select(key, "w", heads.alias("head"))
-    known = names.select("name", "work", F.substring_index("name", " ", 2).alias("head"))
-    whole = F.startswith(F.concat(F.array_join("w", " "), F.lit(" ")), F.concat("name", F.lit(" ")))
-    return tried.join(known, "head").where(whole).select(key, "work").distinct()
+    # through a generator, whose output no optimizer rule copies into the lambda
+    words = texts.select(key, F.explode_outer(F.array(F.split(tx.normalize(F.col(text)), " "))).alias("words")).where("words is not null")
+    known = names.select("name", "work", F.size(F.split("name", " ")).alias("n"), F.xxhash64(F.substring_index("name", " ", 2)).alias("head"))
+    lengths = known.groupBy("head").agg(F.max("n").alias("longest"))
+    places = F.sequence(F.lit(1), F.size("words"))
+    heads = F.transform(places, lambda i: F.struct(i.alias("at"), F.array(F.xxhash64(F.element_at("words", i)), F.xxhash64(F.array_join(F.slice("words", i, 2), " "))).alias("heads")))
+    text_id = F.xxhash64(F.array_join("words", " "))
+    numbered = words.withColumn("text_id", text_id)
+    tried = numbered.select(key, "text_id", F.explode(heads).alias("p")).select(key, "text_id", "p.at", F.explode(F.array_distinct("p.heads")).alias("head"))
+    met = tried.join(lengths, "head").groupBy(F.col(key).alias("_key"), F.col("text_id").alias("_text")).agg(F.collect_set(F.struct("at", "longest", "head")).alias("met"))
+    windows = numbered.join(met, F.col(key).eqNullSafe(F.col("_key")) & (F.col("text_id") == F.col("_text"))).select(key, "words", F.explode("met").alias("m"))
+    windows = windows.select(key, "m.head", F.array_join(F.slice("words", F.col("m.at"), F.col("m.longest")), " ").alias("w"))
+    whole = F.startswith(F.concat("w", F.lit(" ")), F.concat("name", F.lit(" ")))
+    return windows.join(known, "head").where(whole).select(key, "work", "name").distinct()
 
 
 def work_names(docs: DataFrame) -> DataFrame:
@@ -143,7 +160,7 @@ def title_search(docs: DataFrame, query: str, limit: int) -> DataFrame:
 
 def article_hits(queries: DataFrame, provisions: DataFrame, query_id: str, query: str) -> DataFrame:
     """Provisions whose number is the article that a query names, in any spelling of it."""
-    asked = queries.select(query_id, tx.article_number(F.col(query)).alias("number")).where("number <> ''")
+    asked = queries.select(query_id, tx.article_number(tx.normalize(F.col(query))).alias("number")).where("number <> ''")
     spelled = asked.select(query_id, F.explode(tx.ordinal_spellings(F.replace(F.col("number"), F.lit(" "), F.lit("")))).alias("num_key"))
     return spelled.join(provisions.withColumn("num_key", tx.article_key(F.col("num"))), "num_key")
 

@@ -246,8 +246,8 @@ class Operations:
         ranked = rows.orderBy(F.col("score").desc(), F.col("valid_from").desc(), *key).limit(6 * limit)
         order = ranked.withColumn("rank", F.rank().over(_whole().orderBy(F.col("score").desc(), F.col("valid_from").desc(), *key)))
         page = retrieval.capped(order, "q", "group_key", 2 if not filters.works else limit, limit)
-        names = retrieval.contained_names(asked, retrieval.work_names(self.corpus.docs), "q", "query", 40)
-        return Envelope("ok" if page.take(1) else "no_result", page, {"resolved": names, "article": asked.select(tx.article_number(F.col("query")).alias("number"))})
+        names = retrieval.contained_names(asked, retrieval.work_names(self.corpus.docs), "q", "query")
+        return Envelope("ok" if page.take(1) else "no_result", page, {"resolved": names, "article": asked.select(tx.article_number(tx.normalize(F.col("query"))).alias("number"))})
 
 
 def _whole():

@@ -39,9 +39,12 @@ def page_furniture(c: Corpus) -> DataFrame:
     return extraction.page_furniture(c.raw("documents"), "group_key", "doc_id", "text")
 
 
-@query(f"""WITH {PROVISIONS}, r AS (SELECT rid, count(*) AS total, count(*) FILTER (text_sha = sha256('')) AS empty FROM p GROUP BY 1) SELECT rid, total, empty FROM r WHERE empty * 100 >= total * 50""")
+@query(f"""WITH {PROVISIONS}, r AS (SELECT rid, count(*) AS total, count(*) FILTER (text_sha = sha256('')) AS empty FROM p GROUP BY 1) SELECT CASE WHEN empty * 100 >= total * 50 THEN 'mostly empty' WHEN empty > 0 THEN 'partly empty' ELSE 'full' END AS state, count(*) AS versions, CAST(sum(total) AS BIGINT) AS total, CAST(sum(empty) AS BIGINT) AS empty FROM r GROUP BY 1""")
 def mostly_empty_versions(c: Corpus) -> DataFrame:
-    return extraction.mostly_empty(c.provisions(), F.col("text_sha") == F.sha2(F.lit(""), 256))
+    """How many versions are empty for the most or a lesser part, and their provisions."""
+    rows = extraction.emptiness(c.provisions(), F.col("text_sha") == F.sha2(F.lit(""), 256))
+    state = F.when(F.col("mostly"), "mostly empty").when(F.col("empty") > 0, "partly empty").otherwise("full")
+    return rows.groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("versions"), F.sum("total").alias("total"), F.sum("empty").alias("empty"))
 
 
 @query(f"""WITH {DOCS}, k AS (SELECT group_key, key, valid_from, rid, language, CASE language WHEN 'fr' THEN 0 WHEN 'en' THEN 1 ELSE 3 END AS r FROM d)

@@ -114,13 +114,20 @@ def citations_of(c: Corpus) -> DataFrame:
     return cite.citations_of(c.citations)
 
 
-@query(f"""WITH {_CITES}, {DOCS}, e AS (SELECT DISTINCT rid, anchor, cited_slug FROM c WHERE cited_slug IS NOT NULL), n AS (SELECT DISTINCT rid, anchor, num FROM provisions WHERE rid IS NOT NULL)
+#: The citations with the work that the href means, else the stored slug.
+_CITED = _CITES + """, h AS (SELECT *, lower(trim(regexp_replace(href, '[?#].*$', '', 's'))) AS h FROM c),
+sg AS (SELECT *, CASE WHEN contains(h, '/eli/') THEN list_filter(string_split(string_split(h, '/eli/')[-1], '/'), lambda x: x <> '')[3:] END AS s FROM h),
+r AS (SELECT rid, anchor, coalesce(nullif(array_to_string(list_filter(CASE WHEN list_contains(s, 'consolide') THEN s[:list_position(s, 'consolide') - 1] ELSE s END, lambda x: x <> 'jo'), '-'), ''),
+  CASE WHEN contains(h, ':') AND string_split(h, ':')[1] IN (SELECT lower(trim(collection)) FROM docs WHERE trim(collection) <> '') THEN nullif(trim(string_split(h, ':')[2]), '') END, lower(cited_slug)) AS cited_slug FROM sg)"""
+
+
+@query(f"""WITH {_CITED}, {DOCS}, e AS (SELECT DISTINCT rid, anchor, cited_slug FROM r WHERE cited_slug IS NOT NULL), n AS (SELECT DISTINCT rid, anchor, num FROM provisions WHERE rid IS NOT NULL)
 SELECT DISTINCT cited_slug, group_key, key, strftime(valid_from, '%Y-%m-%d') AS valid_from, e.anchor, num FROM e JOIN d USING (rid) LEFT JOIN n ON n.rid = e.rid AND n.anchor = e.anchor WHERE NOT withdrawn""")
 def cited_by(c: Corpus) -> DataFrame:
     return iso(cite.cited_by(c.citations, c.docs, c.provisions("num")), "valid_from")
 
 
-@query(f"WITH {_CITES}, {DOCS} SELECT cited_slug, count(DISTINCT group_key) AS works FROM c JOIN d USING (rid) WHERE cited_slug IS NOT NULL AND NOT withdrawn GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50")
+@query(f"WITH {_CITED}, {DOCS} SELECT cited_slug, count(DISTINCT group_key) AS works FROM r JOIN d USING (rid) WHERE cited_slug IS NOT NULL AND NOT withdrawn GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50")
 def most_cited(c: Corpus) -> DataFrame:
     return cite.most_cited(c.citations, c.docs, 50)
 
@@ -136,7 +143,7 @@ def citation_alias(c: Corpus) -> DataFrame:
     return cite.citation_targets(c.citations, c.docs)
 
 
-@query(f"""WITH {_CITES}, {DOCS}, e AS (SELECT DISTINCT d.group_key AS source, cited_slug AS target FROM c JOIN d USING (rid)), s AS (SELECT DISTINCT group_key AS node FROM d WHERE kind = 'LOI')
+@query(f"""WITH {_CITED}, {DOCS}, e AS (SELECT DISTINCT d.group_key AS source, cited_slug AS target FROM r JOIN d USING (rid)), s AS (SELECT DISTINCT group_key AS node FROM d WHERE kind = 'LOI')
 SELECT node FROM (SELECT target AS node FROM e WHERE source IN (SELECT node FROM s) UNION SELECT source FROM e WHERE target IN (SELECT node FROM s)) WHERE node IS NOT NULL AND node NOT IN (SELECT node FROM s)""")
 def citation_closure(c: Corpus) -> DataFrame:
     edges = cite.resolved(c.citations, c.docs).join(c.docs.select("rid", F.col("group_key").alias("source")), "rid").select("source", F.col("cited_slug").alias("target")).distinct()
@@ -196,9 +203,12 @@ def scd_replay(c: Corpus) -> DataFrame:
     return scd.reconcile(after, seen, _FIELDS).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT rid FROM ({_RECONCILE}) WHERE action = 'tombstoned'")
+@query("SELECT rid FROM (" + _RECONCILE.replace(f"observed_from <= TIMESTAMP '{_T1}'", f"observed_from > TIMESTAMP '{_T0}' AND observed_from <= TIMESTAMP '{_T1}'") + ") WHERE action = 'tombstoned'")
 def tombstones(c: Corpus) -> DataFrame:
-    return scd.reconcile(*_held_and_seen(c), _FIELDS).where("action = 'tombstoned'").select("rid")
+    """What was held and has not been observed in the year after."""
+    raw = c.raw("docs")
+    seen = scd.state_at(raw.where(F.col("observed_from") > F.lit(_T0).cast("timestamp")), _T1).where("not withdrawn")
+    return scd.reconcile(scd.state_at(raw, _T0), seen, _FIELDS).where("action = 'tombstoned'").select("rid")
 
 
 @query(f"""WITH {PROVISIONS} SELECT text_sha, count(*) AS provisions FROM p WHERE text_sha NOT IN (SELECT sha256(text_md) FROM provisions WHERE text_md IS NOT NULL) OR text_sha IS NULL GROUP BY 1""")
@@ -226,7 +236,7 @@ def migration_unmatched(c: Corpus) -> DataFrame:
     return scd.unmatched_states(scd.state_at(c.raw("docs"), _T0), c.live)
 
 
-@query("""WITH p AS (SELECT min(profile) AS p FROM embedding_cache)
-SELECT DISTINCT chunk_sha FROM semantic_chunks WHERE chunk_sha IS NOT NULL AND chunk_sha NOT IN (SELECT chunk_sha FROM embedding_cache WHERE profile = (SELECT p FROM p) AND record IS NOT NULL AND chunk_sha IS NOT NULL)""")
+@query("""WITH p AS (SELECT DISTINCT profile FROM embedding_cache WHERE profile IS NOT NULL), k AS (SELECT DISTINCT chunk_sha FROM semantic_chunks WHERE chunk_sha IS NOT NULL)
+SELECT p.profile, k.chunk_sha FROM p, k ANTI JOIN (SELECT profile, chunk_sha FROM embedding_cache WHERE record IS NOT NULL) h ON h.profile = p.profile AND h.chunk_sha = k.chunk_sha""")
 def embedding_cache_misses(c: Corpus) -> DataFrame:
     return scd.cache_misses(c.raw("semantic_chunks"), c.raw("embedding_cache"))

@@ -25,7 +25,7 @@ def query(sql: str | None = None):
 
 
 def _fold(x: str) -> str:
-    return f"replace(replace(lower(translate({x}, '{tx.ACCENTED}', '{tx.PLAIN}')), 'œ', 'oe'), 'æ', 'ae')"
+    return f"lower(strip_accents({x}))"
 
 
 def _tokens(x: str) -> str:
@@ -33,7 +33,7 @@ def _tokens(x: str) -> str:
 
 
 def _normal(x: str) -> str:
-    n = f"trim(regexp_replace({_fold(x)}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    n = f"trim(regexp_replace({_fold(x)}, '[^\\p{{L}}\\p{{Nd}}]+', ' ', 'g'))"
     return f"CASE WHEN regexp_full_match({n}, '\\p{{L}}( \\p{{L}})+') THEN replace({n}, ' ', '') ELSE {n} END"
 
 
@@ -89,9 +89,14 @@ def bm25_fielded(c: Corpus) -> DataFrame:
     return _fielded(c, 20)
 
 
-@query(_bm25(_STATES, "state", True, 20) + "SELECT item_id, state, score, rank FROM ranked")
+_HEADINGS = "(SELECT heading AS item_id, heading AS query FROM provisions WHERE heading IS NOT NULL GROUP BY ALL)"
+
+
+@query(_bm25(_STATES, "state", True, 20).replace("FROM eval_items", f"FROM {_HEADINGS}") + "SELECT item_id, state, score, rank FROM ranked")
 def bm25_all_terms(c: Corpus) -> DataFrame:
-    return retrieval.bm25(_states(c), c.raw("eval_items"), ["state"], FIELDS, "item_id", "query", True, 20)
+    """Every heading as a query: states that hold all of its words."""
+    headings = c.raw("provisions").where("heading is not null").select(F.col("heading").alias("item_id"), F.col("heading").alias("query")).distinct()
+    return retrieval.bm25(_states(c), headings, ["state"], FIELDS, "item_id", "query", True, 20)
 
 
 @query(_bm25(_STATES, "state", False, 60) + """, w AS (SELECT *, string_split(state, '|')[1] AS work FROM ranked QUALIFY row_number() OVER (PARTITION BY item_id, work ORDER BY rank) <= 2)
@@ -123,7 +128,7 @@ def fuzzy_terms(c: Corpus) -> DataFrame:
 
 
 _FORMS = ", ".join(f"'{x}'" for x in tx.ACT_FORMS)
-_BARE = "trim(regexp_replace(title, '(?i)^\\s*(texte consolidé|version consolidée|consolidated version|konsolidierte fassung)\\s*[:\\-–—]\\s*', ''))"
+_BARE = "nullif(trim(regexp_extract(title, '(?i)^\\s*version\\s+\\p{L}+\\s+applicable\\s+au\\s+\\d{2}/\\d{2}/\\d{4}\\s*:\\s*(.+)$', 1)), '')"
 _NAMES = f"""names AS (SELECT DISTINCT work, {_normal('form')} AS name FROM (SELECT group_key AS work, unnest([title, {_BARE}, title_short, group_identifier, group_key]) AS form FROM d WHERE NOT withdrawn) WHERE form IS NOT NULL),
 ids AS (SELECT * FROM names WHERE name <> '' AND (regexp_matches(name, '[0-9]') OR string_split(name, ' ')[1] IN ({_FORMS})))"""
 
@@ -132,15 +137,13 @@ ids AS (SELECT * FROM names WHERE name <> '' AND (regexp_matches(name, '[0-9]')
 SELECT DISTINCT doc_id, work FROM q JOIN ids ON contains(' ' || q || ' ', ' ' || name || ' ')""")
 def identity_contained(c: Corpus) -> DataFrame:
     """Works whose name stands in a document."""
-    names = retrieval.work_names(c.docs)
-    longest = names.agg(F.max(F.size(F.split("name", " ")))).first()[0] or 1
-    return retrieval.contained_names(c.raw("documents"), names, "doc_id", "text", longest)
+    return retrieval.contained_names(c.raw("documents"), retrieval.work_names(c.docs), "doc_id", "text").select("doc_id", "work").distinct()
 
 
-@query(f"""WITH {DOCS}, {_NAMES} SELECT name, count(DISTINCT work) AS works FROM ids GROUP BY 1 HAVING count(DISTINCT work) > 1""")
+@query(f"""WITH {DOCS}, {_NAMES} SELECT works, count(*) AS names FROM (SELECT name, count(DISTINCT work) AS works FROM ids GROUP BY 1) GROUP BY 1""")
 def identity_collisions(c: Corpus) -> DataFrame:
-    """Names that more than one work bears: a search for them must not choose."""
-    return retrieval.work_names(c.docs).groupBy("name").agg(F.countDistinct("work").alias("works")).where("works > 1")
+    """How many names so many works bear: a search for one that several bear must not choose."""
+    return retrieval.work_names(c.docs).groupBy("name").agg(F.countDistinct("work").alias("works")).groupBy("works").agg(F.count(F.lit(1)).alias("names"))
 
 
 @query(f"""WITH {DOCS}, r AS (SELECT group_key, valid_from, title, CAST(lower(coalesce(title, '')) = 'loi relative' OR lower(coalesce(group_identifier, '')) = 'loi relative' AS INT) AS exact FROM d
@@ -150,8 +153,8 @@ def title_search(c: Corpus) -> DataFrame:
     return iso(retrieval.title_search(c.docs, "loi relative", 30), "valid_from")
 
 
-@query(f"""WITH a AS (SELECT item_id, lower(regexp_extract(passage, '(?i)(?:^|[^\\p{{L}}\\p{{N}}])(?:article|artikel|art\\.?)\\s*(\\d+)', 1)) AS number FROM eval_items),
-k AS (SELECT item_id, unnest([number, number || 'er', number || 're']) AS num_key FROM a WHERE number <> ''),
+@query(f"""WITH a AS (SELECT item_id, replace(regexp_extract({_normal('passage')}, '{tx.ARTICLE}', 1), ' ', '') AS number FROM eval_items),
+k AS (SELECT item_id, unnest(CASE WHEN regexp_matches(number, '^[0-9]+$') THEN [number, number || 'er', number || 're'] WHEN regexp_matches(number, '^[0-9]+(er|re)$') THEN [number, number[:-3]] ELSE [number] END) AS num_key FROM a WHERE number <> ''),
 q AS (SELECT DISTINCT rid, anchor, lower(regexp_replace(num, '[\\s.\\-]+', '', 'g')) AS num_key FROM provisions WHERE rid IS NOT NULL)
 SELECT item_id, num_key, count(*) AS provisions, count(DISTINCT rid) AS versions FROM k JOIN q USING (num_key) GROUP BY 1, 2""")
 def article_intent(c: Corpus) -> DataFrame:
@@ -170,12 +173,8 @@ m AS (SELECT item_id, relevant, round(coalesce(1 / first, 0), 6) AS reciprocal_r
 
 def _metrics(c: Corpus) -> DataFrame:
     """Relevant to an item are the documents with all words of its query."""
-    docs = c.raw("documents").select("doc_id", "text")
-    terms = c.raw("eval_items").select("item_id", F.explode(F.array_distinct(tx.tokens(F.col("query")))).alias("term"))
-    needed = terms.groupBy("item_id").agg(F.count(F.lit(1)).alias("needed"))
-    held = retrieval.postings(docs, ["doc_id"], {"text": 1.0}).join(terms, "term").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    relevant = held.join(needed, "item_id").where("n = needed")
-    return retrieval.metrics(_bm25_documents(c), relevant, "item_id", "doc_id")
+    rows = retrieval.scored(c.raw("documents").select("doc_id", "text"), c.raw("eval_items"), ["doc_id"], {"text": 1.0}, "item_id", "query")
+    return retrieval.metrics(retrieval.best(rows, ["doc_id"], "item_id", False, 10), rows.where("matched = needed"), "item_id", "doc_id")
 
 
 @query(_DOC_BM25 + _RELEVANT + "SELECT * FROM m")
@@ -190,11 +189,13 @@ def benchmark_gates(c: Corpus) -> DataFrame:
     return rows.groupBy("split", "category").agg(F.count(F.lit(1)).alias("items"), mean("reciprocal_rank", "mrr"), mean("recall", "recall"), mean("ndcg", "ndcg"))
 
 
-@query("""WITH s AS (SELECT item_id, split, lower(trim(query)) AS q FROM eval_items WHERE query IS NOT NULL) SELECT q AS query, count(DISTINCT split) AS splits, count(*) AS items FROM s GROUP BY 1 HAVING count(DISTINCT split) > 1""")
+@query("""WITH s AS (SELECT category, split, lower(trim(query)) AS q FROM eval_items WHERE query IS NOT NULL), g AS (SELECT q, min(category) AS category, count(DISTINCT split) AS splits, count(*) AS items FROM s GROUP BY 1)
+SELECT category, count(*) AS queries, count(*) FILTER (splits > 1) AS leaked, CAST(sum(items) AS BIGINT) AS items FROM g GROUP BY 1""")
 def split_leaks(c: Corpus) -> DataFrame:
-    """Queries that are in both splits."""
-    rows = c.raw("eval_items").where("query is not null").groupBy(F.lower(F.trim("query")).alias("query"))
-    return rows.agg(F.countDistinct("split").alias("splits"), F.count(F.lit(1)).alias("items")).where("splits > 1")
+    """Of each category the different queries, and those that are in both splits."""
+    rows = c.raw("eval_items").where("query is not null").groupBy(F.lower(F.trim("query")).alias("q"))
+    groups = rows.agg(F.min("category").alias("category"), F.countDistinct("split").alias("splits"), F.count(F.lit(1)).alias("items"))
+    return groups.groupBy("category").agg(F.count(F.lit(1)).alias("queries"), F.count_if(F.col("splits") > 1).alias("leaked"), F.sum("items").alias("items"))
 
 
 @query("""SELECT event_type, count(*) AS n, percentile_disc(0.5) WITHIN GROUP (ORDER BY value) AS p50, percentile_disc(0.95) WITHIN GROUP (ORDER BY value) AS p95, percentile_disc(0.99) WITHIN GROUP (ORDER BY value) AS p99 FROM events GROUP BY 1""")
@@ -203,11 +204,10 @@ def latency_percentiles(c: Corpus) -> DataFrame:
     return c.raw("events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), p("value", 0.5).alias("p50"), p("value", 0.95).alias("p95"), p("value", 0.99).alias("p99"))
 
 
-_VECTORS = """v AS (SELECT DISTINCT profile, chunk_sha, record, hex(record) AS h FROM embedding_cache WHERE octet_length(record) = 72 AND lower(record_sha) = sha256(record)),
-pr AS (SELECT min(profile) AS p FROM v), one AS (SELECT * FROM v WHERE profile = (SELECT p FROM pr)), q AS (SELECT record, h FROM one ORDER BY chunk_sha LIMIT 1),
-ham AS (SELECT one.*, CAST(bit_count(xor(CAST('0x' || one.h[1:8] AS BIGINT), CAST('0x' || q.h[1:8] AS BIGINT))) + bit_count(xor(CAST('0x' || one.h[9:16] AS BIGINT), CAST('0x' || q.h[9:16] AS BIGINT))) AS INT) AS distance FROM one, q)"""
-_BYTES = "list_transform(range(8, 72), lambda i: CAST('0x' || {h}[2*i+1:2*i+2] AS INT) - CASE WHEN CAST('0x' || {h}[2*i+1:2*i+2] AS INT) > 127 THEN 256 ELSE 0 END)"
-_DOT = f"CAST(list_dot_product(CAST({_BYTES.format(h='x.h')} AS DOUBLE[]), CAST({_BYTES.format(h='q.h')} AS DOUBLE[])) AS INT)"
+_VECTORS = """v AS (SELECT DISTINCT profile, chunk_sha, hex(record) AS h FROM embedding_cache WHERE octet_length(record) = 72 AND lower(record_sha) = sha256(record) AND profile IS NOT NULL AND chunk_sha IS NOT NULL),
+n AS (SELECT profile, chunk_sha, CAST('0x' || h[1:8] AS BIGINT) AS b1, CAST('0x' || h[9:16] AS BIGINT) AS b2, CAST(list_transform(range(8, 72), lambda i: CAST('0x' || h[2*i+1:2*i+2] AS INT) - CASE WHEN CAST('0x' || h[2*i+1:2*i+2] AS INT) > 127 THEN 256 ELSE 0 END) AS DOUBLE[64]) AS u FROM v),
+q AS (SELECT * FROM n WHERE CAST('0x' || chunk_sha[1:15] AS BIGINT) % 20 = 0),
+ham AS (SELECT q.profile, q.chunk_sha AS asked, n.chunk_sha, CAST(bit_count(xor(n.b1, q.b1)) + bit_count(xor(n.b2, q.b2)) AS INT) AS distance, CAST(array_inner_product(n.u, q.u) AS INT) AS dot FROM q JOIN n ON n.profile = q.profile)"""
 
 
 def _own(c: Corpus) -> DataFrame:
@@ -215,21 +215,21 @@ def _own(c: Corpus) -> DataFrame:
     return vectors.well_formed(c.raw("embedding_cache"))
 
 
-@query(f"WITH {_VECTORS} SELECT chunk_sha, distance FROM ham ORDER BY distance, chunk_sha LIMIT 100")
+@query(f"WITH {_VECTORS} SELECT profile, asked, chunk_sha, distance FROM ham QUALIFY row_number() OVER (PARTITION BY profile, asked ORDER BY distance, chunk_sha) <= 100")
 def hamming_topk(c: Corpus) -> DataFrame:
     return vectors.nearest(_own(c), 100).select("profile", "asked", "chunk_sha", "distance")
 
 
-_LADDER = f"""WITH {_VECTORS}, wide AS (SELECT * FROM ham ORDER BY distance, chunk_sha LIMIT 2000), near AS (SELECT * FROM wide ORDER BY distance, chunk_sha LIMIT 500),
-dots AS (SELECT chunk_sha, distance, {_DOT} AS dot FROM near x, q)"""
+_LADDER = f"""WITH {_VECTORS}, near AS (SELECT * FROM ham QUALIFY row_number() OVER (PARTITION BY profile, asked ORDER BY distance, chunk_sha) <= 500),
+dots AS (SELECT profile, asked, chunk_sha, distance, dot, row_number() OVER (PARTITION BY profile, asked ORDER BY dot DESC, chunk_sha) AS rank FROM near QUALIFY rank <= 50)"""
 
 
-@query(_LADDER + " SELECT chunk_sha, distance, dot, round(dot / 16129.0, 6) AS similarity FROM dots ORDER BY dot DESC, chunk_sha LIMIT 50")
+@query(_LADDER + " SELECT profile, asked, chunk_sha, distance, dot, round(dot / 16129.0, 6) AS similarity FROM dots")
 def int8_rerank(c: Corpus) -> DataFrame:
     return vectors.nearest(_own(c), vectors.NARROW, 50).select("profile", "asked", "chunk_sha", "distance", "dot", F.round(F.col("dot") / 16129.0, 6).alias("similarity"))
 
 
-@query(f"""WITH {_VECTORS}, x AS (SELECT chunk_sha, {_DOT.replace('x.h', 'one.h')} AS dot FROM one, q) SELECT chunk_sha, dot FROM x WHERE dot >= 8000""")
+@query(f"""WITH {_VECTORS} SELECT profile, asked, chunk_sha, dot FROM ham WHERE dot >= 8000""")
 def similarity_scan(c: Corpus) -> DataFrame:
     """Every vector within a similarity of each one asked with; a threshold, not a top-k."""
     return vectors.within(_own(c), 8000).select("profile", "asked", "chunk_sha", "dot")
@@ -242,10 +242,9 @@ def quantised_vectors(c: Corpus) -> DataFrame:
     return rows.select("vec_id", "bits", F.array_join(F.transform("bytes", lambda b: b.cast("string")), ",").alias("bytes"))
 
 
-@query(_LADDER + """, sem AS (SELECT chunk_sha, row_number() OVER (ORDER BY dot DESC, chunk_sha) AS rank FROM dots QUALIFY rank <= 50),
-lex AS (SELECT chunk_sha, row_number() OVER (ORDER BY n DESC, chunk_sha) AS rank FROM (SELECT chunk_sha, max(token_count) AS n FROM semantic_chunks WHERE chunk_sha IS NOT NULL AND token_count IS NOT NULL GROUP BY 1) QUALIFY rank <= 50),
-u AS (SELECT chunk_sha, 1.0 / (60 + rank) AS part FROM sem UNION ALL SELECT chunk_sha, 0.65 / (60 + rank) FROM lex)
-SELECT chunk_sha, round(sum(part), 9) AS score, count(*) AS lists FROM u GROUP BY 1""")
+@query(_LADDER + """, lex AS (SELECT chunk_sha, row_number() OVER (ORDER BY n DESC, chunk_sha) AS rank FROM (SELECT chunk_sha, max(token_count) AS n FROM semantic_chunks WHERE chunk_sha IS NOT NULL AND token_count IS NOT NULL GROUP BY 1) QUALIFY rank <= 50),
+u AS (SELECT profile, asked, chunk_sha, 1.0 / (60 + rank) AS part FROM dots UNION ALL SELECT q.profile, q.chunk_sha, lex.chunk_sha, 0.65 / (60 + rank) FROM lex, (SELECT DISTINCT profile, chunk_sha FROM q) q)
+SELECT profile, asked, chunk_sha, round(sum(part), 9) AS score, count(*) AS lists FROM u GROUP BY 1, 2, 3""")
 def rrf_hybrid(c: Corpus) -> DataFrame:
     """A semantic list fused with a list of another kind, here the longest chunks, of less weight."""
     from pyspark.sql import Window
@@ -267,18 +266,21 @@ def _ranked(top: DataFrame, order) -> DataFrame:
     return top.select("chunk_sha", F.row_number().over(Window.orderBy(order, "chunk_sha")).alias("rank"))
 
 
-@query("""WITH e AS (SELECT DISTINCT split_part(rid, ':', 1) AS publisher, cited_slug, split_part(rid, ':', 2) AS work FROM citations WHERE rid IS NOT NULL AND cited_slug IS NOT NULL),
-n AS (SELECT publisher, cited_slug, count(*) AS n FROM e GROUP BY 1, 2), r AS (SELECT publisher, cited_slug, row_number() OVER (PARTITION BY publisher ORDER BY n DESC, cited_slug) AS rank FROM n)
-SELECT cited_slug, round(sum(1.0 / (60 + rank)), 9) AS score, count(*) AS lists FROM r GROUP BY 1 ORDER BY score DESC, cited_slug LIMIT 50""")
+@query(_bm25(_STATES, "state", False, 20) + """, own AS (SELECT state, split_part(min(rid), ':', 1) AS publisher FROM st GROUP BY 1),
+lists AS (SELECT item_id, publisher, state, row_number() OVER (PARTITION BY item_id, publisher ORDER BY score DESC, state) AS rank FROM scored JOIN own USING (state) QUALIFY rank <= 20),
+f AS (SELECT item_id, state, round(sum(1.0 / (60 + rank)), 9) AS score, count(*) AS lists FROM lists GROUP BY 1, 2)
+SELECT item_id, state, score, lists, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, state) AS place FROM f QUALIFY place <= 20""")
 def rrf_publishers(c: Corpus) -> DataFrame:
-    """Lists of several publishers as one: what each cites most, fused by rank."""
+    """The lists of hits of several publishers as one, fused by rank."""
     from pyspark.sql import Window
 
-    parts = F.split("rid", ":")
-    edges = c.raw("citations").where("rid is not null and cited_slug is not null").select(parts[0].alias("publisher"), "cited_slug", parts[1].alias("work")).distinct()
-    counts = edges.groupBy("publisher", "cited_slug").agg(F.count(F.lit(1)).alias("n"))
-    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("publisher").orderBy(F.col("n").desc(), "cited_slug")))
-    return retrieval.fuse([(ranked, 1.0)], ["cited_slug"]).orderBy(F.col("score").desc(), "cited_slug").limit(50)
+    states = _states(c)
+    rows = retrieval.scored(states, c.raw("eval_items"), ["state"], FIELDS, "item_id", "query")
+    own = states.groupBy("state").agg(F.substring_index(F.min("rid"), ":", 1).alias("publisher"))
+    of_publisher = Window.partitionBy("item_id", "publisher").orderBy(F.col("score").desc(), "state")
+    lists = rows.join(own, "state").withColumn("rank", F.row_number().over(of_publisher)).where("rank <= 20")
+    fused = retrieval.fuse([(lists, 1.0)], ["item_id", "state"])
+    return fused.withColumn("place", F.row_number().over(Window.partitionBy("item_id").orderBy(F.col("score").desc(), "state"))).where("place <= 20")
 
 
 @query(f"""SELECT doc_id, {_normal('text')} AS words FROM documents""")

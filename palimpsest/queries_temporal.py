@@ -75,7 +75,7 @@ def effective_on_language(c: Corpus) -> DataFrame:
 
 
 @query(f"""WITH {DOCS}, w AS (SELECT group_key, key, valid_from FROM d WHERE NOT withdrawn AND {_IN})
-SELECT group_key, strftime(max(valid_from), '%Y-%m-%d') AS valid_from, count(DISTINCT key) AS containing FROM w WHERE group_key = (SELECT min(group_key) FROM d) GROUP BY 1""")
+SELECT group_key, strftime(max(valid_from), '%Y-%m-%d') AS valid_from, count(DISTINCT key) AS containing FROM w GROUP BY 1""")
 def as_of_work(c: Corpus) -> DataFrame:
     """The state of every work on one day: its latest start and how many versions contain the day."""
     rows = c.live.where(temporal.contains(DAY))
