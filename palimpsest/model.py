@@ -72,9 +72,22 @@ class FilterSet:
     language: str | None = None
     works: tuple[str, ...] = ()
     as_of: str | None = None
+    hierarchy: str | None = None
+    act_form: str | None = None
+    binding_status: str | None = None
+    #: A member of the pipe-separated ``domains``.
+    domain: str | None = None
+    #: A role of the expression, and an identifier in the metadata of its version; see ``apply_filters``.
+    document_role: str | None = None
+    metadata_identifier: str | None = None
 
     def condition(self) -> Column:
         out = ~F.col("withdrawn")
+        for name in ("hierarchy", "act_form", "binding_status"):
+            if getattr(self, name) is not None:
+                out &= F.col(name) == getattr(self, name)
+        if self.domain is not None:
+            out &= F.contains(F.concat(F.lit("|"), "domains", F.lit("|")), F.lit(f"|{self.domain}|"))
         if self.collection is not None:
             out &= F.col("collection") == self.collection
         kinds = [k.strip() for k in (self.kind or "").split(",") if k.strip()]
@@ -91,8 +104,30 @@ class FilterSet:
         return out
 
 
-def apply_filters(df: DataFrame, filters: FilterSet) -> DataFrame:
-    return df.where(filters.condition())
+def apply_filters(df: DataFrame, filters: FilterSet, roles: DataFrame | None = None, metadata: DataFrame | None = None) -> DataFrame:
+    """The rows of ``df`` that a read may see.
+
+    ``roles`` has rid and role; ``metadata`` group_key, language, valid_from, identifier and
+    citation_identity, of which only rows that are no citation identity count, for the
+    version of that very start.  A filter on what is not there lets nothing through.
+    """
+    rows = df.where(filters.condition())
+    for value, table, of in ((filters.document_role, roles, ["rid"]), (filters.metadata_identifier, metadata, ["group_key", "language", "valid_from"])):
+        if value is None:
+            continue
+        if table is None:
+            return rows.limit(0)
+        held = table.where(F.col("role") == value) if of == ["rid"] else table.where((F.col("identifier") == value) & ~F.coalesce("citation_identity", F.lit(False)))
+        rows = rows.join(held.select(*of).distinct(), of, "left_semi")
+    return rows
+
+
+def overlong(df: DataFrame, bounds: dict[str, int]) -> DataFrame:
+    """``column, bound, rows, longest``: of each column how many values are longer than its bound."""
+    length = lambda c: F.length(F.col(c).cast("string"))
+    totals = df.agg(*[F.struct(F.count_if(length(c) > n).alias("rows"), F.max(length(c)).alias("longest")).alias(c) for c, n in bounds.items()])
+    each = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(n).alias("bound"), F.col(f"{c}.rows").alias("rows"), F.col(f"{c}.longest").alias("longest")) for c, n in bounds.items()])
+    return totals.select(F.explode(each).alias("x")).select("x.*")
 
 
 def day(value: str | Column) -> Column:
