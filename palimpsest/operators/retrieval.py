@@ -171,34 +171,55 @@ def fuse(lists: list[tuple[DataFrame, float]], key: list[str], rank: str = "rank
     return rows.groupBy(*key).agg(F.round(F.sum("part"), 9).alias("score"), F.count(F.lit(1)).alias("lists"))
 
 
-def stage_union(stages: list[DataFrame], key: list[str]) -> DataFrame:
-    """Stages of evidence in order; a key found by several is kept in the first."""
-    rows = reduce(DataFrame.unionByName, [df.select(*key).withColumn("stage", F.lit(i)) for i, df in enumerate(stages)])
-    return rows.groupBy(*key).agg(F.min("stage").alias("stage"))
-
-
 def fair_shares(found: dict[str, int], limit: int) -> dict[str, int]:
-    """Places of a shared limit by publisher: each gets an equal floor, what is left goes on in order."""
-    shares = {p: 0 for p in sorted(found)}
-    left = limit
-    while left and any(shares[p] < found[p] for p in shares):
-        for p in shares:
-            if left and shares[p] < found[p]:
-                shares[p] += 1
-                left -= 1
+    """Places of a shared limit by publisher, in order: each may count on an equal floor, and takes what those after it need not."""
+    floor = max(1, limit // len(found)) if found else 0
+    shares, left = {}, limit
+    for i, publisher in enumerate(sorted(found)):
+        reserved = floor * (len(found) - i - 1)
+        shares[publisher] = min(found[publisher], left, max(floor, left - reserved))
+        left -= shares[publisher]
     return shares
 
 
+def fair_places(hits: DataFrame, query_id: str, publisher: str, limit: int) -> DataFrame:
+    """The hits of each query within the ``fair_shares`` of their publishers; ``rank`` orders the hits of a publisher.
+
+    Publishers are few; of each only as many hits as the limit are ever counted.
+    """
+    own = Window.partitionBy(query_id, publisher).orderBy("rank")
+    rows = hits.withColumn("own_place", F.row_number().over(own)).where(F.col("own_place") <= limit)
+    counts = rows.groupBy(query_id, publisher).agg(F.count(F.lit(1)).cast("int").alias("n")).groupBy(query_id).agg(F.array_sort(F.collect_list(F.struct(F.col(publisher).alias("p"), "n"))).alias("found"))
+    floor = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.size("found")).cast("int"))
+    start = F.struct(F.lit(limit).alias("left"), F.size("found").alias("more"), F.array().cast("array<struct<p:string,share:int>>").alias("shares"))
+
+    def step(state: Column, x: Column) -> Column:
+        share = F.least(x["n"], state["left"], F.greatest(floor, state["left"] - floor * (state["more"] - 1)))
+        taken = F.array(F.struct(x["p"].cast("string").alias("p"), share.alias("share")))
+        return F.struct((state["left"] - share).alias("left"), (state["more"] - 1).alias("more"), F.concat(state["shares"], taken).alias("shares"))
+
+    shares = counts.select(query_id, F.explode(F.aggregate("found", start, step)["shares"]).alias("s")).select(query_id, F.col("s.p").alias(publisher), "s.share")
+    return rows.join(shares, [query_id, publisher]).where(F.col("own_place") <= F.col("share")).drop("share")
+
+
 def metrics(ranked: DataFrame, relevant: DataFrame, query_id: str, key: str, depth: int = 10) -> DataFrame:
-    """Per query: reciprocal rank, recall and nDCG at ``depth``; no relevant key gives no row."""
+    """Per query: reciprocal rank, recall and nDCG at ``depth``, whether the first hit is relevant, and how many of the hits are not.
+
+    A query without a relevant key has no row.
+    """
     gold = relevant.select(query_id, key).distinct()
     total = gold.groupBy(query_id).agg(F.count(F.lit(1)).alias("relevant"))
-    hits = ranked.where(F.col("rank") <= depth).join(gold, [query_id, key])
+    top = ranked.where(F.col("rank") <= depth)
+    hits = top.join(gold, [query_id, key])
     gains = hits.groupBy(query_id).agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("found"), F.sum(F.lit(1.0) / F.log2(F.col("rank") + 1)).alias("dcg"))
+    shown = top.groupBy(query_id).agg(F.count(F.lit(1)).alias("shown"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("relevant").cast("int"), F.lit(depth))), F.lit(0.0), lambda a, i: a + F.lit(1.0) / F.log2(i + 1))
-    rows = total.join(gains, query_id, "left")
+    rows = total.join(gains, query_id, "left").join(shown, query_id, "left")
     zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
-    return rows.select(query_id, "relevant", zero(1.0 / F.col("first")).alias("reciprocal_rank"), zero(F.col("found") / F.col("relevant")).alias("recall"), zero(F.col("dcg") / ideal).alias("ndcg"))
+    return rows.select(
+        query_id, "relevant", zero(1.0 / F.col("first")).alias("reciprocal_rank"), zero(F.col("found") / F.col("relevant")).alias("recall"), zero(F.col("dcg") / ideal).alias("ndcg"),
+        (F.coalesce("first", F.lit(0)) == 1).alias("exact_first"), (F.coalesce("shown", F.lit(0)) - F.coalesce("found", F.lit(0))).alias("irrelevant"),
+    )
 
 
 def nearest_rank(column: str, p: float) -> Column:

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as tx
-from palimpsest.model import Corpus, FilterSet, overlaps
-from palimpsest.operators import citations, history, retrieval, rollups, scd, temporal
+from palimpsest.model import Corpus, FilterSet, apply_filters, overlaps
+from palimpsest.operators import citations, history, retrieval, rollups, scd, search, temporal, upkeep
 
 # The closed vocabulary of statuses.
 STATUSES = (
@@ -21,11 +21,11 @@ STATUSES = (
 
 #: Arguments of each operation: required ones, then optional ones.
 ARGUMENTS = {
-    "search": (("query",), ("publisher", "kind", "language", "as_of", "works", "limit", "fuzzy")),
+    "search": (("query",), ("publisher", "jurisdiction", "kind", "language", "act_form", "hierarchy", "binding_status", "domain", "document_role", "publisher_metadata_identifier", "retrieval_mode", "time_scope", "as_of", "works", "limit", "fuzzy")),
     "as_of": (("work", "date"), ("version_key", "publisher", "language", "mode", "anchors")),
     "timeline": (("work",), ("limit", "offset", "publisher")),
     "in_force_on": (("date",), ("publisher", "kind", "language", "limit", "offset")),
-    "diff": (("work", "from_date", "to_date"), ("language", "anchor")),
+    "diff": (("work", "from_date", "to_date"), ("from_version", "to_version", "language", "anchor")),
     "article_history": (("work", "anchor"), ("language", "from", "to")),
     "provenance": (("lex_id",), ("language",)),
     "coverage": ((), ("publisher",)),
@@ -34,7 +34,7 @@ ARGUMENTS = {
 }
 #: Largest page of each operation.
 LIMITS = {"search": 50, "timeline": 200, "in_force_on": 100, "cited_by": 100, "changes_in_period": 100}
-_DATES, _CHOICES = {"date", "from_date", "to_date", "from", "to", "as_of"}, {"mode": ("full", "outline", "select"), "order": ("by_date", "by_churn")}
+_DATES, _CHOICES = {"date", "from_date", "to_date", "from", "to", "as_of"}, {"mode": ("full", "outline", "select"), "order": ("by_date", "by_churn"), "retrieval_mode": ("keyword", "semantic", "hybrid"), "time_scope": ("all", "as_of", "current")}
 
 
 class ArgumentError(ValueError):
@@ -78,6 +78,8 @@ def validate(operation: str, arguments: dict) -> dict:
             raise ArgumentError(f"{name} must be one of {choices}")
     if out.get("mode") == "select" and not out.get("anchors"):
         raise ArgumentError("mode select needs anchors")
+    if out.get("time_scope") == "as_of" and not out.get("as_of"):
+        raise ArgumentError("time_scope as_of needs as_of")
     if len(out.get("anchors") or ()) > 50:
         raise ArgumentError("at most 50 anchors")
     if "limit" in optional:
@@ -90,11 +92,25 @@ def validate(operation: str, arguments: dict) -> dict:
     return out
 
 
-def nearest_anchors(wanted: str, held: list[str]) -> list[str]:
-    """Anchors to offer for one that is not held: of its kind and digits, at most ten, else the first six."""
-    kind, digits = re.split(r"[_\-]", wanted)[0], re.sub(r"\D", "", wanted)
-    near = [a for a in held if re.split(r"[_\-]", a)[0] == kind and re.sub(r"\D", "", a) == digits]
-    return near[:10] or held[:6]
+def _anchor_kind(anchor: str) -> str:
+    head = re.match("[A-Za-z]*", anchor)[0].lower()
+    return "art" if head.startswith("art") else head
+
+
+def _anchor_digits(anchor: str) -> str:
+    return re.sub("[^0-9]", "", anchor).lstrip("0")
+
+
+def nearest_anchors(wanted: list[str], held: list[str]) -> list[str]:
+    """Anchors to offer for some that are not held: of their kinds and digits, at most ten, else the first six of their kinds.
+
+    All ways to write article are one kind, and leading zeros do not count.  If none of the
+    kinds is held, all anchors are offered from.
+    """
+    kinds, digits = {_anchor_kind(w) for w in wanted} - {""}, {_anchor_digits(w) for w in wanted} - {""}
+    family = [a for a in held if _anchor_kind(a) in kinds] or held
+    near = [a for a in family if _anchor_digits(a) in digits]
+    return near[:10] or family[:6]
 
 
 class Operations:
@@ -107,15 +123,19 @@ class Operations:
         arguments = validate(operation, arguments)
         publisher = arguments.get("publisher")
         if publisher is not None:
-            held = [r[0] for r in self.corpus.docs.select("collection").distinct().limit(1000).collect()]
-            fixed = {h.lower(): h for h in held if h}.get(publisher.lower())
+            names = self.corpus.raw("docs").where("collection <> ''").select("collection").distinct()
+            fixed = names.where(F.lower("collection") == publisher.lower()).orderBy("collection").first()
             if fixed is None:
-                return Envelope("unknown_publisher", notes={"publishers": sorted(h for h in held if h)})
-            arguments["publisher"] = fixed
+                return Envelope("unknown_publisher", names.orderBy("collection"))
+            arguments["publisher"] = fixed["collection"]
         return getattr(self, f"_{operation}")(arguments)
 
     def _filters(self, a: dict) -> FilterSet:
-        return FilterSet(a.get("publisher"), a.get("kind"), a.get("language"), tuple(a.get("works") or ()), a.get("as_of"))
+        as_of = a.get("as_of") if a.get("time_scope") != "all" else None
+        if a.get("time_scope") == "current":
+            as_of = datetime.date.today().isoformat()
+        more = {n: a.get(n) for n in ("hierarchy", "act_form", "binding_status", "domain", "document_role")}
+        return FilterSet(a.get("publisher") or a.get("jurisdiction"), a.get("kind"), a.get("language"), tuple(a.get("works") or ()), as_of, metadata_identifier=a.get("publisher_metadata_identifier"), **more)
 
     def _work(self, argument: str) -> DataFrame:
         parts = argument.split(":")
@@ -143,11 +163,20 @@ class Operations:
         if a.get("mode") == "outline":
             return Envelope("ok", provisions, {"version": state["key"]})
         if a.get("mode") == "select":
-            held = [r[0] for r in provisions.select("anchor").distinct().orderBy("anchor").limit(2000).collect()]
-            missing = [x for x in a["anchors"] if x not in held]
+            wanted = list(a["anchors"])
+            found = {r[0] for r in provisions.where(F.col("anchor").isin(wanted)).select("anchor").distinct().collect()}  # 50 at most
+            missing = [x for x in wanted if x not in found]
             if missing:
-                return Envelope("anchor_not_in_version", notes={"nearest": {m: nearest_anchors(m, held) for m in missing}})
-            provisions = provisions.where(F.col("anchor").isin(list(a["anchors"])))
+                order = provisions.groupBy("anchor").agg(F.min("seq").alias("seq")).orderBy("seq", "anchor")
+                digits = F.ltrim(F.regexp_replace("anchor", "[^0-9]", ""), F.lit("0"))
+                # the anchors that can be offered: those of the digits asked for, and the first of all
+                alike = order.where(digits.isin([_anchor_digits(m) for m in missing])).limit(200).unionByName(order.limit(200)).distinct()
+                held = [r["anchor"] for r in alike.orderBy("seq", "anchor").collect()]
+                offer = {"missing": missing, "nearest": nearest_anchors(missing, held)}
+                if not found:
+                    return Envelope("anchor_not_in_version", notes=offer)
+                return Envelope("ok", provisions.where(F.col("anchor").isin(wanted)).join(self.corpus.texts, "text_sha", "left"), {"version": state["key"]} | offer)
+            provisions = provisions.where(F.col("anchor").isin(wanted))
         return Envelope("ok", provisions.join(self.corpus.texts, "text_sha", "left"), {"version": state["key"]})
 
     def _timeline(self, a: dict) -> Envelope:
@@ -167,11 +196,19 @@ class Operations:
         rows = self._work(a["work"])
         rids = []
         for day in (a["from_date"], a["to_date"]):
-            states = temporal.effective_on(rows, day, a.get("language")).limit(2).collect()
+            states = temporal.effective_on(rows, day, a.get("language"))
+            if version := a.get("from_version" if not rids else "to_version"):
+                states = states.where(F.col("key").endswith(":" + version))
+            states = states.limit(2).collect()
             if len(states) != 1:
                 return Envelope("no_version_for_date" if not states else "ambiguous_version", notes={"date": day})
             rids.append(states[0]["rid"])
         pair = self.corpus.spark.createDataFrame([tuple(rids)], "from_rid string, to_rid string")
+        held = self.corpus.raw("provisions")
+        if "profile" in held.columns:
+            profiles = held.where(F.col("rid").isin(rids)).groupBy("rid").agg(F.min("profile").alias("profile")).collect()  # two rows
+            if len({r["profile"] for r in profiles}) > 1:
+                return Envelope("profiles_differ", notes={"profiles": {r["rid"]: r["profile"] for r in profiles}})
         diff = history.version_diff(pair, self.corpus.provisions().where(F.col("rid").isin(rids)))
         if a.get("anchor"):
             diff = diff.where(F.col("anchor") == a["anchor"])
@@ -192,15 +229,24 @@ class Operations:
         return Envelope("unknown_anchor" if runs.take(1) else "no_provision_history")
 
     def _provenance(self, a: dict) -> Envelope:
+        """The observations of a version, with its events and the stamp of its record."""
         key = a["lex_id"].strip().lower()
         chain = scd.observation_chain(self.corpus.observations).where(F.col("chain") == key)
         if a.get("language"):
             chain = chain.where(F.col("language") == a["language"])
-        return Envelope("ok" if chain.take(1) else "no_result", chain)
+        records = self.corpus.docs.where(F.lower(F.trim("key")) == key)
+        events = scd.lifecycle(self.corpus.raw("docs").join(records.select("rid"), "rid", "left_semi"))
+        values = F.create_map(*[x for n in ("key", "language", "title", "kind", "record_sha") for x in (F.lit(n), F.col(n))])
+        return Envelope("ok" if chain.take(1) else "no_result", chain, {"events": events, "stamp": records.select("rid", upkeep.stamp(values).alias("stamp"))})
 
     def _coverage(self, a: dict) -> Envelope:
-        docs = self.corpus.docs if a.get("publisher") is None else self.corpus.docs.where(F.col("collection") == a["publisher"])
-        return Envelope("ok", rollups.coverage(docs), {c: rollups.coverage_by(docs, c) for c in ("kind", "language")})
+        docs, raw = self.corpus.docs, self.corpus.raw("docs")
+        if a.get("publisher") is not None:
+            docs, raw = (x.where(F.col("collection") == a["publisher"]) for x in (docs, raw))
+        held = docs.where("not withdrawn").groupBy("collection").agg(F.countDistinct("key").alias("held"))
+        expected = raw.groupBy("collection").agg(F.countDistinct("key").alias("expected"))
+        notes = {c: rollups.coverage_by(docs, c) for c in ("kind", "language")} | {"build": rollups.build_status(held, expected), "gaps": upkeep.acquisition(docs, self.corpus.provisions())}
+        return Envelope("ok", rollups.coverage(docs), notes)
 
     def _cited_by(self, a: dict) -> Envelope:
         slug = a["work"].split(":")[-1] if "/" not in a["work"] else a["work"]
@@ -221,40 +267,32 @@ class Operations:
         return Envelope("ok" if page.take(1) else "no_changes_in_period", worded, {"totals": rollups.change_totals(self.corpus.docs, a["from"], a["to"], filters)})
 
     def _search(self, a: dict) -> Envelope:
-        """Identities first, then articles, then ranked provisions; two hits of a work at most.
+        """Hits by stages of evidence (see ``search.staged_search``), two of a work at most unless works were asked for.
 
-        Filters apply before ranking; statistics of terms are the corpus's.  Fewer than five
-        hits let misspellings be tried, with less weight.
+        Filters apply before ranking.  If the words of the query are held by fewer than five
+        provisions, misspellings are tried as well and come after them.  A semantic search
+        needs an encoder, which this corpus has none of.
         """
+        if a.get("retrieval_mode", "keyword") != "keyword":
+            return Envelope("retrieval_mode_unavailable")
         spark, filters, limit = self.corpus.spark, self._filters(a), a["limit"]
-        asked = spark.createDataFrame([(0, a["query"])], "q int, query string")
-        eligible = self.corpus.docs.where(filters.condition())
-        columns = ("work_title", "num", "heading")
-        states = retrieval.lexical_states(self.corpus.docs, self.corpus.provisions(*columns)).join(self.corpus.texts, "text_sha", "left")
-        key, fields = ["rid", "anchor"], {"work_title": 10.0, "num": 4.0, "heading": 6.0, "text": 1.0}
-        held = states.join(eligible.select("rid"), "rid", "left_semi")
-        hits = retrieval.bm25(held, asked, key, fields, "q", "query", True, 6 * limit).withColumn("why", F.lit("keyword"))
-        if a.get("fuzzy", True) and hits.count() < 5:
-            vocabulary = held.select(F.explode_outer(tx.tokens(F.concat_ws(" ", *fields))).alias("term")).where("term is not null").distinct()
-            swaps = retrieval.fuzzy_terms(asked, vocabulary, "q", "query").collect()  # six at most
+        asked = spark.createDataFrame([(a["query"],)], "query string")
+        docs = apply_filters(self.corpus.docs, filters)
+        key, fields = ["group_key", "language", "anchor", "text_sha"], {"work_title": 10.0, "num": 4.0, "heading": 6.0, "text": 1.0}
+        states = retrieval.lexical_states(docs, self.corpus.provisions("work_title", "num", "heading")).join(self.corpus.texts, "text_sha", "left")
+        hits = search.staged_search(docs, self.corpus.provisions("ptype", "num"), states.select(*key, *fields), asked, 6 * limit)
+        notes: dict = {"plan": search.query_plans(asked), "resolutions": search.resolutions(search.query_plans(asked), search.name_records(docs))}
+        if a.get("fuzzy", True) and hits.where("stage < 2").count() < 5:
+            vocabulary = states.select(F.explode_outer(tx.tokens(F.concat_ws(" ", *fields))).alias("term")).where("term is not null").distinct()
+            swaps = retrieval.fuzzy_terms(asked.withColumn("q", F.lit(0)), vocabulary, "q", "query").collect()  # six at most
+            notes["expansions"] = [f"{s['word']} -> {s['term']}" for s in swaps]
             for i, s in enumerate(swaps, 1):
-                other = asked.select(F.lit(i).alias("q"), tx.replace_token(F.col("query"), s["word"], s["term"]).alias("query"))
-                hits = hits.unionByName(retrieval.bm25(held, other, key, fields, "q", "query", True, limit).withColumn("why", F.lit("fuzzy")))
-        score = F.when(F.col("why") == "keyword", 2.0).otherwise(1.0) / F.col("rank")
-        fused = hits.groupBy(*key).agg(F.max(F.struct(score.alias("score"), "why")).alias("b")).select(*key, F.col("b.score").alias("score"), F.col("b.why").alias("why"))
-        rows = fused.join(eligible.select("rid", "group_key", "valid_from", "title"), "rid").withColumn("q", F.lit(0))
-        ranked = rows.orderBy(F.col("score").desc(), F.col("valid_from").desc(), *key).limit(6 * limit)
-        order = ranked.withColumn("rank", F.rank().over(_whole().orderBy(F.col("score").desc(), F.col("valid_from").desc(), *key)))
-        page = retrieval.capped(order, "q", "group_key", 2 if not filters.works else limit, limit)
-        names = retrieval.contained_names(asked, retrieval.work_names(self.corpus.docs), "q", "query")
-        return Envelope("ok" if page.take(1) else "no_result", page, {"resolved": names, "article": asked.select(tx.article_number(tx.normalize(F.col("query"))).alias("number"))})
-
-
-def _whole():
-    """A window over a list that a limit has bounded."""
-    from pyspark.sql import Window
-
-    return Window.partitionBy("q")
+                other = asked.select(F.lit(a["query"]).alias("q"), tx.replace_token(tx.fold(F.col("query")), s["word"], s["term"]).alias("query"))
+                more = retrieval.bm25(states, other, key, fields, "q", "query", True, limit).withColumnRenamed("q", "query")
+                hits = hits.unionByName(more.select("query", *key, F.lit(4 + i).alias("stage"), (F.lit(1000 * i) + F.col("rank")).alias("place")))
+        rows = hits.groupBy("query", *key).agg(F.min(F.struct("stage", "place")).alias("b")).select("query", *key, F.col("b.stage").alias("stage"), F.struct("b.stage", "b.place").alias("rank"))
+        page = search.shaped(rows, "query", "group_key", "anchor", limit, bool(filters.works)).drop("rank")
+        return Envelope("ok" if page.take(1) else "no_result", page, notes)
 
 
 __all__ = ["ARGUMENTS", "ArgumentError", "Envelope", "Operations", "STATUSES", "nearest_anchors", "validate"]

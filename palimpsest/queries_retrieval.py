@@ -167,7 +167,7 @@ def article_intent(c: Corpus) -> DataFrame:
 _RELEVANT = """, rel AS (SELECT item_id, doc_id FROM scored JOIN (SELECT item_id, count(*) AS needed FROM asked GROUP BY 1) USING (item_id) WHERE matched = needed),
 tot AS (SELECT item_id, count(*) AS relevant FROM rel GROUP BY 1),
 g AS (SELECT item_id, min(rank) AS first, count(*) AS found, sum(1 / log2(rank + 1)) AS dcg FROM ranked JOIN rel USING (item_id, doc_id) GROUP BY 1),
-m AS (SELECT item_id, relevant, round(coalesce(1 / first, 0), 6) AS reciprocal_rank, round(coalesce(found / relevant, 0), 6) AS recall, round(coalesce(dcg / list_sum(list_transform(range(1, least(relevant, 10) + 1), lambda i: 1 / log2(i + 1))), 0), 6) AS ndcg FROM tot LEFT JOIN g USING (item_id))
+m AS (SELECT item_id, relevant, round(coalesce(1 / first, 0), 6) AS reciprocal_rank, round(coalesce(found / relevant, 0), 6) AS recall, round(coalesce(dcg / list_sum(list_transform(range(1, least(relevant, 10) + 1), lambda i: 1 / log2(i + 1))), 0), 6) AS ndcg, coalesce(first, 0) = 1 AS exact_first, coalesce(shown, 0) - coalesce(found, 0) AS irrelevant FROM tot LEFT JOIN g USING (item_id) LEFT JOIN (SELECT item_id, count(*) AS shown FROM ranked GROUP BY 1) USING (item_id))
 """
 
 
@@ -182,11 +182,35 @@ def retrieval_metrics(c: Corpus) -> DataFrame:
     return _metrics(c)
 
 
-@query(_DOC_BM25 + _RELEVANT + "SELECT split, category, count(*) AS items, round(avg(reciprocal_rank), 5) AS mrr, round(avg(recall), 5) AS recall, round(avg(ndcg), 5) AS ndcg FROM m JOIN eval_items USING (item_id) GROUP BY 1, 2")
+#: Least means that open a kind of retrieval.
+GATES = {"mrr": 0.5, "recall": 0.6, "ndcg": 0.6, "exact_first": 0.5}
+
+
+@query(_DOC_BM25 + _RELEVANT + """, f AS (SELECT split, category, count(*) AS items, round(avg(reciprocal_rank), 5) AS mrr, round(avg(recall), 5) AS recall, round(avg(ndcg), 5) AS ndcg, round(avg(CASE WHEN exact_first THEN 1 ELSE 0 END), 5) AS exact_first FROM m JOIN eval_items USING (item_id) GROUP BY 1, 2)
+SELECT *, """ + " AND ".join(f"{n} >= {x}" for n, x in GATES.items()) + " AS passed, concat_ws(',', " + ", ".join(f"CASE WHEN {n} < {x} THEN '{n}' END" for n, x in GATES.items()) + ") AS failed FROM f")
 def benchmark_gates(c: Corpus) -> DataFrame:
+    """The measures of each split and category, and which gates they fail."""
     rows = _metrics(c).join(c.raw("eval_items").select("item_id", "split", "category"), "item_id")
     mean = lambda x, n: F.round(F.avg(x), 5).alias(n)
-    return rows.groupBy("split", "category").agg(F.count(F.lit(1)).alias("items"), mean("reciprocal_rank", "mrr"), mean("recall", "recall"), mean("ndcg", "ndcg"))
+    out = rows.groupBy("split", "category").agg(F.count(F.lit(1)).alias("items"), mean("reciprocal_rank", "mrr"), mean("recall", "recall"), mean("ndcg", "ndcg"), mean(F.col("exact_first").cast("int"), "exact_first"))
+    failed = F.concat_ws(",", *[F.when(F.col(n) < x, n) for n, x in GATES.items()])
+    return out.withColumn("failed", failed).withColumn("passed", F.col("failed") == "")
+
+
+@query(_bm25(_STATES, "state", False, 20) + """, own AS (SELECT state, split_part(min(rid), ':', 1) AS publisher FROM st GROUP BY 1),
+o AS (SELECT item_id, publisher, state, row_number() OVER (PARTITION BY item_id, publisher ORDER BY score DESC, state) AS own_place FROM scored JOIN own USING (state) QUALIFY own_place <= 20),
+c AS (SELECT item_id, publisher, count(*) AS n, row_number() OVER (PARTITION BY item_id ORDER BY publisher) AS i, count(*) OVER (PARTITION BY item_id) AS k, greatest(1, 20 // count(*) OVER (PARTITION BY item_id)) AS f FROM o GROUP BY 1, 2),
+c1 AS (SELECT *, least(n, least(20, greatest(f, 20 - f * (k - 1)))) AS s FROM c WHERE i = 1), c2 AS (SELECT c.*, 20 - c1.s AS l, least(c.n, least(20 - c1.s, greatest(c.f, 20 - c1.s - c.f * (c.k - 2)))) AS s FROM c JOIN c1 USING (item_id) WHERE c.i = 2),
+c3 AS (SELECT c.*, least(c.n, least(c2.l - c2.s, greatest(c.f, c2.l - c2.s - c.f * (c.k - 3)))) AS s FROM c JOIN c2 USING (item_id) WHERE c.i = 3),
+sh AS (SELECT item_id, publisher, s FROM c1 UNION ALL SELECT item_id, publisher, s FROM c2 UNION ALL SELECT item_id, publisher, s FROM c3)
+SELECT item_id, publisher, state, own_place FROM o JOIN sh USING (item_id, publisher) WHERE own_place <= s""")
+def publisher_shares(c: Corpus) -> DataFrame:
+    """The hits of each item within its publishers' shares of a common limit (three publishers here)."""
+    states = _states(c)
+    rows = retrieval.scored(states, c.raw("eval_items"), ["state"], FIELDS, "item_id", "query")
+    own = states.groupBy("state").agg(F.substring_index(F.min("rid"), ":", 1).alias("publisher"))
+    ranked = rows.join(own, "state").withColumn("rank", F.struct((-F.col("score")).alias("s"), "state"))
+    return retrieval.fair_places(ranked, "item_id", "publisher", 20).select("item_id", "publisher", "state", "own_place")
 
 
 @query("""WITH s AS (SELECT category, split, lower(trim(query)) AS q FROM eval_items WHERE query IS NOT NULL), g AS (SELECT q, min(category) AS category, count(DISTINCT split) AS splits, count(*) AS items FROM s GROUP BY 1)

@@ -9,7 +9,6 @@ from palimpsest.functions import text as tx
 from palimpsest.model import Corpus, FilterSet, apply_filters, overlong
 from palimpsest.operators import citations as cite
 from palimpsest.operators import history, rollups, search, upkeep
-from palimpsest.plans.operations import Operations
 from palimpsest.queries_history import _CITED, _SEQ, _T0, _T1, _EVENTS, _held_and_seen
 from palimpsest.queries_retrieval import _NAMES, _normal
 from palimpsest.queries_search import _ASKED, _RESOLVED, _SUBJECT, _asked, subjects

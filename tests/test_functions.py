@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as tx
-from palimpsest.operators import retrieval, vectors
+from palimpsest.operators import retrieval, search, vectors
 from palimpsest.plans import operations as ops
 
 
@@ -90,8 +90,11 @@ def test_fusion_caps_and_shares(spark):
     hits = spark.createDataFrame([(0, "w", i) for i in range(1, 5)] + [(0, "v", 5)], "q int, work string, rank int")
     assert [r["rank"] for r in retrieval.capped(hits, "q", "work", 2, 3).orderBy("place").collect()] == [1, 2, 5]
     assert retrieval.fair_shares({"a": 9, "b": 1, "c": 9}, 7) == {"a": 3, "b": 1, "c": 3}
-    staged = retrieval.stage_union([b, a], ["k"])
-    assert sorted(map(tuple, staged.collect())) == [("x", 1), ("y", 0)]
+    assert retrieval.fair_shares({"a": 1, "b": 9}, 10) == {"a": 1, "b": 9} and retrieval.fair_shares({}, 3) == {}
+    shared = spark.createDataFrame([(0, p, i) for p, n in (("a", 9), ("b", 1), ("c", 9)) for i in range(n)], "q int, p string, rank int")
+    assert retrieval.fair_places(shared, "q", "p", 7).groupBy("p").count().orderBy("p").collect() == [("a", 3), ("b", 1), ("c", 3)]
+    staged = search.staged([df.withColumn("query", F.lit("q")) for df in (b, a)], ["k"], 10)
+    assert sorted(map(tuple, staged.select("k", "stage", "place").collect())) == [("x", 1, 2), ("y", 0, 1)]
 
 
 def test_metrics(spark):
@@ -116,7 +119,10 @@ def test_validation():
     for name, arguments in (("timeline", {}), ("timeline", {"work": "w", "x": 1}), ("as_of", {"work": "w", "date": "2020-02-30"}), ("diff", {"work": "w", "from_date": "2021-01-01", "to_date": "2020-01-01"}), ("search", {"query": "q", "limit": 51}), ("as_of", {"work": "w", "date": "2020-01-01", "mode": "select"})):
         with pytest.raises(ops.ArgumentError):
             ops.validate(name, arguments)
-    assert ops.nearest_anchors("art_1er", ["art_1", "anx_1", "art_2"]) == ["art_1"]
+    assert ops.nearest_anchors(["art_1er"], ["art_1", "anx_1", "art_2"]) == ["art_1"]
+    assert ops.nearest_anchors(["article_07"], ["art_7", "art_70", "anx_7"]) == ["art_7"]
+    assert ops.nearest_anchors(["art_9"], [*(f"art_{i}" for i in range(20, 40)), "anx_9"]) == [f"art_{i}" for i in range(20, 26)]
+    assert ops.nearest_anchors(["sched_2"], ["art_2", "anx_1"]) == ["art_2"]
 
 
 def test_operations(spark):
