@@ -12,85 +12,95 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SCHEMA = "doc_key string, seq int, anchor string, ptype string, num string, heading string, path string, text string, profile string"
-_ARTICLE = r"(?im)^[ \t]*(?:#+[ \t]*)?((?:article|artikel|art\.)[ \t]+\d+(?:[ \t]?(?:er|re|bis|ter|quater))?)\b"
-
+from palimpsest.operators.markup import SKIP, Rendered, assemble, collapse, inline, render
+from palimpsest.operators.markup import local as _local
 
-def collapse(text: str) -> str:
-    return " ".join(text.split())
+SCHEMA = "doc_key string, seq int, anchor string, ptype string, num string, heading string, path string, text string, citations array<struct<href:string,text:string>>, md_start int, md_end int, profile string"
+_ARTICLE = r"(?im)^[ \t]*(?:#+[ \t]*)?((?:article|artikel|art\.)[ \t]+\d+(?:[ \t]?(?:er|re|bis|ter|quater))?)\b"
 
 
 def unique_anchors(rows: list[dict]) -> list[dict]:
     """Repeated anchors of a document get ``__2``, ``__3`` and so on."""
     seen: dict[str, int] = {}
+    held = {r["anchor"] for r in rows}
     for r in rows:
         n = seen[r["anchor"]] = seen.get(r["anchor"], 0) + 1
         if n > 1:
-            r["anchor"] = f"{r['anchor']}__{n}"
+            while (name := f"{r['anchor']}__{n}") in held:
+                n += 1
+            held.add(name)
+            r["anchor"] = name
     return rows
 
 
-def _local(tag) -> str:
-    return tag.rsplit("}", 1)[-1] if isinstance(tag, str) else ""
-
-
-def _text(node, skip: tuple[str, ...] = ()) -> str:
-    parts = [node.text or ""]
-    for child in node:
-        if _local(child.tag) not in skip:
-            parts.append(_text(child, skip))
-        if _local(child.tag) in ("p", "P", "ALINEA", "paragraph", "PARAG", "li", "tr"):
-            parts.append("\n")
-        parts.append(child.tail or "")
-    return "".join(parts)
-
-
-def _body(node, skip: tuple[str, ...]) -> str:
-    return "\n\n".join(x for x in (collapse(line) for line in _text(node, skip).split("\n")) if x)
+def _provision(anchor: str, ptype: str, num: str | None, heading: str | None, path, node, skip=()) -> dict:
+    body = render(node, Rendered(), skip)
+    return {"anchor": anchor, "ptype": ptype, "num": num or None, "heading": heading or None, "path": " / ".join(path) or None, "text": body.text, "citations": body.citations, "notes": body.notes}
 
 
 def akn(source: str) -> list[dict]:
-    """Akoma Ntoso: one provision per ``article`` or annex, path from the containers around it."""
+    """Akoma Ntoso: one provision per ``article`` or annex, path from the containers around it.
+
+    A document without either is one provision of its whole body.
+    """
     rows: list[dict] = []
     containers = ("book", "part", "title", "chapter", "section", "subsection")
 
     def walk(node, path: tuple[str, ...]) -> None:
         name = _local(node.tag)
-        own = {_local(c.tag): collapse(_text(c)) for c in node if _local(c.tag) in ("num", "heading")}
+        heads = [c for c in node if _local(c.tag) in ("num", "heading")]
+        own = {_local(c.tag): inline(c, Rendered(), plain=True) for c in heads}
         if name in ("article", "attachment", "annex"):
             number = re.sub(r"(?i)^(article|art\.)\s*", "", own.get("num", ""))
             kind = "article" if name == "article" else "annex"
             anchor = node.get("eId") or node.get("id") or f"{'art' if kind == 'article' else 'anx'}_{re.sub(r'[^0-9a-z]+', '', number.lower()) or len(rows) + 1}"
-            rows.append({"anchor": anchor, "ptype": kind, "num": number or None, "heading": own.get("heading"), "path": " / ".join(path) or None, "text": _body(node, ("num", "heading"))})
+            rows.append(_provision(anchor, kind, number, own.get("heading"), path, node, heads))
             return
         if name in containers:
             path = (*path, collapse(" ".join(x for x in (own.get("num"), own.get("heading")) if x)) or name)
         for child in node:
             walk(child, path)
 
-    walk(ET.fromstring(source), ())
+    root = ET.fromstring(source)
+    walk(root, ())
+    if not rows:
+        body = next((e for e in root.iter() if _local(e.tag) in ("body", "mainBody")), root)
+        whole = _provision("document", "document", None, None, (), body)
+        rows = [whole] if whole["text"] else []
     return unique_anchors(rows)
 
 
+_SAME_TWICE = re.compile(r"""(\s([\w.-]+:[\w.-]+)=("[^"]*"|'[^']*'))\s\2=\3""")
+
+
+def repaired(source: str) -> str:
+    """A document with its one attribute that is given twice alike given once; as it is if there is none or several."""
+    found = _SAME_TWICE.findall(source)
+    return _SAME_TWICE.sub(r"\1", source) if len(found) == 1 else source
+
+
 def formex(source: str) -> list[dict]:
     """Formex: ``ARTICLE`` and annexes in document order; notes, preamble and contents are left out."""
     rows: list[dict] = []
 
     def walk(node, path: tuple[str, ...]) -> None:
         name = _local(node.tag)
-        if name in ("PREAMBLE", "TOC", "NOTE", "CONSID"):
+        if name in SKIP:
             return
         if name in ("ARTICLE", "ANNEX", "CONS.ANNEX"):
-            titles = {_local(c.tag): collapse(_text(c)) for c in node.iter() if _local(c.tag) in ("TI.ART", "STI.ART", "TI")}
-            kind = "article" if name == "ARTICLE" else "annex"
-            label = titles.get("TI.ART") or titles.get("TI") or ""
-            number = re.sub(r"(?i)^(article|annex|annexe|anhang)\s*", "", label)
+            heads = [c for c in node if _local(c.tag) in ("TI.ART", "STI.ART", "TITLE")]
+            titles = {_local(c.tag): inline(c, Rendered(), plain=True) for c in heads}
+            kind, label = ("article", titles.get("TI.ART")) if name == "ARTICLE" else ("annex", titles.get("TITLE"))
+            number = re.sub(r"(?i)^(article|annex|annexe|anhang)\s*", "", label or "")
             ident = (node.get("IDENTIFIER") or number or str(len(rows) + 1)).lstrip("0").lower()
-            rows.append({"anchor": f"{'art' if kind == 'article' else 'anx'}_{re.sub(r'[^0-9a-z]+', '_', ident)}", "ptype": kind, "num": number or None, "heading": titles.get("STI.ART"), "path": " / ".join(path) or None, "text": _body(node, ("TI.ART", "STI.ART", "NOTE", "TITLE"))})
+            anchor = f"{'art' if kind == 'article' else 'anx'}_{re.sub(r'[^0-9a-z]+', '_', ident)}"
+            rows.append(_provision(anchor, kind, label if kind == "article" else None, titles.get("STI.ART") if kind == "article" else label, path, node, heads))
             return
         if name == "DIVISION":
-            title = next((collapse(_text(c)) for c in node if _local(c.tag) == "TITLE"), "")
-            path = (*path, title) if title else path
+            title = next((c for c in node if _local(c.tag) == "TITLE"), None)
+            parts = [inline(t, Rendered(), plain=True) for t in (title if title is not None else ()) if _local(t.tag) in ("TI", "STI")]
+            label = " — ".join(p for p in parts if p) or (inline(title, Rendered(), plain=True) if title is not None else "")
+            path = (*path, label) if label else path
         for child in node:
             walk(child, path)
 
@@ -98,6 +108,33 @@ def formex(source: str) -> list[dict]:
     return unique_anchors(rows)
 
 
+def wrapped(source: str) -> list[dict]:
+    """Pages whose articles and annexes stand in subdivisions of their own, the outermost of which count."""
+    root = ET.fromstring(source)
+    rows: list[dict] = []
+
+    def first(node, kind: str):
+        return next((e for e in node.iter() if kind in (e.get("class") or "").split()), None)
+
+    def walk(node, path: tuple[str, ...]) -> None:
+        ident, kinds = node.get("id") or "", (node.get("class") or "").split()
+        if _local(node.tag) == "div":
+            if "eli-subdivision" in kinds and ident.startswith(("art_", "anx")):
+                heads = [h for h in (first(node, "title-article-norm"), first(node, "stitle-article-norm")) if h is not None]
+                titles = {h.get("class").split()[0]: inline(h, Rendered(), plain=True) for h in heads}
+                rows.append(_provision(ident, "annex" if ident.startswith("anx") else "article", titles.get("title-article-norm"), titles.get("stitle-article-norm"), path, node, heads))
+                return
+            if ident.startswith(("cpt_", "sct_")):
+                titles = [inline(c, Rendered(), plain=True) for c in node if _local(c.tag) == "p" and "title-division" in (c.get("class") or "")]
+                if any(titles):
+                    path = (*path, " — ".join(t for t in titles if t))
+        for child in node:
+            walk(child, path)
+
+    walk(root, ())
+    return unique_anchors(rows)
+
+
 class _Flat(HTMLParser):
     """Blocks of a page in order, as (class of the block, tag, text, id); tolerant of bad markup."""
 
@@ -152,7 +189,7 @@ def page(source: str) -> list[dict]:
             rows.append({"anchor": f"anx_{sum(r['ptype'] == 'annex' for r in rows) + 1}", "ptype": "annex", "num": None, "heading": text, "path": None, "text": ""})
         elif head and ("title-article" in kind or tag[:1] == "h"):
             number = head[1].replace(" ", "")
-            rows.append({"anchor": f"art_{number}", "ptype": "article", "num": number, "heading": head[2] or None, "path": " / ".join(p for p in path if p) or None, "text": ""})
+            rows.append({"anchor": f"art_{number}", "ptype": "article", "num": collapse(text[: head.end(1)]) if "title-article" in kind else number, "heading": head[2] or None, "path": " / ".join(p for p in path if p) or None, "text": ""})
         elif rows and "stitle-article" in kind:
             rows[-1]["heading"] = text
         elif rows and text:
@@ -215,21 +252,29 @@ def whole(source: str) -> list[dict]:
     return [{"anchor": "document", "ptype": "document", "num": None, "heading": None, "path": None, "text": text}] if text else []
 
 
+#: Characters in which the name of the format of an Akoma Ntoso document is looked for.
+SNIFFED = 16_384
+
+
 def extract(source: str | None) -> tuple[str, list[dict]]:
-    """The profile that fits a document, by what it begins with, and its provisions.
+    """The profile that fits a document, and its provisions.
 
-    Markup that does not parse is read as a page; a document without provisions is one
-    provision as a whole.  Null and empty documents have none.
+    Akoma Ntoso is told by its head, the others by their elements.  Markup that does not
+    parse is repaired if one attribute stands in it twice, and else read as a page; an
+    undeclared prefix of links is no error.  A document without provisions is one provision
+    as a whole.  Null and empty documents have none.
     """
     if not source or not source.strip():
         return "none", []
-    head = source[:16_384]
     tries = []
-    if "akomaNtoso" in head:
-        tries.append(("akn", akn))
-    elif re.search(r"<(?:ACT|CONS\.ACT|CONS\.DOC|ARTICLE)\b", head):
+    if "akomantoso" in source[:SNIFFED].lower():
+        tries += [("akn", akn), ("akn-repaired", lambda x: akn(repaired(x)))]
+    elif re.search(r"<(?:ACT|CONS\.ACT|CONS\.DOC|ARTICLE|ANNEX)\b", source):
         tries.append(("formex", formex))
-    if re.search(r"(?i)<(?:html|body|div|p|h[1-6])\b", head):
+    if re.search(r"(?i)<(?:html|body|div|p|h[1-6])\b", source):
+        tries.append(("wrapped", wrapped))
+        if "xlink:" in source and "xmlns:xlink" not in source:
+            tries.append(("wrapped-xlink", lambda x: wrapped(re.sub(r"\bxlink:(?=\w+=)", "", x))))
         tries.append(("page", page))
     tries += [("plain", plain), ("whole", whole)]
     for name, profile in tries:
@@ -242,16 +287,57 @@ def extract(source: str | None) -> tuple[str, list[dict]]:
     return "none", []
 
 
+def better(first: list[dict], second: list[dict]) -> list[dict]:
+    """Of two extractions the second only if it has text in strictly more provisions."""
+    held = [sum(bool((r["text"] or "").strip()) for r in rows) for rows in (first, second)]
+    return second if held[1] > held[0] else first
+
+
+_HEAD = re.compile(r"(?i)^[ \t]*(?:art(?:icle|ikel|\.))\s*(\d+|1er|premier)\b")
+
+
+def _title_words(title: str | None) -> list[str]:
+    return list(dict.fromkeys(squeeze(w)[0] for w in re.findall(r"[^\W\d_]{5,}", title or "")))
+
+
+def _matches_title(window: str, words: list[str]) -> bool:
+    held = [w for w in words if w in window]
+    return len(words) >= 3 and len(held) >= 2 and sum(map(len, held)) >= 15 and max(map(len, held)) >= 8
+
+
+def gazette_by_title(lines: list[str], title: str | None, near: int = 120, window: int = 4) -> list[dict]:
+    """The act of a gazette issue whose heading has the distinctive words of a title.
+
+    A heading may run over a few lines; Article 1 must follow within ``near`` lines.  Of
+    several headings the last that such an article follows counts.  If article numbers
+    repeat, as when an act and its annex both count from one, the act is one provision.
+    """
+    words, folded = _title_words(title), [squeeze(x)[0] for x in lines]
+    starts = [i for i in range(len(lines)) if _matches_title("".join(folded[i : i + window]), words)]
+    for i in reversed(starts):
+        first = next((j for j in range(i, min(len(lines), i + near)) if _HEAD.match(lines[j])), None)
+        if first is None or _HEAD.match(lines[first])[1].lower() not in ("1", "1er", "premier"):
+            continue
+        rows = plain("\n".join(lines[first:]))
+        numbers = [r["num"] for r in rows]
+        if len(numbers) == len(set(numbers)):
+            return rows
+        text = "\n".join(lines[i:]).strip()
+        return [{"anchor": "document", "ptype": "document", "num": None, "heading": None, "path": None, "text": text}]
+    return []
+
+
 def extract_provisions(df: DataFrame, key: str, body: str) -> DataFrame:
-    """Provisions of every document, in one pass by Arrow batches."""
+    """Provisions of every document with their links and places in its Markdown, in one pass by Arrow batches."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in SCHEMA.split(", ")]
+        names = ["doc_key", "seq", "anchor", "ptype", "num", "heading", "path", "text", "citations", "md_start", "md_end", "profile"]
         for batch in batches:
             out = []
             for k, source in zip(batch["k"], batch["b"]):
                 profile, rows = extract(source)
-                out += [(k, i, r["anchor"], r["ptype"], r["num"], r["heading"], r["path"], r["text"], profile) for i, r in enumerate(rows)]
+                assemble(rows)
+                out += [(k, i, r["anchor"], r["ptype"], r["num"], r["heading"], r["path"], r["text"], r.get("citations") or [], r["md_start"], r["md_end"], profile) for i, r in enumerate(rows)]
             yield pd.DataFrame(out, columns=names)
 
     return df.select(F.col(key).cast("string").alias("k"), F.col(body).cast("string").alias("b")).mapInPandas(run, SCHEMA)
@@ -298,6 +384,19 @@ def more_empty_than_before(now: DataFrame, before: DataFrame, signature: list[st
     return rows.where("now > before")
 
 
+def covering_manifestation(files: DataFrame, bodies: DataFrame, by: list[str], whole: str, others: dict[str, int], kind: str = "format") -> DataFrame:
+    """``by, name, kind``: the manifestation that a version is read from.
+
+    ``files`` has the columns ``by``, kind, name, size and part, the body that it covers;
+    ``bodies`` the parts of each version.  The ``whole`` kind counts only if it covers every
+    part; else the others come in their order, the largest first, then by name.
+    """
+    covered = files.where(F.col(kind) == whole).select(*by, "part").distinct()
+    lacking = bodies.select(*by, "part").distinct().join(covered, [*by, "part"], "left_anti").select(*by).distinct()
+    usable = files.where(F.col(kind) == whole).join(lacking, by, "left_anti").unionByName(files.where(F.col(kind) != whole))
+    return preferred_manifestation(usable, by, {whole: 0} | {k: v + 1 for k, v in others.items()}, kind)
+
+
 def preferred_manifestation(rows: DataFrame, by: list[str], priority: dict[str, int], kind: str = "format") -> DataFrame:
     """Of each group the manifestation of the first kind in the order of precedence, then the largest, then by name."""
     rank = F.lit(len(priority))

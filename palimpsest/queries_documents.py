@@ -89,3 +89,59 @@ def stream_event_windows(c: Corpus) -> DataFrame:
 
 def _text(rows: DataFrame) -> DataFrame:
     return rows.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
+
+
+def _escaped(column):
+    x = F.regexp_replace(F.coalesce(column, F.lit("")), "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\uFFFE\\uFFFF]", "")
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        x = F.replace(x, F.lit(a), F.lit(b))
+    return x
+
+
+def _element(name: str, inner, attributes=None):
+    return F.concat(F.lit(f"<{name}"), attributes if attributes is not None else F.lit(""), F.lit(">"), inner, F.lit(f"</{name}>"))
+
+
+def _attribute(name: str, value):
+    return F.concat(F.lit(f' {name}="'), _escaped(value), F.lit('"'))
+
+
+def _given(value, element):
+    return F.when(F.trim(F.coalesce(value, F.lit(""))) != "", element).otherwise("")
+
+
+def rendered(c: Corpus) -> DataFrame:
+    """``rid, body``: every version's provisions as a document of its publisher's format: Akoma Ntoso, Formex or a page."""
+    rows = c.provisions("ptype", "num", "heading").join(c.texts, "text_sha", "left")
+    num, heading, text, anchor = (F.col(n) for n in ("num", "heading", "text", "anchor"))
+    label, article = F.concat(F.lit("Article "), _escaped(num)), F.col("ptype") == "article"
+    akn = lambda tag: _element(tag, F.concat(_given(num, _element("num", label)), _given(heading, _element("heading", _escaped(heading))), _element("p", _escaped(text))), _attribute("eId", anchor))
+    bare = F.regexp_replace(anchor, "^(art|anx)[_-]", "")
+    ident = _attribute("IDENTIFIER", bare)
+    formex = F.when(article, _element("ARTICLE", F.concat(_given(num, _element("TI.ART", label)), _given(heading, _element("STI.ART", _escaped(heading))), _element("ALINEA", _element("P", _escaped(text)))), ident)).otherwise(
+        _element("ANNEX", F.concat(_given(heading, _element("TITLE", _element("TI", _escaped(heading)))), _element("P", _escaped(text))), ident)
+    )
+    kind = lambda k: F.lit(f' class="{k}"')
+    page = _element("div", F.concat(_given(num, _element("p", label, kind("title-article-norm"))), _given(heading, _element("p", _escaped(heading), kind("stitle-article-norm"))), _element("p", _escaped(text))), F.concat(kind("eli-subdivision"), _attribute("id", F.concat(F.when(article, "art_").otherwise("anx_"), bare))))
+    publisher = F.substring_index("rid", ":", 1)
+    part = F.when(publisher == "vm-lex", F.when(article, akn("article")).otherwise(akn("annex"))).when(publisher == "nu-lex", formex).otherwise(page)
+    # the text of one version is one row
+    bodies = rows.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("seq", "anchor", part.alias("part")))).alias("parts")).withColumn("inner", F.array_join(F.transform("parts", lambda p: p["part"]), ""))
+    whole = F.when(publisher == "vm-lex", F.concat(F.lit('<akomaNtoso xmlns="urn:x"><act><body>'), "inner", F.lit("</body></act></akomaNtoso>"))).when(publisher == "nu-lex", F.concat(F.lit("<ACT>"), "inner", F.lit("</ACT>"))).otherwise(F.concat(F.lit("<html><body>"), "inner", F.lit("</body></html>")))
+    return bodies.select("rid", whole.alias("body"))
+
+
+_SQUASH = "trim(regexp_replace(regexp_replace(coalesce({x}, ''), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'), '[\\p{{Z}}\\x09-\\x0D\\x1C-\\x1F\\x{{85}}]+', ' ', 'g'))"
+
+
+@query(f"""WITH pp AS (SELECT DISTINCT rid, seq, anchor, coalesce(lower(text_sha), sha256(text_md)) AS text_sha, ptype, num, heading, split_part(rid, ':', 1) AS pub FROM provisions WHERE rid IS NOT NULL),
+t AS (SELECT DISTINCT sha256(text_md) AS text_sha, text_md AS text FROM provisions WHERE text_md IS NOT NULL),
+r AS (SELECT rid AS doc_key, CAST(row_number() OVER (PARTITION BY rid ORDER BY seq, anchor) - 1 AS INTEGER) AS seq, anchor, ptype, nullif({_SQUASH.format(x='num')}, '') AS num, nullif({_SQUASH.format(x='heading')}, '') AS heading, sha256({_SQUASH.format(x='text')}) AS text_sha, pub, CASE ptype WHEN 'article' THEN 'art_' ELSE 'anx_' END AS prefix, regexp_replace(anchor, '^(art|anx)[_-]', '') AS bare FROM pp LEFT JOIN t USING (text_sha))
+SELECT doc_key, seq, CASE pub WHEN 'vm-lex' THEN anchor WHEN 'nu-lex' THEN prefix || regexp_replace(ltrim(bare, '0'), '[^0-9a-z]+', '_', 'g') ELSE prefix || bare END AS anchor, ptype,
+  CASE WHEN pub = 'vm-lex' OR num IS NULL THEN num WHEN pub = 'nu-lex' AND ptype = 'annex' THEN NULL ELSE 'Article ' || num END AS num, heading, text_sha, CASE pub WHEN 'vm-lex' THEN 'akn' WHEN 'nu-lex' THEN 'formex' ELSE 'wrapped' END AS profile FROM r""")
+def extraction_round_trip(c: Corpus) -> DataFrame:
+    """Every version rendered as a document and taken apart again: its provisions come out."""
+    rows = extraction.extract_provisions(rendered(c), "rid", "body")
+    return rows.select("doc_key", "seq", "anchor", "ptype", "num", "heading", F.sha2("text", 256).alias("text_sha"), "profile")

@@ -244,6 +244,11 @@ def test_long_diffs_go_by_paragraph(monkeypatch):
 AKN = """<akomaNtoso xmlns="u"><act><body><chapter><num>Chapitre 1</num><article eId="art_1"><num>Article 1</num><heading>But</heading><p>Le  texte.</p></article>
 <article eId="art_1"><num>Art. 1</num><p>Bis</p></article></chapter></body></act></akomaNtoso>"""
 FORMEX = "<CONS.ACT><PREAMBLE>x</PREAMBLE><DIVISION><TITLE>Part I</TITLE><ARTICLE IDENTIFIER='001'><TI.ART>Article 1</TI.ART><STI.ART>Scope</STI.ART><P>Text<NOTE>n</NOTE> here</P></ARTICLE></DIVISION><ANNEX><TITLE><TI>ANNEX II</TI></TITLE><P>More</P></ANNEX></CONS.ACT>"
+FORMEX_2 = """<ACT><TOC>x</TOC><ARTICLE IDENTIFIER='002'><TI.ART>Article 2</TI.ART><PARAG><NO.PARAG>1.</NO.PARAG><ALINEA>Rules. It applies to:<LIST><ITEM><NP><NO.P>(a)</NO.P><TXT>controllers;</TXT></NP></ITEM>
+<ITEM><NP><NO.P>(b)</NO.P><TXT>the <QUOT.START CODE="2018"/>Union<QUOT.END CODE="2019"/>.</TXT></NP></ITEM></LIST></ALINEA></PARAG><TBL><ROW><CELL>Step</CELL><CELL>Weight<NOTE>f</NOTE></CELL></ROW><ROW><CELL>1</CELL><CELL>20 %</CELL></ROW></TBL></ARTICLE></ACT>"""
+WRAPPED = """<html><body><div id="cpt_I"><p class="title-division-1">CHAPTER I</p><p class="title-division-2">General</p><div class="eli-subdivision" id="art_1"><p class="title-article-norm">Article 1</p><p class="stitle-article-norm">Scope</p>
+<p>See <b>all</b> of <a href="u">[it]</a>.<a class="modref" href="m">M1</a></p><ol><li>one</li><li><p>two</p></li></ol><div class="eli-subdivision" id="art_9"/></div></div><div class="eli-subdivision" id="anx_1"><table><tr><td>A</td><td>B | C</td></tr><tr><td>x</td></tr></table></div></body></html>"""
+TWICE = '<akomaNtoso xmlns="u" xmlns:s="v"><act><body><article eId="art_1"><num>Art. 1</num><p s:n="5" s:n="5">x</p></article></body></act></akomaNtoso>'
 PAGE = "<html><body><p>before</p><p class='title-division-1'>Title I</p><p class='title-article-norm'>Article 2</p><p class='stitle-article-norm'>Scope</p><p>One &amp; two<script>no</script></p><p>Three</body>"
 
 
@@ -251,15 +256,43 @@ PAGE = "<html><body><p>before</p><p class='title-division-1'>Title I</p><p class
     ("source", "profile", "want"),
     [
         (AKN, "akn", [("art_1", "1", "But", "Chapitre 1", "Le texte."), ("art_1__2", "1", None, "Chapitre 1", "Bis")]),
-        (FORMEX, "formex", [("art_1", "1", "Scope", "Part I", "Text here"), ("anx_ii", "II", None, None, "More")]),
-        (PAGE, "page", [("art_2", "2", "Scope", "Title I", "One & two\n\nThree")]),
+        ("<akomaNtoso xmlns='u'><act><body><p>Only <i>this</i></p></body></act></akomaNtoso>", "akn", [("document", None, None, None, "Only *this*")]),
+        (FORMEX, "formex", [("art_1", "Article 1", "Scope", "Part I", "Text here"), ("anx_ii", None, "ANNEX II", None, "More")]),
+        (FORMEX_2, "formex", [("art_2", "Article 2", None, None, "**1.** Rules. It applies to:\n\n(a) controllers;\n(b) the ‘Union’.\n\n| Step | Weight |\n| --- | --- |\n| 1 | 20 % |")]),
+        (WRAPPED, "wrapped", [("art_1", "Article 1", "Scope", "CHAPTER I — General", "See **all** of [it].\n\n1. one\n2. two"), ("anx_1", None, None, None, "| A | B \\| C |\n| --- | --- |\n| x |  |")]),
+        (TWICE, "akn-repaired", [("art_1", "1", None, None, "x")]),
+        (PAGE, "page", [("art_2", "Article 2", "Scope", "Title I", "One & two\n\nThree")]),
         ("intro\nArticle 1 — But\nA\nArticle 1er\nB", "plain", [("art_1", "1", "But", None, "A"), ("art_1er", "1er", None, None, "B")]),
         ("<p>Just <b>text</b>", "whole", [("document", None, None, None, "Just text")]),
-        ("<akomaNtoso>broken", "whole", [("document", None, None, None, "broken")]),
+        ("<akomaNtoso>broken <b>", "whole", [("document", None, None, None, "broken")]),
         (None, "none", []),
         ("  ", "none", []),
     ],
 )
 def test_extraction(source, profile, want):
     name, rows = extraction.extract(source)
+    markdown = extraction.assemble(rows)
+    assert all(markdown[r["md_start"] : r["md_end"]] == r["text"] for r in rows)
     assert (name, [(r["anchor"], r["num"], r["heading"], r["path"], r["text"]) for r in rows]) == (profile, want)
+
+
+def test_gazette_by_title():
+    lines = ["Sommaire", "Loi concernant la protection des consommateurs", "autres", "Article 3", "x", "Loi du 3 mai 1990 concernant la", "protection des consommateurs", "preamble", "Article 1er", "Un", "Article 2", "Deux"]
+    rows = extraction.gazette_by_title(lines, "Loi concernant la protection des consommateurs")
+    assert [(r["anchor"], r["text"]) for r in rows] == [("art_1er", "Un"), ("art_2", "Deux")]
+    again = extraction.gazette_by_title([*lines, "Article 1er", "Encore"], "Loi concernant la protection des consommateurs")
+    assert [r["anchor"] for r in again] == ["document"]
+    assert extraction.gazette_by_title(lines, "Loi sur les forains") == [] == extraction.gazette_by_title([], None)
+    assert extraction.better(rows, again) is rows and extraction.better(again, rows) is rows
+
+
+def test_covering_manifestation(spark):
+    files = spark.createDataFrame([("v1", "fmx", "a", 5, "p1"), ("v1", "html", "b", 9, "p1"), ("v2", "fmx", "c", 5, "p1"), ("v2", "pdf", "d", 9, "p1"), ("v2", "pdf", "e", 11, "p2")], "v string, format string, name string, size int, part string")
+    bodies = spark.createDataFrame([("v1", "p1"), ("v2", "p1"), ("v2", "p2")], "v string, part string")
+    assert got(extraction.covering_manifestation(files, bodies, ["v"], "fmx", {"html": 0, "pdf": 1}), "v", "name", "format") == [("v1", "a", "fmx"), ("v2", "e", "pdf")]
+
+
+def test_more_empty_than_before(spark):
+    now = spark.createDataFrame([("a",), ("a",), ("b",), ("c",)], "s string")
+    before = spark.createDataFrame([("a",), ("b",)], "s string")
+    assert got(extraction.more_empty_than_before(now, before, ["s"])) == [("a", 2, 1), ("c", 1, 0)]
