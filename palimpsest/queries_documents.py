@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.model import Corpus
 from palimpsest.operators import diff, extraction, history
+from palimpsest.queries_history import _SEQ
 from palimpsest.queries_temporal import DOCS, PROVISIONS
 from palimpsest.sources import files
 from palimpsest.streaming import incremental
@@ -145,3 +146,34 @@ def extraction_round_trip(c: Corpus) -> DataFrame:
     """Every version rendered as a document and taken apart again: its provisions come out."""
     rows = extraction.extract_provisions(rendered(c), "rid", "body")
     return rows.select("doc_key", "seq", "anchor", "ptype", "num", "heading", F.sha2("text", 256).alias("text_sha"), "profile")
+
+
+_PP = "pp AS (SELECT DISTINCT rid, seq, anchor, coalesce(lower(text_sha), sha256(text_md)) AS text_sha, ptype, num, heading, path FROM provisions WHERE rid IS NOT NULL), t AS (SELECT DISTINCT sha256(text_md) AS text_sha, text_md AS text FROM provisions WHERE text_md IS NOT NULL)"
+
+
+@query(f"""WITH {DOCS}, {_PP}, r AS (SELECT d.key AS lex_id, language, strftime(valid_from, '%Y-%m-%d') AS valid_from, rid, seq, anchor, ptype, num, heading, path, text_sha FROM pp JOIN d USING (rid) JOIN t USING (text_sha) WHERE text <> '')
+SELECT lex_id, language, valid_from, CAST(row_number() OVER (PARTITION BY rid ORDER BY seq, anchor) - 1 AS INTEGER) AS seq, anchor, ptype, num, heading, coalesce(path, '') AS path, text_sha, true AS sha_ok FROM r""")
+def derived_round_trip(c: Corpus) -> DataFrame:
+    """Every expression as a derived JSON document and read again: its provisions with text come out."""
+    documents = files.derived_documents(c.docs, c.provisions("ptype", "num", "heading", "path"), c.texts)
+    read = documents.select(F.from_json(F.to_json("document"), files.DERIVED).alias("d")).select("d.*")
+    rows = files.derived_provisions(read)
+    return rows.select("lex_id", "language", F.col("valid_from").cast("string").alias("valid_from"), "seq", "anchor", "ptype", "num", "heading", F.coalesce("path", F.lit("")).alias("path"), "text_sha", "sha_ok")
+
+
+@query(_SEQ + """SELECT group_key AS work, language, anchor, strftime(f, '%Y-%m-%d') AS valid_from, nullif(t, '') AS valid_to, text_sha AS text_sha256, in_version FROM runs""")
+def history_round_trip(c: Corpus) -> DataFrame:
+    """Every wording history as nested JSON and read again."""
+    nested = files.nested_history(history.wording_runs(c.docs, c.provisions("article_valid_from")))
+    read = nested.select("work", F.from_json(F.to_json("anchors_by_language"), files.HISTORY["anchors_by_language"].dataType).alias("anchors_by_language"))
+    return files.history_states(read)
+
+
+@query(f"""WITH {DOCS}, {_PP}, r AS (SELECT d.key AS lex_id, language, valid_from, valid_to, seq, anchor, coalesce(path, '') AS path, concat_ws(' — ', num, heading) AS title, coalesce(text, '') AS text, rid FROM pp JOIN d USING (rid) LEFT JOIN t USING (text_sha)),
+m AS (SELECT *, path <> '' AND path IS DISTINCT FROM lag(path, 1, '') OVER (PARTITION BY rid ORDER BY seq, anchor) AS moved FROM r)
+SELECT lex_id, language, sha256('---' || chr(10) || 'lex_id: ' || lex_id || chr(10) || 'language: ' || language || chr(10) || 'valid_from: ' || coalesce(strftime(valid_from, '%Y-%m-%d'), '') || chr(10) || 'valid_to: ' || coalesce(strftime(valid_to, '%Y-%m-%d'), '') || chr(10) || '---' || chr(10) || chr(10)
+  || string_agg(CASE WHEN moved THEN '## ' || path || chr(10) || chr(10) ELSE '' END || CASE WHEN title <> '' THEN '### ' || title || chr(10) || chr(10) ELSE '' END || text, chr(10) || chr(10) ORDER BY seq, anchor)) AS markdown_sha FROM m GROUP BY rid, lex_id, language, valid_from, valid_to""")
+def derived_markdown(c: Corpus) -> DataFrame:
+    """Every expression as Markdown with its front matter."""
+    documents = files.derived_documents(c.docs, c.provisions("ptype", "num", "heading", "path"), c.texts).select("document.*")
+    return files.derived_markdown(documents).select("lex_id", "language", F.sha2("markdown", 256).alias("markdown_sha"))

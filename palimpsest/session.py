@@ -36,6 +36,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at a path, of whatever file system."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, so that lost executors cost nothing."""
     checkpoint_dir(df.sparkSession)

@@ -177,8 +177,57 @@ def test_derived_json_and_staged_write(spark, tmp_path):
     out = str(tmp_path / "table")
     files.staged_write(spark.range(3), out)
     files.staged_write(spark.range(5), out)
-    assert spark.read.parquet(out).count() == 5
-    assert [p.name for p in tmp_path.iterdir() if "stage" in p.name or "old" in p.name] == []
+    assert files.read_current(spark, out).count() == 5 and files.drop_stale(spark, out) == 1
+    assert files.read_current(spark, out).count() == 5 and files.drop_stale(spark, out) == 0
+    with pytest.raises(Exception):  # noqa: B017 - a table that cannot be written leaves the old one
+        files.staged_write(spark.range(3).select(F.raise_error(F.lit("no")).alias("x")), out)
+    assert files.read_current(spark, out).count() == 5
+
+
+def test_meta_records(spark, tmp_path):
+    from palimpsest.sources import files
+
+    for n, events in (("a", []), ("b", [{"event": "withdrawn", "at": "2020"}]), ("c", [{"event": "withdrawn", "at": "2020"}, {"event": "resighted", "at": "2021"}])):
+        folder = tmp_path / "works" / "w" / "versions" / n
+        folder.mkdir(parents=True)
+        (folder / "meta.json").write_text(json.dumps({"lex_id": n, "work": "w", "events": events, "expressions": [{"language": "fr", "valid_from": "2020-01-01"}, {"language": "de"}]}))
+    rows = files.meta_expressions(files.read_meta(spark, str(tmp_path)))
+    assert sorted((r["lex_id"], r["language"], r["withdrawn"]) for r in rows.collect()) == [(n, x, n == "b") for n in "abc" for x in ("de", "fr")]
+
+
+def test_index_is_opened_only_if_whole(spark, tmp_path):
+    from palimpsest.model import Corpus
+    from palimpsest.sources import files, index
+
+    corpus, path = Corpus(spark, "/root/testdata/sf0.001"), str(tmp_path / "index")
+    index.write_index(corpus, path)
+    tables = index.open_index(spark, path)
+    assert set(tables) == set(index.TABLES) and tables["docs"].count() == corpus.docs.count()
+    manifest = {r["table"]: r["folder"] for r in files.read_current(spark, f"{path}/manifest").collect()}
+    spark.read.parquet(manifest["docs"]).limit(1).write.mode("append").parquet(manifest["docs"])
+    with pytest.raises(ValueError, match="docs is not what was written"):
+        index.open_index(spark, path)
+    index.write_catalog(corpus, str(tmp_path / "catalog"))
+    assert files.read_current(spark, str(tmp_path / "catalog" / "works")).count() > 0
+    index.write_derived(corpus, str(tmp_path / "derived"))
+    back = files.derived_provisions(spark.read.schema(files.DERIVED).json(str(tmp_path / "derived" / "json")))
+    assert back.count() > 0 and back.where("not sha_ok").count() == 0
+    files.export_dataset(corpus.raw("provisions").where("rid is not null"), str(tmp_path / "export"))
+    assert spark.read.json(str(tmp_path / "export")).count() == corpus.raw("provisions").where("rid is not null").count()
+
+
+def test_whole_listings_leave_tombstones(spark, tmp_path):
+    from palimpsest.streaming import incremental
+
+    step = incremental.apply_observations(str(tmp_path / "log"), ["title"], whole=True)
+    schema = "rid string, observed_from timestamp, withdrawn boolean, valid_to date, title string"
+    at = lambda d: __import__("datetime").datetime(2024, 1, d)
+    step(spark.createDataFrame([("a", at(1), False, None, "x"), ("b", at(1), False, None, "y"), (None, at(1), False, None, "z")], schema), 0)
+    for _ in range(2):
+        step(spark.createDataFrame([("a", at(2), False, None, "x"), ("c", at(2), False, None, "w")], schema), 1)
+    step(spark.createDataFrame([("a", at(3), False, None, "x2"), ("b", at(3), False, None, "y"), ("c", at(3), False, None, "w")], schema), 2)
+    log = spark.read.parquet(str(tmp_path / "log"))
+    assert sorted((r["rid"], r["observed_from"].day, r["withdrawn"]) for r in log.collect()) == [("a", 1, False), ("a", 3, False), ("b", 1, False), ("b", 2, True), ("b", 3, False), ("c", 2, False)]
 
 
 def test_stream_equals_batch_and_replay(spark, tmp_path):
