@@ -154,3 +154,46 @@ def quantised(embeddings: DataFrame) -> DataFrame:
     rows = rows.select("vec_id", unit.alias("u"))
     scaled = F.transform("u", lambda v: F.least(F.greatest(F.bround(v * 127), F.lit(-127.0)), F.lit(127.0)).cast("int"))
     return rows.select("vec_id", F.array_join(F.transform("u", lambda v: F.when(v >= 0, "1").otherwise("0")), "").alias("bits"), scaled.alias("bytes"))
+
+
+#: Tokens of a batch that an encoder is given at most, and widths to which texts are filled up.
+BUDGET, WIDTHS = 8_192, (32, 64, 128, 256, 512)
+
+
+def batches_of(counts: np.ndarray, most: int = 64, budget: int = BUDGET) -> list[np.ndarray]:
+    """Places of texts by batches of one width each; a batch has at most ``most`` texts and ``budget`` tokens."""
+    width = np.asarray(WIDTHS)[np.minimum(np.searchsorted(WIDTHS, counts), len(WIDTHS) - 1)]
+    out = []
+    for w in WIDTHS:
+        own = np.flatnonzero(width == w)
+        size = max(1, min(most, budget // w))
+        out += [own[i : i + size] for i in range(0, len(own), size)]
+    return out
+
+
+def encode_missing(chunks: DataFrame, cache: DataFrame, profile: str, encoder) -> DataFrame:
+    """``profile, chunk_sha, record, record_sha``: what the cache lacks of a profile, encoded once each.
+
+    ``chunks`` has chunk_sha, text and token_count; ``encoder`` takes a list of texts and
+    gives an array, a row each.  Vectors are quantised to sign bits and signed bytes.  The
+    rows are to be appended to the cache; chunks without text are left out.
+    """
+    held = cache.where((F.col("profile") == profile) & F.col("record").isNotNull()).select("chunk_sha").distinct()
+    rows = chunks.where("chunk_sha is not null and text is not null").groupBy("chunk_sha").agg(F.min("text").alias("text"), F.coalesce(F.max("token_count"), F.lit(WIDTHS[-1])).alias("n")).join(held, "chunk_sha", "left_anti")
+
+    def encode(batches):
+        import hashlib
+
+        import pandas as pd
+
+        for batch in batches:
+            records = [b""] * len(batch)
+            for at in batches_of(batch["n"].to_numpy()):
+                v = np.asarray(encoder([f"passage: {t}" for t in batch["text"].to_numpy()[at]]), np.float64)
+                v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+                bits, signed = np.packbits(v >= 0, axis=1, bitorder="little"), np.clip(np.rint(v * 127), -127, 127).astype(np.int8)
+                for i, b, s in zip(at, bits, signed):
+                    records[i] = b.tobytes() + s.tobytes()
+            yield pd.DataFrame({"profile": profile, "chunk_sha": batch["chunk_sha"], "record": records, "record_sha": [hashlib.sha256(r).hexdigest() for r in records]})
+
+    return rows.mapInPandas(encode, "profile string, chunk_sha string, record binary, record_sha string")

@@ -277,6 +277,10 @@ class Operations:
             return Envelope("retrieval_mode_unavailable")
         spark, filters, limit = self.corpus.spark, self._filters(a), a["limit"]
         asked = spark.createDataFrame([(a["query"],)], "query string")
+        role = search.query_plans(asked).first()["role"]
+        if filters.document_role is not None and role is not None and filters.document_role != role:
+            # the query asks for documents of one role and the filter for those of another
+            return Envelope("no_result", notes={"role": role})
         docs = apply_filters(self.corpus.docs, filters)
         key, fields = ["group_key", "language", "anchor", "text_sha"], {"work_title": 10.0, "num": 4.0, "heading": 6.0, "text": 1.0}
         states = retrieval.lexical_states(docs, self.corpus.provisions("work_title", "num", "heading")).join(self.corpus.texts, "text_sha", "left")

@@ -44,9 +44,14 @@ def read_lines(path: str, limit: int, offset: int) -> list[dict]:
     return rows
 
 
+def count_lines(path: str) -> int:
+    with open(path, "rb") as f:
+        return sum(1 for _ in f)
+
+
 class PagedReader(DataSourceReader):
-    def __init__(self, fields: list[str], fetch: Callable[[int, int], list[dict]], total: int, size: int):
-        self.fields, self.fetch, self.total, self.size = fields, fetch, total, size
+    def __init__(self, fields: list[str], fetch: Callable[[int, int], list[dict]], total: int, size: int, typed: bool):
+        self.fields, self.fetch, self.total, self.size, self.typed = fields, fetch, total, size, typed
 
     def partitions(self) -> list[InputPartition]:
         return pages(self.total, self.size)
@@ -56,25 +61,34 @@ class PagedReader(DataSourceReader):
         if len(rows) != partition.limit:
             raise ValueError(f"page at {partition.offset} has {len(rows)} rows instead of {partition.limit}")
         for row in rows:
-            yield tuple(None if row.get(f) is None else str(row[f]) for f in self.fields)
+            yield tuple(row.get(f) if self.typed or row.get(f) is None else str(row[f]) for f in self.fields)
 
 
 class PagedSource(DataSource):
-    """``spark.read.format("paged")`` with options ``fields``, ``total``, ``pageSize`` and ``path`` or ``url``."""
+    """``spark.read.format("paged")`` over ``path``, a file of JSON lines, or ``url``.
+
+    Columns are those of ``columns`` (names with types, values as the JSON has them) or of
+    ``fields`` (names alone, all strings).  ``total`` is counted if it is not given: of a
+    file its lines, of a url what ``countUrl`` answers.  ``pageSize`` is 500.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "paged"
 
     def schema(self) -> str:
-        return ", ".join(f"`{f}` string" for f in self.options["fields"].split(","))
+        typed = self.options.get("columns")
+        return typed or ", ".join(f"`{f}` string" for f in self.options["fields"].split(","))
 
     def reader(self, schema) -> DataSourceReader:
         o = self.options
+        total = o.get("total")
         if "path" in o:
             path = o["path"]
             fetch = lambda limit, offset: read_lines(path, limit, offset)
+            total = count_lines(path) if total is None else int(total)
         else:
             url = o["url"]
             fetch = lambda limit, offset: fetch_json(url, limit, offset)
-        return PagedReader(o["fields"].split(","), fetch, int(o["total"]), int(o.get("pageSize", o.get("pagesize", "500"))))
+            total = int(fetch_json(o.get("countUrl") or o["counturl"], 0, 0)) if total is None else int(total)
+        return PagedReader(schema.names, fetch, total, int(o.get("pageSize", o.get("pagesize", "500"))), "columns" in o)

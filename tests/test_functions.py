@@ -267,3 +267,53 @@ def test_whole_library_without_llm():
     for path in root.rglob("*.py"):
         if "llm" not in path.parts:
             assert "palimpsest.llm" not in path.read_text(), path
+
+
+def test_recorded_adapter(spark, tmp_path):
+    from palimpsest.sources import adapter
+
+    (tmp_path / "w1").mkdir()
+    (tmp_path / "works.json").write_text('["w1", "w2"]')
+    (tmp_path / "w1" / "versions.json").write_text(json.dumps([{"version": "v1", "valid_from": "2020-01-01", "language": "fr", "title": "t", "body": "w1/a.xml"}, {"version": "v2", "valid_from": "2021-01-01", "body": "w1/none.xml"}, {"version": "v3", "body": "w1/empty.xml"}, {"version": "v4"}]))
+    (tmp_path / "w1" / "a.xml").write_bytes(b"<a/>")
+    (tmp_path / "w1" / "empty.xml").write_bytes(b"")
+    source = adapter.Recorded(str(tmp_path))
+    rows = adapter.acquired(adapter.enumerate_versions(spark, source, 2), source).orderBy("version").collect()
+    assert [(r["version"], r["outcome"]) for r in rows] == [("v1", "ok"), ("v2", "failed: FileNotFoundError"), ("v3", "empty"), ("v4", "no body")]
+    assert bytes(rows[0]["content"]) == b"<a/>" and rows[0]["valid_from"].isoformat() == "2020-01-01" and source.alternatives("w1", "v1") == []
+    bindings = spark.createDataFrame([("w", "c1", "2020-01-01", "fr", "t", "LOI"), ("w", "c1", "2020-01-01", "de", "u", "LOI"), ("w", "c1", "2020-01-01", "en", "x", "ACT"), ("w", "c2", "2021-05-01", "fr", "t2", None), ("w", "c3", None, "fr", "t", None)], "work string, consolidation string, date string, language string, title string, kind string")
+    out = adapter.consolidations(bindings.withColumn("date", F.col("date").cast("date"))).orderBy("consolidation").collect()
+    assert [(r["consolidation"], str(r["valid_to"]), r["kind"], len(r["titles"])) for r in out] == [("c1", "2021-04-30", "LOI", 3), ("c2", "None", None, 1)]
+
+
+def test_paged_source_counts_and_types(spark, tmp_path):
+    from palimpsest.sources import paged
+
+    path = tmp_path / "rows.jsonl"
+    path.write_text("".join(json.dumps({"a": i, "b": f"x{i}"}) + "\n" for i in range(7)))
+    spark.dataSource.register(paged.PagedSource)
+    rows = spark.read.format("paged").option("columns", "a long, b string").option("pageSize", "3").load(str(path))
+    assert rows.schema["a"].dataType.simpleString() == "bigint" and rows.rdd.getNumPartitions() == 3 and rows.agg(F.sum("a")).first()[0] == 21
+
+
+def test_encoding_of_what_a_cache_lacks(spark):
+    import numpy as np
+
+    def encoder(texts):
+        return [[len(t) - 12, 1.0, -2.0, 0.5, t.count("a"), -1.0, 3.0, 0.0] for t in texts]
+
+    chunks = spark.createDataFrame([("s1", "aa", 4), ("s1", "aa", 4), ("s2", "b", 600), ("s3", "c", None), (None, "d", 1), ("s4", None, 1)], "chunk_sha string, text string, token_count int")
+    cache = spark.createDataFrame([("p", "s2", bytearray(b"x")), ("q", "s1", bytearray(b"x")), ("p", "s3", None)], "profile string, chunk_sha string, record binary")
+    rows = vectors.encode_missing(chunks, cache, "p", encoder).orderBy("chunk_sha").collect()
+    assert [r["chunk_sha"] for r in rows] == ["s1", "s3"] and all(len(r["record"]) == 9 for r in rows)
+    assert [len(b) for b in vectors.batches_of(np.array([3] * 70 + [500] * 20))] == [64, 6, 16, 4]
+
+
+def test_search_refuses_another_role(spark):
+    from palimpsest.model import Corpus
+
+    run = ops.Operations(Corpus(spark, "/root/testdata/sf0.001"))
+    assert run.call("search", query="the delegated act on fees", document_role="implementing").status == "no_result"
+    assert run.call("search", query="fees", retrieval_mode="hybrid").status == "retrieval_mode_unavailable"
+    with pytest.raises(ops.ArgumentError):
+        run.call("search", query="fees", time_scope="as_of")
