@@ -45,32 +45,59 @@ def postings(states: DataFrame, key: list[str], fields: dict[str, float]) -> Dat
     return terms.groupBy(*key, "length", F.col("t").alias("term")).agg(F.sum("w").alias("tf"))
 
 
-def scored(states: DataFrame, queries: DataFrame, key: list[str], fields: dict[str, float], query_id: str, query: str) -> DataFrame:
-    """``query_id, key, score, matched, needed``: BM25 of every state that holds a term of a query.
+def _statistics(states: DataFrame, queries: DataFrame, key: list[str], fields: dict[str, float], query_id: str, query: str) -> tuple[DataFrame, DataFrame]:
+    """Postings of the terms that are asked for, and ``query_id, term, needed, df, idf, mean``.
 
-    Statistics are of all states, whatever the filters were.  The query side is joined by
-    term: only postings of terms that are asked for are shuffled at all.  ``matched`` counts
-    the terms that a state holds, of ``needed`` ones.
+    Statistics are of all states, whatever the filters were.
     """
     words = [F.regexp_count(tx.fold(F.coalesce(F.col(f), F.lit(""))), F.lit(r"[\p{L}\p{N}]+")) for f in fields]
     totals = states.select(reduce(lambda a, b: a + b, words).alias("n")).agg(F.count(F.lit(1)).alias("states"), F.avg("n").alias("mean"))
     asked = queries.select(query_id, F.array_distinct(tx.tokens(F.col(query))).alias("terms")).select(query_id, F.explode("terms").alias("term"), F.size("terms").cast("long").alias("needed"))
     hits = postings(states, key, fields).join(asked.select("term").distinct(), "term", "left_semi")
     held = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.greatest(F.ln((F.col("states") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     # one row: its broadcast is bounded
-    idf = held.join(F.broadcast(totals)).select("term", "mean", F.greatest(F.ln((F.col("states") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6)).alias("idf"))
+    return hits, asked.join(held.join(F.broadcast(totals)).select("term", "df", "mean", idf.alias("idf")), "term")
+
+
+def _parts(hits: DataFrame, terms: DataFrame, on: list[str], *columns: str) -> DataFrame:
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    rows = hits.join(idf, "term").select(*key, "term", part.alias("part")).join(asked, "term")
-    return rows.groupBy(query_id, "needed", *key).agg(F.round(F.sum("part"), 6).alias("score"), F.count(F.lit(1)).alias("matched"))
+    return hits.join(terms, on).select(*columns, part.alias("part"), F.lit(1).cast("long").alias("n"))
+
+
+def scored(states: DataFrame, queries: DataFrame, key: list[str], fields: dict[str, float], query_id: str, query: str) -> DataFrame:
+    """``query_id, key, score, matched, needed``: BM25 of every state that holds a term of a query.
+
+    ``matched`` counts the terms that a state holds, of ``needed`` ones.  The result has a
+    row for every query and state with a common word.
+    """
+    hits, terms = _statistics(states, queries, key, fields, query_id, query)
+    rows = _parts(hits, terms, ["term"], query_id, "needed", *key)
+    return rows.groupBy(query_id, "needed", *key).agg(F.round(F.sum("part"), 6).alias("score"), F.sum("n").alias("matched"))
 
 
-def bm25(states: DataFrame, queries: DataFrame, key: list[str], fields: dict[str, float], query_id: str, query: str, every_term: bool, limit: int) -> DataFrame:
-    """``query_id, key, score, rank``: the best states for each query.
+def bm25(states: DataFrame, queries: DataFrame, key: list[str], fields: dict[str, float], query_id: str, query: str, every_term: bool, limit: int | None) -> DataFrame:
+    """``query_id, key, score, rank``: the best states for each query; equal scores are in order of the key.
 
-    ``every_term`` asks for all terms of the query.  Ranks are cut within each query before
-    ranking is final (window group limit); equal scores are in order of the key.
+    If a state must hold ``every_term``, only states that hold a query's rarest one are
+    looked at, and only these are scored by its other terms, so that no query is paired with
+    all states that hold a common word; without a ``limit`` all that hold every term come
+    out.  Else every state with a term of a query is scored by it.
     """
-    return best(scored(states, queries, key, fields, query_id, query), key, query_id, every_term, limit)
+    if not every_term:
+        if limit is None:
+            raise ValueError("without a limit every term must be asked for")
+        return best(scored(states, queries, key, fields, query_id, query), key, query_id, False, limit)
+    hits, terms = _statistics(states, queries, key, fields, query_id, query)
+    by_rarity = Window.partitionBy(query_id).orderBy("df", "term")
+    terms = terms.withColumn("lead", F.row_number().over(by_rarity) == 1)
+    first = _parts(hits, terms.where("lead"), ["term"], query_id, "needed", *key)
+    others = first.select(query_id, "needed", *key).join(terms.where("not lead").select(query_id, "term", "idf", "mean"), query_id)
+    rows = first.unionByName(_parts(hits, others, [*key, "term"], query_id, "needed", *key))
+    total = rows.groupBy(query_id, "needed", *key).agg(F.round(F.sum("part"), 6).alias("score"), F.sum("n").alias("matched"))
+    if limit is None:
+        return total.where("matched = needed").drop("matched", "needed")
+    return best(total, key, query_id, True, limit)
 
 
 def best(rows: DataFrame, key: list[str], query_id: str, every_term: bool, limit: int) -> DataFrame:
