@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.model import FilterSet, apply_filters
-from palimpsest.operators.temporal import as_of_join
+from palimpsest.model import FilterSet, apply_filters, contains
 
 
 #: Provisions whose hashes are put in order in one go.
@@ -52,13 +51,15 @@ def wording_comparison(changes: DataFrame, docs: DataFrame, provisions: DataFram
     the last change; of siblings of one day the smallest rid.  Provisions are reduced to one
     digest per expression before any join with the report.
     """
-    ends = changes.select("group_key", F.explode(F.array(F.struct(F.lit("a").alias("side"), F.coalesce("baseline", "first_change").alias("on_date")), F.struct(F.lit("b").alias("side"), F.col("last_change").alias("on_date")))).alias("e"))
-    ends = ends.select("group_key", "e.side", "e.on_date")
-    states = as_of_join(ends, docs).where("valid_from is not null")
-    rids = docs.where("not withdrawn").groupBy("group_key", "valid_from").agg(F.min("rid").alias("rid"))
-    found = states.join(rids, ["group_key", "valid_from"]).select("group_key", "on_date", "rid")
-    digests = wording_digests(found.select("rid").distinct(), provisions)
-    worded = ends.join(found, ["group_key", "on_date"]).join(digests, "rid").groupBy("group_key").agg(
+    spans = changes.select("group_key", F.coalesce("baseline", "first_change").alias("on_a"), F.col("last_change").alias("on_b"))
+    live = docs.where("not withdrawn").select("group_key", "valid_from", "valid_to", "rid").join(spans, "group_key")
+    held = lambda on: F.bool_or(contains(F.col(on)))
+    days = live.groupBy("group_key", "valid_from").agg(F.min("rid").alias("rid"), held("on_a").alias("a"), held("on_b").alias("b"))
+    latest = lambda side: F.max(F.when(F.col(side), F.struct("valid_from", "rid")))["rid"]
+    states = days.groupBy("group_key").agg(latest("a").alias("a"), latest("b").alias("b"))
+    found = states.select("group_key", F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("a").alias("rid")), F.struct(F.lit("b").alias("side"), F.col("b").alias("rid")))).alias("e")).select("group_key", "e.side", "e.rid")
+    digests = wording_digests(found.where("rid is not null").select("rid").distinct(), provisions)
+    worded = found.join(digests, "rid").groupBy("group_key").agg(
         F.max(F.when(F.col("side") == "a", F.col("wording"))).alias("wa"), F.max(F.when(F.col("side") == "b", F.col("wording"))).alias("wb")
     )
     joined = changes.join(worded, "group_key", "left")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import text as tx
 from palimpsest.model import Corpus, FilterSet, apply_filters, overlaps
 from palimpsest.operators import citations, history, retrieval, rollups, scd, search, temporal, upkeep
+from palimpsest.plans.rules import within_budget
 
 # The closed vocabulary of statuses.
 STATUSES = (
@@ -34,6 +35,8 @@ ARGUMENTS = {
 }
 #: Largest page of each operation.
 LIMITS = {"search": 50, "timeline": 200, "in_force_on": 100, "cited_by": 100, "changes_in_period": 100}
+#: Characters of text in one answer; provisions that do not fit are told without their text.
+TEXT_BUDGET = 250_000
 _DATES, _CHOICES = {"date", "from_date", "to_date", "from", "to", "as_of"}, {"mode": ("full", "outline", "select"), "order": ("by_date", "by_churn"), "retrieval_mode": ("keyword", "semantic", "hybrid"), "time_scope": ("all", "as_of", "current")}
 
 
@@ -177,7 +180,10 @@ class Operations:
                     return Envelope("anchor_not_in_version", notes=offer)
                 return Envelope("ok", provisions.where(F.col("anchor").isin(wanted)).join(self.corpus.texts, "text_sha", "left"), {"version": state["key"]} | offer)
             provisions = provisions.where(F.col("anchor").isin(wanted))
-        return Envelope("ok", provisions.join(self.corpus.texts, "text_sha", "left"), {"version": state["key"]})
+        texts = provisions.join(self.corpus.texts, "text_sha", "left")
+        fits = within_budget(texts.withColumn("size", F.length("text")), "rid", ["seq", "anchor"], "size", TEXT_BUDGET)
+        rows = texts.join(fits, ["rid", "seq", "anchor"]).withColumn("text", F.when(F.col("fits"), F.col("text")))
+        return Envelope("ok", rows, {"version": state["key"], "withheld_for_size": fits.where("not fits").count()})
 
     def _timeline(self, a: dict) -> Envelope:
         rows = temporal.timeline(self._work(a["work"]))

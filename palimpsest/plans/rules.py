@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import hashlib
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 
 def greedy_budget(sizes: list[int], budget: int) -> list[bool]:
     """Which items of a page fit: in order, skipping what is too large, not stopping at it."""
@@ -15,6 +19,21 @@ def greedy_budget(sizes: list[int], budget: int) -> list[bool]:
     return out
 
 
+def within_budget(rows: DataFrame, of: str, order: list[str], size: str, budget: int) -> DataFrame:
+    """``of, order, fits``: which rows of each ``of`` fit a budget, by ``greedy_budget`` in their order.
+
+    Only places and sizes of one ``of`` (a version) meet in a task.
+    """
+    small = rows.select(of, *order, F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("__size"))
+    schema = T.StructType([*small.select(of, *order).schema.fields, T.StructField("fits", T.BooleanType())])
+
+    def mark(part):
+        part = part.sort_values(order, kind="stable")
+        return part.assign(fits=greedy_budget(part["__size"].tolist(), budget)).drop(columns="__size")
+
+    return small.groupBy(of).applyInPandas(mark, schema)
+
+
 # Least share of each measure that opens hybrid retrieval.
 GATES = {"exact": 1.0, "no_hit": 1.0, "resolution": 1.0, "role": 1.0}
 

@@ -11,6 +11,7 @@ from palimpsest.functions import text as tx
 from palimpsest.model import Corpus
 from palimpsest.operators import citations as cite
 from palimpsest.plans.operations import Envelope, Operations
+from palimpsest.plans.rules import within_budget
 from palimpsest.queries_history import _CITED, _OBS, _SEQ
 from palimpsest.queries_temporal import DAY, DOCS, FIRST, LAST, PROVISIONS, iso
 
@@ -122,6 +123,17 @@ def op_search(c: Corpus) -> DataFrame:
     return _answer(Operations(c).call("search", query=f"Article 2 {title}", fuzzy=False), "group_key", "language", "anchor", "text_sha", "stage", "place")
 
 
+@query(f"""WITH RECURSIVE {PROVISIONS}, t AS (SELECT DISTINCT sha256(text_md) AS text_sha, length(text_md) AS size FROM provisions WHERE text_md IS NOT NULL),
+o AS (SELECT rid, seq, anchor, coalesce(size, 0) AS size, row_number() OVER (PARTITION BY rid ORDER BY seq, anchor) AS i FROM p LEFT JOIN t USING (text_sha)),
+w(rid, i, seq, anchor, l, fits) AS (SELECT rid, i, seq, anchor, CASE WHEN size <= 600 THEN 600 - size ELSE 600 END, size <= 600 FROM o WHERE i = 1
+  UNION ALL SELECT o.rid, o.i, o.seq, o.anchor, CASE WHEN size <= l THEN l - size ELSE l END, size <= l FROM w JOIN o ON o.rid = w.rid AND o.i = w.i + 1)
+SELECT rid, seq, anchor, fits FROM w""")
+def text_budgets(c: Corpus) -> DataFrame:
+    """Which provisions of each version fit an answer of 600 characters, in order and without stopping at a long one."""
+    rows = c.provisions().join(c.texts.select("text_sha", F.length("text").alias("size")), "text_sha", "left")
+    return within_budget(rows, "rid", ["seq", "anchor"], "size", 600)
+
+
 #: Inputs of the text functions and what is expected of them.
 CASES = [
     ("name_forms", "Version consolidée applicable au 31/10/2002 : Loi du 5 avril 1993 relative au secteur financier", ["Version consolidée applicable au 31/10/2002 : Loi du 5 avril 1993 relative au secteur financier", "Loi du 5 avril 1993 relative au secteur financier"]),

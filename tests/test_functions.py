@@ -269,6 +269,21 @@ def test_whole_library_without_llm():
             assert "palimpsest.llm" not in path.read_text(), path
 
 
+def test_library_works_where_llm_is_deleted(tmp_path):
+    import pathlib
+    import shutil
+    import subprocess
+    import sys
+
+    root = pathlib.Path(__file__).parent.parent
+    shutil.copytree(root / "palimpsest", tmp_path / "palimpsest", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); print(len(q), 'p1_found' in q, 'p3_found' in q, set(e.oracle_sql()) <= set(q))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True)
+    n, core, llm, sql = out.stdout.split()
+    assert int(n) > 100 and (core, llm, sql) == ("True", "False", "True")
+
+
 def test_recorded_adapter(spark, tmp_path):
     from palimpsest.sources import adapter
 
