@@ -73,11 +73,11 @@ def scope(works: DataFrame, edges: DataFrame, seeds: list[str], prefixes: list[s
     return found
 
 
-def added_expressions(before: DataFrame, after: DataFrame) -> DataFrame:
-    """``key, language``: languages that a version held before has got since."""
-    held = before.select("key", "language").distinct()
-    rows = after.where("not withdrawn").select("key", "language").distinct()
-    return rows.join(held.select("key").distinct(), "key", "left_semi").join(held, ["key", "language"], "left_anti")
+def added_expressions(before: DataFrame, after: DataFrame, of: str = "key") -> DataFrame:
+    """``of, language``: languages that a version (or a work) held before has got since."""
+    held = before.select(of, "language").distinct()
+    rows = after.where("not withdrawn").select(of, "language").distinct()
+    return rows.join(held.select(of).distinct(), of, "left_semi").join(held, [of, "language"], "left_anti")
 
 
 def acquisition(docs: DataFrame, provisions: DataFrame) -> DataFrame:

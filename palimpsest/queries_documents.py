@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from palimpsest.queries_temporal import DOCS, PROVISIONS
 from palimpsest.sources import files
 from palimpsest.streaming import incremental
 
+_SHA_EMPTY, _SHA_DOT = (sha256(x).hexdigest() for x in (b"", b"."))
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -177,3 +180,15 @@ def derived_markdown(c: Corpus) -> DataFrame:
     """Every expression as Markdown with its front matter."""
     documents = files.derived_documents(c.docs, c.provisions("ptype", "num", "heading", "path"), c.texts).select("document.*")
     return files.derived_markdown(documents).select("lex_id", "language", F.sha2("markdown", 256).alias("markdown_sha"))
+
+
+@query(_SEQ + """, x AS (SELECT s.group_key, s.language, ordinal, p.ptype, p.empty FROM seq s JOIN (SELECT DISTINCT rid, seq, anchor, ptype, coalesce(lower(text_sha), sha256(text_md)) IN (sha256(''), sha256('.')) OR length(text_md) < 80 AS empty FROM provisions WHERE rid IS NOT NULL) p USING (rid)),
+c AS (SELECT language, ptype, count(*) FILTER (ordinal > 1 AND empty) AS now, count(*) FILTER (ordinal = 1 AND empty) AS before FROM x GROUP BY 1, 2)
+SELECT * FROM c WHERE now > before""")
+def emptier_provisions(c: Corpus) -> DataFrame:
+    """Kinds of provisions of which later versions have more that are next to empty than the first ones had."""
+    empty = F.coalesce(F.lower("text_sha"), F.sha2("text_md", 256)).isin(_SHA_EMPTY, _SHA_DOT) | F.coalesce(F.length("text_md") < 80, F.lit(False))
+    own = c.raw("provisions").where("rid is not null").select("rid", "seq", "anchor", "ptype", empty.alias("empty")).distinct().where("empty")
+    order = history.version_sequence(c.docs, c.provisions()).select("rid", "language", "ordinal")
+    rows = own.join(order, "rid")
+    return extraction.more_empty_than_before(rows.where("ordinal > 1"), rows.where("ordinal = 1"), ["language", "ptype"])

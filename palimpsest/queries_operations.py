@@ -175,6 +175,13 @@ CASES = [
     ("iso_date", "2021-02-29", None),
     ("version_coordinate", "p:w:2020-01-01--ab", "2020-01-01--ab"),
     ("facet_label", "rural_leases", "Rural Leases"),
+    ("canonical_work", "eu-lex:32016R0679", "32016r0679"),
+    ("canonical_work", "vm-lex:loi-1990-01-01-a1:1990-01-01--ab", "loi-1990-01-01-a1"),
+    ("canonical_work", "loi-1990-01-01-a1", "loi-1990-01-01-a1"),
+    ("slug", "Été 2020 : l'essai", "ete-2020-l-essai"),
+    ("article_key", " 1 er.-A", "1era"),
+    ("collapse", "  a \t b\r\n c ", "a b c"),
+    ("fold", "DÉJÀ Œuvre ǅ", "deja œuvre ǆ"),
 ]
 _PLAIN = {"article_number", "role_of", "residual", "normalize_citation", "is_act_form"}
 

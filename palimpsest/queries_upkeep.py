@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as tx
 from palimpsest.model import Corpus, FilterSet, apply_filters, overlong
 from palimpsest.operators import citations as cite
-from palimpsest.operators import history, rollups, search, upkeep
-from palimpsest.queries_history import _CITED, _SEQ, _T0, _T1, _EVENTS, _held_and_seen
-from palimpsest.queries_retrieval import _NAMES, _normal
-from palimpsest.queries_search import _ASKED, _RESOLVED, _SUBJECT, _asked, subjects
-from palimpsest.queries_temporal import DAY, DOCS, FIRST, LAST, PROVISIONS, iso
+from palimpsest.operators import history, search, upkeep
+from palimpsest.queries_history import _CITED, _EVENTS, _SEQ
+from palimpsest.queries_search import _RESOLVED, _SUBJECT, _asked, subjects
+from palimpsest.queries_temporal import DAY, DOCS, PROVISIONS, iso
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -116,13 +115,14 @@ def source_scope(c: Corpus) -> DataFrame:
     return upkeep.scope(works, edges, [], ["loi-1990"], ["rural leases"], 1_000_000)
 
 
-_STATES_AT = "(SELECT * REPLACE (coalesce(withdrawn, false) AS withdrawn) FROM docs WHERE rid IS NOT NULL AND observed_from <= TIMESTAMP '{}' QUALIFY row_number() OVER (PARTITION BY rid ORDER BY observed_from DESC) = 1)"
-
-
-@query(f"""WITH a AS {_STATES_AT.format(_T0)}, b AS {_STATES_AT.format(_T1)}
-SELECT DISTINCT key, language FROM b WHERE NOT withdrawn AND key IN (SELECT key FROM a) AND (key, language) NOT IN (SELECT (key, language) FROM a)""")
+@query(f"""WITH {DOCS}, v AS (SELECT group_key, key, lead(key) OVER (PARTITION BY group_key ORDER BY key) AS next FROM (SELECT DISTINCT group_key, key FROM d)),
+a AS (SELECT DISTINCT next AS key, language FROM d JOIN v USING (key) WHERE next IS NOT NULL)
+SELECT DISTINCT key, language FROM d WHERE NOT withdrawn AND key IN (SELECT key FROM a) AND (key, language) NOT IN (SELECT (key, language) FROM a)""")
 def added_expressions(c: Corpus) -> DataFrame:
-    return upkeep.added_expressions(*_held_and_seen(c))
+    """Languages of a version that the version before it lacks."""
+    following = F.lead("key").over(Window.partitionBy("group_key").orderBy("key"))
+    versions = c.docs.select("group_key", "key").distinct().select("key", following.alias("next")).where("next is not null")
+    return upkeep.added_expressions(c.docs.join(versions, "key").select(F.col("next").alias("key"), "language"), c.docs)
 
 
 @query(f"""WITH {DOCS}, {PROVISIONS}, x AS (SELECT collection, coalesce(text_available, false) AS wanted, rid IN (SELECT rid FROM p) AS held FROM d WHERE NOT withdrawn)
