@@ -29,7 +29,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    if not configured and not re.fullmatch(r"local(\[.*\])?", sc.master):
+    if not configured and not re.fullmatch(r"local(-cluster)?(\[.*\])?", sc.master):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     path = configured or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_checkpoints")
     sc.setCheckpointDir(path)
