@@ -157,9 +157,10 @@ def staged_search(docs: DataFrame, provisions: DataFrame, states: DataFrame, que
     ``states`` are the lexical states with their fields.
     """
     key = ["group_key", "language", "anchor", "text_sha"]
-    # every stage builds on what the queries mean: written once
+    # every stage builds on the versions and on what the queries mean: written once, which keeps the plans small
+    docs = durable(docs.select("rid", "group_key", "group_identifier", "language", "valid_from", "withdrawn", "kind", "title", "title_short"))
     plans = durable(query_plans(queries))
-    found = durable(resolutions(plans, name_records(docs)))
+    found = durable(resolutions(plans, durable(name_records(docs))))
     named = found.where("status = 'resolved'").select("query", F.explode("candidates").alias("group_key")).distinct()
     articles = article_evidence(plans, found, docs, provisions, limit)
     left = plans.where("article = '' and residual <> ''").select("query", "residual")
