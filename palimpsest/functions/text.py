@@ -143,7 +143,9 @@ def only_amended(normalized: Column, mention: Column) -> Column:
     here = F.concat(F.lit("(?<![^ ])"), mention, F.lit("(?![^ ])"))
     after = F.concat(F.lit(rf"(?<=(?:^| )(?:{'|'.join(AMENDING)}){'(?: [^ ]{1,64})?' * (AMENDING_REACH - 1)} )"), mention, F.lit("(?![^ ])"))
     total = F.regexp_count(normalized, here)
-    return (total > 0) & (F.regexp_count(normalized, after) == total)
+    # patterns of a row are compiled for it: only where a participle stands at all
+    amends = normalized.rlike(rf"(?<![^ ])(?:{'|'.join(AMENDING)}) ")
+    return F.when(amends, (total > 0) & (F.regexp_count(normalized, after) == total)).when(normalized.isNotNull() & mention.isNotNull(), False)
 
 
 def short_titles(text: Column) -> Column:

@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from palimpsest.functions import text as tx
+from palimpsest.session import broadcast_if_small, durable
 
 #: Constants of the ranking function, and of reciprocal rank fusion.
 K1, B, RRF = 1.2, 0.75, 60
+#: Queries and states of a block where sums are made for every pair of them.
+QUERIES, STATES = 5_000, 100_000
 
 
 def lexical_states(docs: DataFrame, provisions: DataFrame) -> DataFrame:
@@ -30,6 +36,13 @@ def _weighted(weight: float):
     return lambda term: F.struct(term.alias("t"), F.lit(float(weight)).alias("w"))
 
 
+def _tokenised(states: DataFrame, key: list[str], fields: dict[str, float]) -> DataFrame:
+    """``key, tokens, length``: the tokens of each state with the weights of their fields."""
+    parts = [F.transform(tx.tokens(F.coalesce(F.col(f), F.lit(""))), _weighted(w)) for f, w in fields.items()]
+    every = parts[0] if len(parts) == 1 else F.concat(*parts)
+    return states.select(*key, every.alias("tokens")).withColumn("length", F.size("tokens"))
+
+
 def postings(states: DataFrame, key: list[str], fields: dict[str, float]) -> DataFrame:
     """``key, term, tf, length``: weighted term frequencies and the length of each state.
 
@@ -37,32 +50,56 @@ def postings(states: DataFrame, key: list[str], fields: dict[str, float]) -> Dat
     Terms are counted within the row (a sort of its own tokens), so that building the
     postings needs no shuffle.
     """
-    parts = [F.transform(tx.tokens(F.coalesce(F.col(f), F.lit(""))), _weighted(w)) for f, w in fields.items()]
-    every = parts[0] if len(parts) == 1 else F.concat(*parts)
-    rows = states.select(*key, every.alias("tokens")).withColumn("length", F.size("tokens"))
+    rows = _tokenised(states, key, fields)
     # the outer form, or else the optimizer would tokenise once more to drop empty rows
     terms = rows.select(*key, "length", F.explode_outer("tokens").alias("x")).select(*key, "length", "x.t", "x.w").where("t is not null")
     return terms.groupBy(*key, "length", F.col("t").alias("term")).agg(F.sum("w").alias("tf"))
 
 
-def _statistics(states: DataFrame, queries: DataFrame, key: list[str], fields: dict[str, float], query_id: str, query: str) -> tuple[DataFrame, DataFrame]:
+def _hits_once(states: DataFrame, asked: DataFrame, key: list[str], fields: dict[str, float]) -> tuple[DataFrame, DataFrame]:
+    """Postings of the terms that are asked for, and ``states, mean``: one pass over the texts, written once.
+
+    For the totals every state has the term '' as well, which is no token, with its length as
+    weight; partial aggregates leave one row of them a task.
+    """
+    rows = _tokenised(states, key, fields)
+    whole = F.array(F.struct(F.lit("").alias("t"), F.col("length").cast("double").alias("w")))
+    terms = rows.select(*key, "length", F.explode_outer(F.concat("tokens", whole)).alias("x"))
+    # without a key where it is the total
+    terms = terms.select(*[F.when(F.col("x.t") != "", F.col(c)).alias(c) for c in (*key, "length")], F.col("x.t").alias("term"), "x.w")
+    wanted = asked.select("term").union(states.sparkSession.range(1).select(F.lit(""))).distinct()
+    hits = terms.join(broadcast_if_small(wanted), "term", "left_semi").groupBy(*key, "length", "term").agg(F.sum("w").alias("tf"), F.count(F.lit(1)).alias("n"))
+    hits = durable(hits)
+    return hits.where("term <> ''").drop("n"), hits.where("term = ''").select(F.col("n").alias("states"), (F.col("tf") / F.col("n")).alias("mean"))
+
+
+def _statistics(states: DataFrame, queries: DataFrame, key: list[str], fields: dict[str, float], query_id: str, query: str, once: bool = False) -> tuple[DataFrame, DataFrame]:
     """Postings of the terms that are asked for, and ``query_id, term, needed, df, idf, mean``.
 
-    Statistics are of all states, whatever the filters were.
+    Statistics are of all states, whatever the filters were.  ``once`` writes both, so that
+    no use of them reads the texts again.
     """
-    words = [F.regexp_count(tx.fold(F.coalesce(F.col(f), F.lit(""))), F.lit(r"[\p{L}\p{N}]+")) for f in fields]
-    totals = states.select(reduce(lambda a, b: a + b, words).alias("n")).agg(F.count(F.lit(1)).alias("states"), F.avg("n").alias("mean"))
     asked = queries.select(query_id, F.array_distinct(tx.tokens(F.col(query))).alias("terms")).select(query_id, F.explode("terms").alias("term"), F.size("terms").cast("long").alias("needed"))
-    hits = postings(states, key, fields).join(asked.select("term").distinct(), "term", "left_semi")
+    if once:
+        hits, totals = _hits_once(states, asked, key, fields)
+    else:
+        words = [F.regexp_count(tx.fold(F.coalesce(F.col(f), F.lit(""))), F.lit(r"[\p{L}\p{N}]+")) for f in fields]
+        totals = states.select(reduce(lambda a, b: a + b, words).alias("n")).agg(F.count(F.lit(1)).alias("states"), F.avg("n").alias("mean"))
+        hits = postings(states, key, fields).join(asked.select("term").distinct(), "term", "left_semi")
     held = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.greatest(F.ln((F.col("states") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     # one row: its broadcast is bounded
-    return hits, asked.join(held.join(F.broadcast(totals)).select("term", "df", "mean", idf.alias("idf")), "term")
+    terms = asked.join(held.join(F.broadcast(totals)).select("term", "df", "mean", idf.alias("idf")), "term")
+    return hits, durable(terms) if once else terms
+
+
+def _part() -> Column:
+    """What a term adds to the score of a state."""
+    return F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
 
 
 def _parts(hits: DataFrame, terms: DataFrame, on: list[str], *columns: str) -> DataFrame:
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    return hits.join(terms, on).select(*columns, part.alias("part"), F.lit(1).cast("long").alias("n"))
+    return hits.join(terms, on).select(*columns, _part().alias("part"), F.lit(1).cast("long").alias("n"))
 
 
 def scored(states: DataFrame, queries: DataFrame, key: list[str], fields: dict[str, float], query_id: str, query: str) -> DataFrame:
@@ -76,19 +113,22 @@ def scored(states: DataFrame, queries: DataFrame, key: list[str], fields: dict[s
     return rows.groupBy(query_id, "needed", *key).agg(F.round(F.sum("part"), 6).alias("score"), F.sum("n").alias("matched"))
 
 
-def bm25(states: DataFrame, queries: DataFrame, key: list[str], fields: dict[str, float], query_id: str, query: str, every_term: bool, limit: int | None) -> DataFrame:
+def bm25(states: DataFrame, queries: DataFrame, key: list[str], fields: dict[str, float], query_id: str, query: str, every_term: bool, limit: int | None, once: bool = False) -> DataFrame:
     """``query_id, key, score, rank``: the best states for each query; equal scores are in order of the key.
 
     If a state must hold ``every_term``, only states that hold a query's rarest one are
     looked at, and only these are scored by its other terms, so that no query is paired with
     all states that hold a common word; without a ``limit`` all that hold every term come
-    out.  Else every state with a term of a query is scored by it.
+    out.  Else every state with a term of a query is scored by it.  ``once`` writes postings
+    and terms, and makes the sums of any term by blocks (see ``_best_sums``).
     """
     if not every_term:
         if limit is None:
             raise ValueError("without a limit every term must be asked for")
+        if once:
+            return _best_sums(*_statistics(states, queries, key, fields, query_id, query, True), key, query_id, limit)
         return best(scored(states, queries, key, fields, query_id, query), key, query_id, False, limit)
-    hits, terms = _statistics(states, queries, key, fields, query_id, query)
+    hits, terms = _statistics(states, queries, key, fields, query_id, query, once)
     by_rarity = Window.partitionBy(query_id).orderBy("df", "term")
     terms = terms.withColumn("lead", F.row_number().over(by_rarity) == 1)
     first = _parts(hits, terms.where("lead"), ["term"], query_id, "needed", *key)
@@ -100,6 +140,53 @@ def bm25(states: DataFrame, queries: DataFrame, key: list[str], fields: dict[str
     return best(total, key, query_id, True, limit)
 
 
+def _best_sums(hits: DataFrame, terms: DataFrame, key: list[str], query_id: str, limit: int) -> DataFrame:
+    """``query_id, key, score, rank``: as ``best`` of ``scored``, without a row for every query and state that share a word.
+
+    What a term adds to a state is the same for all queries.  So states with these parts and
+    queries with their terms meet in blocks, each pair of blocks in a task, where the parts
+    are summed by arrays; only the best of a query leave its block.
+    """
+    weights = terms.select("term", "idf", "mean").distinct()
+    rows = hits.join(weights, "term").groupBy(*key).agg(F.collect_list("term").alias("terms"), F.collect_list(_part()).alias("parts"))
+    asking = terms.groupBy(query_id).agg(F.sort_array(F.collect_list("term")).alias("asked"))
+    parts, blocks = (max(1, -(-df.select(*of).distinct().count() // n)) for df, of, n in ((hits, key, STATES), (terms, [query_id], QUERIES)))
+    part, block = (F.pmod(F.xxhash64(*of), F.lit(n)).cast("int") for of, n in ((key, parts), ([query_id], blocks)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asking.select("*", block.alias("_block"), every(parts).alias("_part")).groupBy("_block", "_part")
+    right = rows.select("*", part.alias("_part"), every(blocks).alias("_block")).groupBy("_block", "_part")
+
+    def meet(queries: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
+        found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+        states = states.sort_values(key, na_position="first")
+        if len(queries) and len(states):
+            number = {t: i for i, t in enumerate({t for terms in queries["asked"] for t in terms})}
+            of = np.fromiter((number.get(t, -1) for terms in states["terms"] for t in terms), int)
+            at, value = np.repeat(np.arange(len(states)), states["terms"].map(len)), np.concatenate(states["parts"].to_numpy())
+            order = np.argsort(of, kind="stable")
+            at, value, bounds = at[order], value[order], np.searchsorted(of[order], np.arange(len(number) + 1))
+            for q, terms in enumerate(queries["asked"]):
+                total, held = np.zeros(len(states)), np.zeros(len(states), bool)
+                for own in (slice(*bounds[number[t] : number[t] + 2]) for t in terms):
+                    total[at[own]] += value[own]
+                    held[at[own]] = True
+                c = np.flatnonzero(held)
+                # scores that are equal to six places are in order of the key
+                score = np.floor(total[c] * 1e6 + 0.5)
+                if len(c) > limit:
+                    near = score >= np.partition(score, len(c) - limit)[len(c) - limit]
+                    c, score = c[near], score[near]
+                first = np.argsort(-score, kind="stable")[:limit]
+                found.append((np.full(len(first), q), c[first], score[first] / 1e6))
+        q, c, score = (np.concatenate(x) for x in zip(*found))
+        return pd.DataFrame({query_id: queries[query_id].to_numpy(object)[q]} | {k: states[k].to_numpy(object)[c] for k in key} | {"score": score})
+
+    fields = [StructField(f.name, f.dataType) for f in (terms.schema[query_id], *(hits.schema[k] for k in key))]
+    sums = left.cogroup(right).applyInPandas(meet, StructType([*fields, StructField("score", DoubleType())]))
+    order = Window.partitionBy(query_id).orderBy(F.col("score").desc(), *key)
+    return sums.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+
+
 def best(rows: DataFrame, key: list[str], query_id: str, every_term: bool, limit: int) -> DataFrame:
     """The best of ``scored`` rows of each query, with their ranks."""
     if every_term:
@@ -153,7 +240,7 @@ def contained_names(texts: DataFrame, names: DataFrame, key: str, text: str) ->
     text_id = F.xxhash64(F.array_join("words", " "))
     numbered = words.withColumn("text_id", text_id)
     tried = numbered.select(key, "text_id", F.explode(heads).alias("p")).select(key, "text_id", "p.at", F.explode(F.array_distinct("p.heads")).alias("head"))
-    met = tried.join(lengths, "head").groupBy(F.col(key).alias("_key"), F.col("text_id").alias("_text")).agg(F.collect_set(F.struct("at", "longest", "head")).alias("met"))
+    met = tried.join(broadcast_if_small(lengths), "head").groupBy(F.col(key).alias("_key"), F.col("text_id").alias("_text")).agg(F.collect_set(F.struct("at", "longest", "head")).alias("met"))
     windows = numbered.join(met, F.col(key).eqNullSafe(F.col("_key")) & (F.col("text_id") == F.col("_text"))).select(key, "words", F.explode("met").alias("m"))
     windows = windows.select(key, "m.head", F.array_join(F.slice("words", F.col("m.at"), F.col("m.longest")), " ").alias("w"))
     whole = F.startswith(F.concat("w", F.lit(" ")), F.concat("name", F.lit(" ")))

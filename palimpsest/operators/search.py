@@ -137,7 +137,7 @@ def work_words(normalized: Column) -> Column:
 def work_metadata_search(docs: DataFrame, plans: DataFrame, limit: int) -> DataFrame:
     """``query, work, language, score, rank``: works whose metadata hold any word of a query, weighted by field."""
     asked = plans.select("query", F.array_join(work_words(F.col("normalized")), " ").alias("words")).where("words <> ''")
-    return retrieval.bm25(work_states(docs), asked, ["work", "language"], WORK_FIELDS, "query", "words", False, limit)
+    return retrieval.bm25(work_states(docs), asked, ["work", "language"], WORK_FIELDS, "query", "words", False, limit, once=True)
 
 
 def staged(stages: list[DataFrame], key: list[str], limit: int) -> DataFrame:
@@ -165,7 +165,7 @@ def staged_search(docs: DataFrame, provisions: DataFrame, states: DataFrame, que
     articles = article_evidence(plans, found, docs, provisions, limit)
     left = plans.where("article = '' and residual <> ''").select("query", "residual")
     fields = {"work_title": 10.0, "num": 4.0, "heading": 6.0, "text": 1.0}
-    worded = retrieval.bm25(states, left, key, fields, "query", "residual", True, None)
+    worded = durable(retrieval.bm25(states, left, key, fields, "query", "residual", True, None, once=True))
     scoped = worded.join(named, ["query", "group_key"], "left_semi").unionByName(worded.join(named, "query", "left_anti").select(*worded.columns))
     keyword = scoped.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), *key))).where(F.col("rank") <= limit)
     blank = lambda df: df.withColumns({"anchor": F.lit(""), "text_sha": F.lit("")})
