@@ -228,23 +228,26 @@ def contained_names(texts: DataFrame, names: DataFrame, key: str, text: str) ->
     """``key, work, name``: works whose normalised name stands in a text, word for word.
 
     Each place of a text gives the hashes of the one and the two words there; only places
-    where a name can begin go on to be compared with it word for word, so that what is
-    shuffled is a hash a word and no text is paired with all names.
+    where a name can begin go on, with as many words as the names have that begin so.  These
+    meet names by an equi-join on the whole of them, so that what is shuffled is a hash a
+    word and no text is paired with all names, not even with those that share a beginning.
     """
     # through a generator, whose output no optimizer rule copies into the lambda
     words = texts.select(key, F.explode_outer(F.array(F.split(tx.normalize(F.col(text)), " "))).alias("words")).where("words is not null")
-    known = names.select("name", "work", F.size(F.split("name", " ")).alias("n"), F.xxhash64(F.substring_index("name", " ", 2)).alias("head"))
-    lengths = known.groupBy("head").agg(F.max("n").alias("longest"))
+    known = names.select("name", "work", F.xxhash64("name").alias("whole"))
+    begin = names.select(F.xxhash64(F.substring_index("name", " ", 2)).alias("head"), F.size(F.split("name", " ")).alias("n"))
+    lengths = begin.groupBy("head").agg(F.sort_array(F.collect_set("n")).alias("sizes"))
     places = F.sequence(F.lit(1), F.size("words"))
     heads = F.transform(places, lambda i: F.struct(i.alias("at"), F.array(F.xxhash64(F.element_at("words", i)), F.xxhash64(F.array_join(F.slice("words", i, 2), " "))).alias("heads")))
     text_id = F.xxhash64(F.array_join("words", " "))
     numbered = words.withColumn("text_id", text_id)
     tried = numbered.select(key, "text_id", F.explode(heads).alias("p")).select(key, "text_id", "p.at", F.explode(F.array_distinct("p.heads")).alias("head"))
-    met = tried.join(broadcast_if_small(lengths), "head").groupBy(F.col(key).alias("_key"), F.col("text_id").alias("_text")).agg(F.collect_set(F.struct("at", "longest", "head")).alias("met"))
+    met = tried.join(broadcast_if_small(lengths), "head").groupBy(F.col(key).alias("_key"), F.col("text_id").alias("_text")).agg(F.collect_set(F.struct("at", "sizes")).alias("met"))
     windows = numbered.join(met, F.col(key).eqNullSafe(F.col("_key")) & (F.col("text_id") == F.col("_text"))).select(key, "words", F.explode("met").alias("m"))
-    windows = windows.select(key, "m.head", F.array_join(F.slice("words", F.col("m.at"), F.col("m.longest")), " ").alias("w"))
-    whole = F.startswith(F.concat("w", F.lit(" ")), F.concat("name", F.lit(" ")))
-    return windows.join(known, "head").where(whole).select(key, "work", "name").distinct()
+    windows = windows.select(key, "words", "m.at", F.explode("m.sizes").alias("n")).where(F.col("at") + F.col("n") <= F.size("words") + 1)
+    windows = windows.select(key, F.array_join(F.slice("words", F.col("at"), F.col("n")), " ").alias("w")).withColumn("whole", F.xxhash64("w"))
+    windows = windows.join(broadcast_if_small(known.select("whole").distinct()), "whole", "left_semi")
+    return windows.join(known, "whole").where("w = name").select(key, "work", "name").distinct()
 
 
 def work_names(docs: DataFrame) -> DataFrame:
