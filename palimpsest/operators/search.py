@@ -82,13 +82,13 @@ def resolutions(plans: DataFrame, names: DataFrame) -> DataFrame:
     only are left out if the query also names a work outside one.  Identifiers that nothing
     bears are unresolved.
     """
-    hits = identity_matches(plans, names)
+    # used three times over: written once, and narrow
+    hits = durable(identity_matches(plans, names).select("query", "mention", "work", "kind", tx.only_amended(F.col("normalized"), F.col("mention")).alias("amended")))
     place = F.row_number().over(Window.partitionBy("query", "mention").orderBy("work"))
     told = hits.select("query", "mention", "work").distinct().withColumn("place", place).where(F.col("place") <= CANDIDATES)
     told = told.groupBy("query", "mention").agg(F.array_sort(F.collect_list("work")).alias("candidates"))
     rank = F.when(F.col("kind") == "short_title", 0).when(F.col("kind") == "title", 1).otherwise(2)
-    mentions = hits.groupBy("query", "normalized", "mention").agg(F.countDistinct("work").alias("works"), F.min(F.struct(rank.alias("r"), "kind")).alias("k"))
-    mentions = mentions.withColumn("amended", tx.only_amended(F.col("normalized"), F.col("mention")))
+    mentions = hits.groupBy("query", "mention").agg(F.countDistinct("work").alias("works"), F.min(F.struct(rank.alias("r"), "kind")).alias("k"), F.max("amended").alias("amended"))
     of_query = Window.partitionBy("query")
     kept = mentions.withColumn("outside", F.sum((~F.col("amended")).cast("int")).over(of_query)).where("not amended or outside = 0")
     status = F.when(F.col("works") == 1, "resolved").otherwise("ambiguous")
@@ -161,7 +161,7 @@ def staged_search(docs: DataFrame, provisions: DataFrame, states: DataFrame, que
     docs = durable(docs.select("rid", "group_key", "group_identifier", "language", "valid_from", "withdrawn", "kind", "title", "title_short"))
     plans = durable(query_plans(queries))
     found = durable(resolutions(plans, durable(name_records(docs))))
-    named = found.where("status = 'resolved'").select("query", F.explode("candidates").alias("group_key")).distinct()
+    named = durable(found.where("status = 'resolved'").select("query", F.explode("candidates").alias("group_key")).distinct())
     articles = article_evidence(plans, found, docs, provisions, limit)
     left = plans.where("article = '' and residual <> ''").select("query", "residual")
     fields = {"work_title": 10.0, "num": 4.0, "heading": 6.0, "text": 1.0}
