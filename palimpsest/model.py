@@ -35,13 +35,14 @@ class Corpus:
     def live(self) -> DataFrame:
         return self.docs.where("not withdrawn")
 
-    def provisions(self, *columns: str) -> DataFrame:
-        """``rid, seq, anchor, text_sha`` and the named columns, repeated rows once.
+    def provisions(self, *columns: str, once: bool = True) -> DataFrame:
+        """``rid, seq, anchor, text_sha`` and the named columns, repeated rows once, or as often as they come.
 
         text_sha is in lower case, or made from the text where it is missing.
         """
         sha = F.coalesce(F.lower("text_sha"), F.sha2("text_md", 256)).alias("text_sha")
-        return self.raw("provisions").where("rid is not null").select("rid", "seq", "anchor", sha, *columns).distinct()
+        rows = self.raw("provisions").where("rid is not null").select("rid", "seq", "anchor", sha, *columns)
+        return rows.distinct() if once else rows
 
     @cached_property
     def texts(self) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from palimpsest.functions import text as tx
-from palimpsest.session import broadcast_if_small, durable
+from palimpsest.session import broadcast_if_small, stored
 
 #: Constants of the ranking function, and of reciprocal rank fusion.
 K1, B, RRF = 1.2, 0.75, 60
@@ -69,7 +69,7 @@ def _hits_once(states: DataFrame, asked: DataFrame, key: list[str], fields: dict
     terms = terms.select(*[F.when(F.col("x.t") != "", F.col(c)).alias(c) for c in (*key, "length")], F.col("x.t").alias("term"), "x.w")
     wanted = asked.select("term").union(states.sparkSession.range(1).select(F.lit(""))).distinct()
     hits = terms.join(broadcast_if_small(wanted), "term", "left_semi").groupBy(*key, "length", "term").agg(F.sum("w").alias("tf"), F.count(F.lit(1)).alias("n"))
-    hits = durable(hits)
+    hits = stored(hits)
     return hits.where("term <> ''").drop("n"), hits.where("term = ''").select(F.col("n").alias("states"), (F.col("tf") / F.col("n")).alias("mean"))
 
 
@@ -90,7 +90,7 @@ def _statistics(states: DataFrame, queries: DataFrame, key: list[str], fields: d
     idf = F.greatest(F.ln((F.col("states") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     # one row: its broadcast is bounded
     terms = asked.join(held.join(F.broadcast(totals)).select("term", "df", "mean", idf.alias("idf")), "term")
-    return hits, durable(terms) if once else terms
+    return hits, stored(terms) if once else terms
 
 
 def _part() -> Column:

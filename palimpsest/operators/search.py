@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text as tx
 from palimpsest.operators import retrieval
-from palimpsest.session import durable
+from palimpsest.session import stored
 
 #: Works that are told of a mention at most; the rest are counted.
 CANDIDATES = 20
@@ -83,7 +83,7 @@ def resolutions(plans: DataFrame, names: DataFrame) -> DataFrame:
     bears are unresolved.
     """
     # used three times over: written once, and narrow
-    hits = durable(identity_matches(plans, names).select("query", "mention", "work", "kind", tx.only_amended(F.col("normalized"), F.col("mention")).alias("amended")))
+    hits = stored(identity_matches(plans, names).select("query", "mention", "work", "kind", tx.only_amended(F.col("normalized"), F.col("mention")).alias("amended")))
     place = F.row_number().over(Window.partitionBy("query", "mention").orderBy("work"))
     told = hits.select("query", "mention", "work").distinct().withColumn("place", place).where(F.col("place") <= CANDIDATES)
     told = told.groupBy("query", "mention").agg(F.array_sort(F.collect_list("work")).alias("candidates"))
@@ -111,7 +111,10 @@ def article_evidence(plans: DataFrame, resolved: DataFrame, docs: DataFrame, pro
         F.transform(tx.ordinal_spellings(number), lambda x: F.concat(F.lit("num "), x)), F.transform(tx.ordinal_spellings(anchor), lambda x: F.concat(F.lit("anchor art_"), x))
     )
     wanted = asked.select("query", "group_key", F.explode(keys).alias("spelling"))
-    own = F.array(F.concat(F.lit("num "), tx.article_key(F.col("num"))), F.concat(F.lit("anchor "), F.lower(F.replace(F.replace("anchor", F.lit("."), F.lit("")), F.lit("-"), F.lit("_")))))
+    own_number, own_anchor = tx.article_key(F.col("num")), F.lower(F.replace(F.replace("anchor", F.lit("."), F.lit("")), F.lit("-"), F.lit("_")))
+    # an anchor that spells the number alone is asked for with it and never without
+    alike = (own_anchor == F.concat(F.lit("art_"), own_number)) & ~F.contains(own_number, F.lit("_"))
+    own = F.array(F.concat(F.lit("num "), own_number), F.when(alike, None).otherwise(F.concat(F.lit("anchor "), own_anchor)))
     rows = docs.where("not withdrawn").select("rid", "group_key", "language", "valid_from").join(provisions.where("ptype = 'article'"), "rid")
     rows = rows.withColumn("spelling", F.explode(F.array_compact(own)))
     hits = wanted.join(rows, ["group_key", "spelling"])
@@ -158,14 +161,14 @@ def staged_search(docs: DataFrame, provisions: DataFrame, states: DataFrame, que
     """
     key = ["group_key", "language", "anchor", "text_sha"]
     # every stage builds on the versions and on what the queries mean: written once, which keeps the plans small
-    docs = durable(docs.select("rid", "group_key", "group_identifier", "language", "valid_from", "withdrawn", "kind", "title", "title_short"))
-    plans = durable(query_plans(queries))
-    found = durable(resolutions(plans, durable(name_records(docs))))
-    named = durable(found.where("status = 'resolved'").select("query", F.explode("candidates").alias("group_key")).distinct())
+    docs = stored(docs.select("rid", "group_key", "group_identifier", "language", "valid_from", "withdrawn", "kind", "title", "title_short"))
+    plans = stored(query_plans(queries))
+    found = stored(resolutions(plans, stored(name_records(docs))))
+    named = stored(found.where("status = 'resolved'").select("query", F.explode("candidates").alias("group_key")).distinct())
     articles = article_evidence(plans, found, docs, provisions, limit)
     left = plans.where("article = '' and residual <> ''").select("query", "residual")
     fields = {"work_title": 10.0, "num": 4.0, "heading": 6.0, "text": 1.0}
-    worded = durable(retrieval.bm25(states, left, key, fields, "query", "residual", True, None, once=True))
+    worded = stored(retrieval.bm25(states, left, key, fields, "query", "residual", True, None, once=True))
     scoped = worded.join(named, ["query", "group_key"], "left_semi").unionByName(worded.join(named, "query", "left_anti").select(*worded.columns))
     keyword = scoped.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), *key))).where(F.col("rank") <= limit)
     blank = lambda df: df.withColumns({"anchor": F.lit(""), "text_sha": F.lit("")})

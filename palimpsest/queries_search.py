@@ -129,8 +129,9 @@ SELECT query, group_key, language, anchor, text_sha, stage, row_number() OVER (P
 def staged_search(c: Corpus) -> DataFrame:
     """All stages for every question; no provision holds all the words of an item's query, so that the keyword stage is empty here."""
     key = ["group_key", "language", "anchor", "text_sha"]
-    states = retrieval.lexical_states(c.docs, c.provisions("work_title", "num", "heading")).join(c.texts, "text_sha", "left")
-    return search.staged_search(c.docs, c.provisions("ptype", "num"), states.select(*key, *FIELDS), _asked(c), 10)
+    # both take the least of a group, so that repeated rows need not be found before
+    states = retrieval.lexical_states(c.docs, c.provisions("work_title", "num", "heading", once=False)).join(c.texts, "text_sha", "left")
+    return search.staged_search(c.docs, c.provisions("ptype", "num", once=False), states.select(*key, *FIELDS), _asked(c), 10)
 
 
 @query(f"""WITH {DOCS}, s AS (SELECT group_key, language, valid_from, unnest({_SHORT}) AS segment FROM d WHERE title_short <> '' AND valid_from <= DATE '{DAY}' AND (valid_to IS NULL OR valid_to >= DATE '{DAY}'))
