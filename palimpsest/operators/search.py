@@ -177,7 +177,7 @@ def staged_search(docs: DataFrame, provisions: DataFrame, states: DataFrame, que
     works = blank(named.join(languages, "group_key")).withColumn("rank", F.row_number().over(by_name))
     unsure = found.where("status = 'ambiguous'").select("query", F.explode("candidates").alias("group_key")).distinct()
     maybe = blank(unsure.join(languages, "group_key")).withColumn("rank", F.row_number().over(by_name))
-    unnamed = plans.join(named, "query", "left_anti")
+    unnamed = stored(plans.join(named, "query", "left_anti").select("query", "normalized"))
     weak = blank(work_metadata_search(docs, unnamed, limit).withColumnRenamed("work", "group_key"))
     return staged([articles, keyword, works, maybe, weak], key, limit)
 

@@ -9,7 +9,7 @@ from types import SimpleNamespace
 import numpy as np
 
 from palimpsest import queries_history, queries_retrieval, queries_temporal
-from palimpsest.operators import citations, diff, vectors
+from palimpsest.operators import citations, diff, retrieval, search, vectors
 from tests.test_core import doc, docs, got
 
 
@@ -87,3 +87,51 @@ def test_vector_queries_ask_all_profiles_with_every_twentieth(spark, monkeypatch
     assert {x[:2] for x in fused} == {x[:2] for x in top} and {x[:3] for x in near} <= set(fused) and all((p, a, "none") in fused for p, a in {x[:2] for x in top})
     misses = got(queries_history.embedding_cache_misses(corpus))
     assert misses == sorted([("p", "none"), ("q", "none"), *(("q", n) for n in list(held["p"])[120:140])])
+
+
+def most_rows(df):
+    """The most rows that a step of a plan gave; the plan is run."""
+    df.collect()
+
+    def own(node):
+        inner = [getattr(node, f)() for f, kind in (("executedPlan", "AdaptiveSparkPlanExec"), ("plan", "QueryStageExec")) if kind in node.getClass().getSimpleName()]
+        below = node.children()
+        rows = node.metrics().get("numOutputRows")
+        return max([rows.get().value() if rows.isDefined() else 0, *map(own, inner), *(own(below.apply(i)) for i in range(below.size()))])
+
+    return own(df._jdf.queryExecution().executedPlan())
+
+
+def test_questions_are_not_paired_with_all_works_that_share_a_word(spark, monkeypatch):
+    held = docs(spark, *(doc(f"w{i:02}", "2020-01-01", language=lang, title=f"loi relative port{i % 7} ville{i}", title_short=None) for i in range(60) for lang in ("en", "fr")))
+    asked = spark.createDataFrame([(f"q{i:02}", f"loi relative port{i % 9} ville{i % 5} nothing") for i in range(80)], "query string, normalized string")
+    words = asked.select("query", "normalized")
+    want = got(retrieval.bm25(search.work_states(held), words, ["work", "language"], search.WORK_FIELDS, "query", "normalized", False, 10))
+    assert len(want) == 800 and len({x[3] for x in want if x[0] == "q00"}) < 10  # with ties
+    found = search.work_metadata_search(held, asked, 10)
+    # 80 times 120 pairs share a word
+    assert got(found) == want and most_rows(found) < 2_000
+    for queries, states in ((80, 50), (9, 1_000), (7, 11)):
+        monkeypatch.setattr(retrieval, "QUERIES", queries)
+        monkeypatch.setattr(retrieval, "STATES", states)
+        assert got(search.work_metadata_search(held, asked, 10)) == want
+    assert got(search.work_metadata_search(held, asked.where("query = ''"), 10)) == got(search.work_metadata_search(held.where("withdrawn"), asked, 10)) == []
+
+
+def test_texts_are_not_paired_with_all_names_that_begin_alike(spark):
+    names = spark.createDataFrame([(f"loi du {i} mars", f"w{i}") for i in range(100)] + [("loi du", "short"), ("loi du 3", "more"), ("loi", "one")], "name string, work string")
+    texts = spark.createDataFrame([(i, f"voir la Loi du {i} mars, ou loi du {i}") for i in range(100)], "id int, text string")
+    found = retrieval.contained_names(texts, names, "id", "text")
+    want = [(i, f"w{i}", f"loi du {i} mars") for i in range(100)] + [(i, w, n) for i in range(100) for w, n in (("short", "loi du"), ("one", "loi"))] + [(3, "more", "loi du 3")]
+    assert got(found) == sorted(want, key=repr) and most_rows(found) < 5_000
+
+
+def test_articles_whose_anchor_repeats_the_number(spark):
+    held = docs(spark, doc("w1", "2020-01-01"))
+    rid = held.first()["rid"]
+    rows = [(rid, 1, "art_1er", "article", "1er", "a"), (rid, 2, "art_2", "article", None, "b"), (rid, 3, "art_12_bis", "article", "12bis", "c"), (rid, 4, "art_12bis", "article", "12 bis", "d"), (rid, 5, "x", "article", "2", "e"), (rid, 6, "art_12_bis", "article", "12_bis", "f")]
+    provisions = spark.createDataFrame(rows + rows[:2], "rid string, seq int, anchor string, ptype string, num string, text_sha string")
+    plans = spark.createDataFrame([(q, a) for q, a in (("q1", "1"), ("q2", "2"), ("q3", "12 bis"))], "query string, article string")
+    resolved = plans.selectExpr("query", "'resolved' status", "array('w1') candidates")
+    out = search.article_evidence(plans, resolved, held, provisions, 10)
+    assert got(out, "query", "text_sha", "rank") == [("q1", "a", 1), ("q2", "b", 1), ("q2", "e", 2), ("q3", "c", 1), ("q3", "d", 2), ("q3", "f", 3)]
